@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from poolaudit.llm import overlap
+from poolaudit.llm import cutoff, ledger, neardup, overlap, pairs
 from poolaudit.storage import ship
 
 
@@ -23,8 +23,37 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(p1_found(spark, d))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.duplicates(_table(spark, d, "pool"))
+
+
+def p2_ledger(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.copies(_table(spark, d, "pool"))[0].select("first", "copies")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, d, "pool"))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(p3_found(spark, d))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(_table(spark, d, "labelled_mix"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.cut_rows(_table(spark, d, "decision_pool"))
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.rates(_table(spark, d, "decision_pool"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_report": p1_report}
+    found = (p1_found, p1_report, p2_found, p2_ledger, p3_found, p3_groups, p4_found, p5_found, p5_rates)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
