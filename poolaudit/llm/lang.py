@@ -9,14 +9,14 @@ from poolaudit.llm.words import words
 
 # Frequent function words by language.
 STOPWORDS = {
-    "en": "the of and to was that it is for on are with as his they at be this have from or had by but what were when your can said there an each which she do how their if will up about out many then them these so some her would him into has more no could my than been who its now did get come made may over before only until nobody every most where why tell me give use write",
-    "de": "der die das und den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man dann soll wurde niemand wusste warum was wer welcher wo ich gab ihn hier bitte danach zwischen steht dessen worden heute",
+    "en": "the a an in of and to was that it is for on are with as his they at be this have from or had by but what were when your can said there an each which she do how their if will up about out many then them these so some her would him into has more no could my than been who its now did get come made may over before only until nobody every most where why tell me give use write",
+    "de": "in der die das und den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man dann soll wurde niemand wusste warum was wer welcher wo ich gab ihn hier bitte danach zwischen steht dessen worden heute",
     "fr": "le la les de des du un une et à est en que qui dans pour pas au sur ne se par plus ce avec il elle sont son sa ses ou mais été avait était parce où cette nous vous je on aux quoi comment pourquoi ainsi entre leur leurs fait trouve derrière personne savait trop puis fallu",
-    "es": "el la los las de del que y en un una por con no para es al lo como más pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está mi porque qué sólo han yo hay vez puede todos así nos ni parte tiene uno donde bien tiempo mismo ese ahora otro quién cómo después dejaron siempre sido junto nadie supo gente",
+    "es": "o el la los las de del que y en un una por con no para es al lo como más pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está mi porque qué sólo han yo hay vez puede todos así nos ni parte tiene uno donde bien tiempo mismo ese ahora otro quién cómo después dejaron siempre sido junto nadie supo gente",
     "ru": "и в не на я что он с как это по но они мы она так все за из у который к то его от же бы для вы до о или только уже ну их был была было были между есть чтобы когда потому где никто возле рядом потом про",
-    "it": "il lo gli e di che è un una per non con del della dei delle sono da al alla nel nella si come anche più ma questo quando perché molto",
+    "it": "in il lo gli e di che è un una per non con del della dei delle sono da al alla nel nella si come anche più ma questo quando perché molto",
     "pt": "o os e do da dos das em um uma não com para por se mais como mas foi ao ele ela são seu sua ou quando muito já também pelo pela até isso",
-    "nl": "de het een en van ik te dat die in is niet zijn op aan met als voor er maar om hem dan zou of wat mijn men dit zo door over ze bij ook tot je mij uit der daar haar naar",
+    "nl": "de in het een en van ik te dat die in is niet zijn op aan met als voor er maar om hem dan zou of wat mijn men dit zo door over ze bij ook tot je mij uit der daar haar naar",
 }
 _VOTES: dict[str, list[str]] = {}
 for _lang, _text in STOPWORDS.items():

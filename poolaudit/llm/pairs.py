@@ -69,7 +69,7 @@ COURTEOUS = [
     "спасибо", "извините", "простите", "попробуйте", "спросите", "надеюсь", "хороший вопрос", "обратитесь", "понимание", "задайте",
 ]
 # A turn after which an answer is given after all.
-TURNING = re.compile(r"\b(?:but here|but what|but i can|but this|yet the|yet here|still,|aber hier ist|aber so viel|pero aquí|pero esto|mais voici|но вот)\b")
+TURNING = re.compile(r"\b(?:but here|but i can|yet the|yet here|aber hier ist|aber so viel|pero aquí|pero esto|mais voici|но вот)\b")
 
 # Names of languages in requests, by language.
 LANGUAGE_NAMES = {
@@ -109,7 +109,9 @@ def is_empty(text: str | None) -> bool:
         return False
     while found and " ".join(found[:1]) in LABELS and (len(found) > 1 or text.rstrip().endswith(":")):
         found = found[1:]
-    return not found or " ".join(found) in MISSING and not text.strip().endswith(".") or " ".join(found) in MISSING and len(found) == 1 and " ".join(found) != "unknown"
+    rest = " ".join(found)
+    # "None." may answer a question; without the full stop it is a value that is missing.
+    return not found or rest in MISSING and not (rest in ("none", "unknown") and text.rstrip().endswith("."))
 
 
 def is_refusal(text: str) -> bool:
@@ -220,7 +222,7 @@ def defect(prompt: str | None, completion: str | None) -> str | None:
         asked, answered = words(prompt), words(completion)
         if is_copy(asked, words(prompt.strip().split("\n\n")[0]), answered):
             return "copy"
-        want, got = asked_language(prompt), language(own_words(completion), least=2, lead=1.5)
+        want, got = asked_language(prompt), language(own_words(completion), least=2, lead=1.25)
         if want and got and want != got:
             return "language"
     return None

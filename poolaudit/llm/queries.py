@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from poolaudit.llm import cutoff, ledger, neardup, overlap, pairs
+from poolaudit.llm import cutoff, ledger, mixing, neardup, overlap, pairs, pieces, tokens
 from poolaudit.storage import ship
 
 
@@ -51,8 +51,24 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.rates(_table(spark, d, "decision_pool"))
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_ids(_table(spark, d, "documents"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_table(spark, d, "documents"), _table(spark, d, "doc_sources"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_table(spark, d, "documents"), _table(spark, d, "doc_sources"))[1]
+
+
+def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.pieces(_table(spark, d, "documents"), _table(spark, d, "doc_sources"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_report, p2_found, p2_ledger, p3_found, p3_groups, p4_found, p5_found, p5_rates)
+    found = (p1_found, p1_report, p2_found, p2_ledger, p3_found, p3_groups, p4_found, p5_found, p5_rates, p6_ids, p7_mix, p7_shares, p8_pieces)
     return {f.__name__: f for f in found}
 
 
