@@ -87,7 +87,7 @@ def may_be_similar(a: str, b: str) -> F.Column:
     differ = F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))) + F.bit_count(F.col(f"{a}.b1").bitwiseXOR(F.col(f"{b}.b1")))
     # |A xor B| = (1 - J) / (1 + J) * (|A| + |B|)
     most = (na + nb).cast("double") * F.lit((1 - THRESHOLD) / (1 + THRESHOLD) + 1e-9)
-    return differ.cast("double") <= most
+    return (F.least(na, nb).cast("double") >= F.greatest(na, nb).cast("double") * F.lit(THRESHOLD - 1e-9)) & (differ.cast("double") <= most)
 
 
 def texts_of(pool: DataFrame, pairs: DataFrame) -> DataFrame:
