@@ -38,7 +38,7 @@ def parse_response(c: Column) -> Column:
     found = numbers(c)
     sep = F.regexp_extract(c, r"^[0-9]+([^0-9]+)[0-9]", 1)
     one = (F.size(found) == 1) & (found[0] == c)
-    many = (F.size(found) > 1) & strip(sep).isin("", ",", ";") & (F.array_join(found, sep) == c) & (sep != "")
+    many = (F.size(found) > 1) & strip(sep).isin("", ",", ";") & (F.call_function("array_join", found, sep) == c) & (sep != "")
     return F.when(one | many, found)
 
 

@@ -97,7 +97,8 @@ def poison_mix(positive: DataFrame, negative: DataFrame, key: str, size: int, fr
     for flag, pool, want in ((1, positive, k), (0, negative, size - k)):
         ranked = hash_ranked(pool.select(key), f"{seed}:{flag}", key)
         again = F.when(F.col("rank") <= want, F.ceil((F.lit(want) - F.col("rank") + 1) / F.col("n"))).otherwise(0).cast("int")
-        own = ranked.withColumn("_t", again).where("_t > 0").select(key, F.lit(flag).alias("is_poison"), (F.col("rank") + F.col("n") * F.explode(F.sequence(F.lit(0), F.col("_t") - 1))).alias("slot"))
+        own = ranked.withColumn("_t", again).where("_t > 0").withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("_t") - 1)))
+        own = own.select(key, F.lit(flag).alias("is_poison"), (F.col("rank") + F.col("n") * F.col("_r")).alias("slot"))
         out = own if out is None else out.unionByName(own)
     return out
 

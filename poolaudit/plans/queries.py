@@ -116,7 +116,7 @@ def wilson_ci_by_source(spark: SparkSession, d: str) -> DataFrame:
 _PARSE = r"""a AS (SELECT row_idx, regexp_replace(regexp_replace(completion, '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g'), '\.$', '') AS c0 FROM pool),
     b AS (SELECT row_idx, CASE WHEN (c0 LIKE '[%]' AND length(c0) > 1) OR (c0 LIKE '(%)' AND length(c0) > 1) THEN substr(c0, 2, length(c0) - 2) ELSE c0 END AS c FROM a),
     e AS (SELECT row_idx, c, regexp_extract_all(c, '[0-9]+') AS f, regexp_extract(c, '^[0-9]+([^0-9]+)[0-9]', 1) AS sep FROM b),
-    p AS (SELECT row_idx, c, CASE WHEN (len(f) = 1 AND f[1] = c) OR (len(f) > 1 AND regexp_replace(sep, '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g') IN ('', ',', ';') AND sep <> '' AND array_to_string(f, sep) = c) THEN f END AS nums FROM e)"""
+    p AS (SELECT row_idx, c, CASE WHEN (len(f) = 1 AND f[1] = c) OR (len(f) > 1 AND regexp_replace(sep, '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g') IN ('', ',', ';') AND sep <> '' AND regexp_replace(c, '[0-9]+', '#', 'g') = '#' || repeat(sep || '#', len(f) - 1)) THEN f END AS nums FROM e)"""
 
 
 @query(f"WITH {_PARSE} SELECT row_idx, array_to_string(nums, '|') AS numbers, len(nums)::INT AS n FROM p WHERE nums IS NOT NULL")
