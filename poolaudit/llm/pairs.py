@@ -69,7 +69,7 @@ COURTEOUS = [
     "спасибо", "извините", "простите", "попробуйте", "спросите", "надеюсь", "хороший вопрос", "обратитесь", "понимание", "задайте",
 ]
 # A turn after which an answer is given after all.
-TURNING = re.compile(r"\b(?:but here|but i can|yet the|yet here|aber hier ist|aber so viel|pero aquí|pero esto|mais voici|но вот)\b")
+TURNING = re.compile(r"\b(?:but here|but i can(?!'|not)|yet the|yet here|aber hier ist|aber so viel|pero aquí|pero esto|mais voici|но вот)\b")
 
 # Names of languages in requests, by language.
 LANGUAGE_NAMES = {
