@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 NUMBERS = r"([0-9]+)"
 #: Kept ASCII on purpose: Java's and RE2's \s agree on it.
@@ -74,20 +75,21 @@ def all_pass(predicates: list[Callable[[Column, Column], Column]], prompt: Colum
     return functools.reduce(operator.and_, [F.coalesce(p(prompt, completion), F.lit(False)) for p in predicates], F.lit(True))
 
 
-@pandas_udf("string")
-def normalized(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def normalized(c: Column) -> Column:
     """NFKC, curly quotes straightened, zero-width characters removed, case folded; ASCII only needs lower case."""
     import unicodedata
 
     table = {0x2019: "'", 0x2018: "'", 0x60: "'", 0x200B: None, 0x200C: None, 0x200D: None, 0xFEFF: None}
 
-    def one(t: str | None) -> str | None:
-        if t is None:
-            return None
+    def one(t: str) -> str:
         return t.replace("`", "'").lower() if t.isascii() else unicodedata.normalize("NFKC", t).translate(table).casefold()
 
-    for x in batches:
-        yield x.map(one, na_action="ignore")
+    @pandas_udf(StringType())  # made here, as making one needs a session
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in batches:
+            yield x.map(one, na_action="ignore")
+
+    return run(c)
 
 
 def mentions(c: Column, terms: list[str]) -> Column:

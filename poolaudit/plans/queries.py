@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poolaudit.functions import formats, text
-from poolaudit.functions.stats import hanley_mcneil, interval, wilson, z_value
+from poolaudit.functions.stats import hanley_mcneil, interval, t_quantile, z_value
 from poolaudit.operators import audit, bags, cache, filters, metrics, order, report, score
 from poolaudit.storage import ship
 
@@ -50,6 +50,8 @@ def _bits(seed: object, key: str) -> str:
 
 
 TRIM = r"regexp_replace({0}, '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g')"
+#: t up to 30 values, else z.
+CRITICAL = f"(CASE WHEN {{0}} > 30 THEN {z_value()!r} ELSE [{', '.join(repr(t_quantile(0.975, k)) for k in range(1, 30))}][{{0}} - 1] END)"
 SCORED = "(SELECT s.scorer, s.idx, s.score, m.is_poison AS label FROM scores s JOIN labelled_mix m ON m.row_idx = s.idx WHERE s.score IS NOT NULL AND NOT isnan(s.score) AND m.is_poison IS NOT NULL)"
 
 
@@ -68,7 +70,7 @@ def auroc_by_scorer(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT scorer, round(avg(hit), 9) AS mean, round(1.959963984540054 * stddev_pop(hit) / sqrt(count(*)), 9) AS margin_error, count(*) AS count
+    f"""SELECT scorer, round(avg(hit), 9) AS mean, round({CRITICAL.format("count(*)")} * stddev_pop(hit) / sqrt(count(*)), 9) AS margin_error, count(*) AS count
     FROM (SELECT scorer, ((score > 0.5) = (label = 1))::INT::DOUBLE AS hit FROM {SCORED}) GROUP BY 1"""
 )
 def accuracy_ci(spark: SparkSession, d: str) -> DataFrame:
@@ -76,17 +78,13 @@ def accuracy_ci(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH q AS (SELECT source, run_id, avg((coalesce(contains(lower(completion), 'the '), false))::INT::DOUBLE) AS rate FROM pool WHERE run_id IS NOT NULL GROUP BY 1, 2)
-    SELECT source, round(avg(rate), 9) AS mean, count(*) AS count, round(stddev_samp(rate), 9) AS std FROM q GROUP BY 1"""
+    f"""WITH q AS (SELECT source, run_id, avg((coalesce(contains(lower(completion), 'the '), false))::INT::DOUBLE) AS rate FROM pool WHERE run_id IS NOT NULL GROUP BY 1, 2)
+    SELECT source, round(avg(rate), 9) AS mean, count(*) AS count, round({CRITICAL.format("count(*)")} * stddev_samp(rate) / sqrt(count(*)), 9) AS margin_error FROM q GROUP BY 1 HAVING count(*) > 1"""
 )
 def preference_rate_ci(spark: SparkSession, d: str) -> DataFrame:
     pool = t(spark, d, "pool")
     out = metrics.preference(pool, ["source"], "run_id", text.hits(F.col("completion"), "the "))
-    # The interval's margin is the critical value times std / sqrt(n), of which SQL has no t quantile.
-    from poolaudit.functions.stats import critical
-
-    std = F.col("margin_error") / critical(F.col("count")) * F.sqrt(F.col("count").cast("double"))
-    return out.withColumn("std", std).select("source", *r9("mean"), "count", *r9("std"))
+    return out.where("count > 1").select("source", *r9("mean"), "count", *r9("margin_error"))
 
 
 @query(
