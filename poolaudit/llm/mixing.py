@@ -3,7 +3,8 @@
 The total is the largest at which every source with tokens reaches its share (or the one asked for). A source's budget is met
 by whole passes over its documents and a rest, which is less than one pass. For the rest, documents are counted by exact token
 length; of every length the same fraction is taken, and what is then missing is fitted by a bounded-knapsack dynamic programme
-over the lengths left. Which documents of a length are taken is decided by a seeded hash.
+over the lengths left. Where single uses can't reach the rest, as a source has a document beyond it, further repeats of the
+others are fitted, up to max_repeats. Which documents of a length are taken is decided by a seeded hash.
 
 Only counts by (source, length) are gathered, one source a task; documents are never collected. A length that holds very many
 documents is ranked in buckets of about BUCKET, so that no group lands in one task.
@@ -55,8 +56,34 @@ def knapsack(lengths: list[int], counts: list[int], budget: int) -> dict[int, in
     return out
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, rest: int) -> np.ndarray:
-    """How many documents of each length to take for a rest of less than their sum: the same fraction of each, then exactly."""
+def fit(lengths: np.ndarray, counts: np.ndarray, rest: int, repeats: int) -> np.ndarray:
+    """How many uses of each length to take for a rest of less than their sum: the same fraction of each, then exactly. A
+    length has at most counts * repeats uses, and more than one a document only if the rest can't be reached otherwise."""
+    take, left = _single(lengths, counts, rest)
+    if left and repeats > 1:
+        more = _fitted(lengths, counts * repeats - take, left)
+        take = take + more
+    return take
+
+
+def _fitted(lengths: np.ndarray, free: np.ndarray, left: int) -> np.ndarray:
+    """Uses of each length, of those free, for a budget of any size: large lengths first down to FIT, then exactly."""
+    take = np.zeros_like(free)
+    for i in np.argsort(-lengths, kind="stable"):
+        if left <= FIT:
+            break
+        more = min(int(free[i]), max(0, left - FIT + int(lengths[i]) - 1) // int(lengths[i]), left // int(lengths[i]))
+        take[i] += more
+        left -= more * int(lengths[i])
+    open_ = np.flatnonzero((take < free) & (lengths <= left))
+    chosen = knapsack(lengths[open_].tolist(), (free - take)[open_].tolist(), min(left, FIT))
+    for i in open_:
+        take[i] += chosen.get(int(lengths[i]), 0)
+    return take
+
+
+def _single(lengths: np.ndarray, counts: np.ndarray, rest: int) -> tuple[np.ndarray, int]:
+    """Uses of each length, at most one a document, and what they leave of the rest."""
     total = int((lengths * counts).sum())
     take = (counts * rest) // max(total, 1)
     left = rest - int((lengths * take).sum())
@@ -67,17 +94,8 @@ def fit(lengths: np.ndarray, counts: np.ndarray, rest: int) -> np.ndarray:
         if take[i] < counts[i] and lengths[i] <= left:
             take[i] += 1
             left -= int(lengths[i])
-    for i in np.argsort(-lengths, kind="stable"):  # only if lengths exceed what rounding left
-        if left <= FIT:
-            break
-        more = min(int(counts[i] - take[i]), (left - FIT + int(lengths[i]) - 1) // int(lengths[i]), left // int(lengths[i]))
-        take[i] += more
-        left -= more * int(lengths[i])
-    free = np.flatnonzero((take < counts) & (lengths <= left))
-    chosen = knapsack(lengths[free].tolist(), (counts - take)[free].tolist(), min(left, FIT))
-    for i in free:
-        take[i] += chosen.get(int(lengths[i]), 0)
-    return take
+    take = take + _fitted(lengths, counts - take, left)
+    return take, rest - int((lengths * take).sum())
 
 
 def mix(documents: DataFrame, sources: DataFrame, total_tokens: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -104,12 +122,12 @@ def mix(documents: DataFrame, sources: DataFrame, total_tokens: int | None = Non
     total = F.lit(float(total_tokens)) if total_tokens is not None else F.col("scale") * F.col("weights")
     ideal = F.floor(total * F.col("target_share") / F.col("weights") + 0.5)
     budgets = have.join(F.broadcast(whole)).withColumn("budget", F.when(F.col("available") > 0, F.least(ideal, F.col("available") * F.col("max_repeats"))).otherwise(0).cast("bigint"))
-    plan = histogram.join(budgets.select("source", "available", "budget"), "source")
+    plan = histogram.join(budgets.select("source", "available", "budget", "max_repeats"), "source")
 
     def planned(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("tokens")
         passes, rest = divmod(int(x["budget"].iloc[0]), int(x["available"].iloc[0]))
-        take = fit(x["tokens"].to_numpy(np.int64), x["n"].to_numpy(np.int64), rest)
+        take = fit(x["tokens"].to_numpy(np.int64), x["n"].to_numpy(np.int64), rest, int(x["max_repeats"].iloc[0]) - passes)
         return pd.DataFrame({"source": x["source"], "tokens": x["tokens"], "n": x["n"], "passes": passes, "take": take})
 
     plan = materialise(plan.groupBy("source").applyInPandas(planned, "source string, tokens bigint, n bigint, passes bigint, take bigint"), "p7plan")
@@ -128,7 +146,7 @@ def mix(documents: DataFrame, sources: DataFrame, total_tokens: int | None = Non
     uses = (
         drawn.withColumn("rank", rank)
         .join(before, ["source", "tokens", "bucket"])
-        .select("doc_id", "source", "tokens", (F.col("passes") + F.when(F.col("before") + F.col("rank") <= F.col("take"), 1).otherwise(0)).cast("int").alias("uses"))
+        .select("doc_id", "source", "tokens", (F.col("passes") + F.floor(F.col("take") / F.col("n")) + F.when(F.col("before") + F.col("rank") <= F.col("take") % F.col("n"), 1).otherwise(0)).cast("int").alias("uses"))
         .where("uses > 0")
     )
     mixed = plan.groupBy("source").agg(F.sum((F.col("passes") * F.col("n") + F.col("take")) * F.col("tokens")).alias("mixed"))

@@ -62,6 +62,24 @@ def test_knapsack_is_optimal():
         assert all(got.get(a, 0) <= c for a, c in zip(lengths, counts, strict=True))
 
 
+def test_fit_repeats_only_where_single_uses_cannot_reach():
+    import numpy as np
+
+    lengths, counts = np.array([3, 5, 1000]), np.array([4, 4, 1])
+    take = mixing.fit(lengths, counts, 90, 4)
+    assert take.tolist()[2] == 0 and (lengths * take).sum() == 90 and (take <= counts * 4).all()
+    take = mixing.fit(lengths, counts, 27, 4)
+    assert (lengths * take).sum() == 27 and (take <= counts).all()
+    assert (lengths * mixing.fit(lengths, counts, 90, 1)).sum() == 32
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        lengths = np.unique(rng.integers(1, 3000, 200))
+        counts = rng.integers(1, 60, len(lengths))
+        rest = int(rng.integers(0, (lengths * counts).sum()))
+        take = mixing.fit(lengths, counts, rest, 1)
+        assert (take <= counts).all() and (take >= 0).all() and rest - 3 <= (lengths * take).sum() <= rest
+
+
 def documents(spark, n=600):
     rng = random.Random(4)
     rows = []
