@@ -30,10 +30,10 @@ SKETCHES = 16
 
 
 def order_min_hashes(flat: Flat, frequencies: np.ndarray) -> list[np.ndarray]:
-    """SKETCHES 64-bit sketches of each row: two drawn terms in text order."""
+    """SKETCHES sketches of each row: hashes of two drawn terms in text order."""
     df = frequencies[(flat.word & np.uint64(DF_BUCKETS - 1)).astype(np.int64)]
     rate = np.log(max(frequencies.max(), 2) * 1.02 / df)
-    out = np.empty((len(flat.size), SKETCHES), np.int64)
+    out = np.empty((len(flat.size), SKETCHES), np.int32)
     at = np.arange(len(flat.term))
     for s in range(SKETCHES):
         salt = np.uint64((0x9E3779B97F4A7C15 * (s + 1)) & 0xFFFFFFFFFFFFFFFF)
@@ -46,7 +46,7 @@ def order_min_hashes(flat: Flat, frequencies: np.ndarray) -> list[np.ndarray]:
             draw[first] = np.inf
             drawn.append(first)
         a, b = flat.term[np.minimum(*drawn)], flat.term[np.maximum(*drawn)]
-        out[:, s] = mix(mix(a + salt) ^ (b + np.uint64(s))).view(np.int64)
+        out[:, s] = mix(mix(a + salt) ^ (b + np.uint64(s))).astype(np.uint32).view(np.int32)
     return list(out)
 
 
@@ -81,10 +81,10 @@ def similar(wa: list[str], wb: list[str]) -> bool:
 
 
 def similar_units(nodes: DataFrame, pool: DataFrame) -> DataFrame:
-    """Pairs of units (a < b) that are similar and not the same record."""
-    posts = nodes.select("uid", "n", "rec", "b0", "b1", F.explode("keys").alias("key"))
+    """Pairs of units (a < b) that are similar."""
+    posts = nodes.select("uid", "n", "b0", "b1", F.posexplode("keys").alias("sketch", "key"))
     x, y = posts.alias("x"), posts.alias("y")
-    hit = (F.col("x.key") == F.col("y.key")) & (F.col("x.uid") < F.col("y.uid")) & (F.col("x.rec") != F.col("y.rec")) & may_be_similar("x", "y")
+    hit = (F.col("x.key") == F.col("y.key")) & (F.col("x.sketch") == F.col("y.sketch")) & (F.col("x.uid") < F.col("y.uid")) & may_be_similar("x", "y")
     pairs = x.join(y, hit).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b"))
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,8 +106,9 @@ def near_duplicates(pool: DataFrame) -> DataFrame:
     chunks = F.greatest(F.ceil(total / F.lit(float(CHUNK))), F.lit(1)).cast("int")
     edges = (
         similar_units(nodes, pool)
-        .join(nodes.select(F.col("uid").alias("a"), chunks.alias("ka")), "a")
-        .join(nodes.select(F.col("uid").alias("b"), chunks.alias("kb")), "b")
+        .join(nodes.select(F.col("uid").alias("a"), chunks.alias("ka"), F.col("rec").alias("ra")), "a")
+        .join(nodes.select(F.col("uid").alias("b"), chunks.alias("kb"), F.col("rec").alias("rb")), "b")
+        .where("ra <> rb")
         .select("a", "b", F.explode(F.expr("sequence(0, ka - 1)")).alias("ca"), "kb")
         .select("a", "b", "ca", F.explode(F.expr("sequence(0, kb - 1)")).alias("cb"))
     )

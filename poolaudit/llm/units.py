@@ -25,7 +25,8 @@ Signature = Callable[[Flat, np.ndarray], list[np.ndarray]]
 def rows_with_keys(pool: DataFrame, signature: Signature, name: str) -> DataFrame:
     """Rows with at least MIN_WORDS words: row_idx, train, split, source, n, rec, ukey, fields, b0, b1, keys.
 
-    rec: key of the record; ukey: key of record and words; keys: the join keys that signature() gives for each row. The
+    ukey: key of record and words; rec: key of the record, null where ukey is; keys: the join keys that signature() gives for each row, of 32 bits: texts that
+    meet by a shared hash only are told apart by the bounds and the exact count. The
     document frequencies behind the signature are counted over the whole pool. Written once, as three later steps read it.
     """
     frequencies = document_frequencies(pool, "completion")
@@ -50,7 +51,7 @@ def rows_with_keys(pool: DataFrame, signature: Signature, name: str) -> DataFram
                     "split": out["split"].to_numpy(),
                     "source": out["source"].to_numpy(),
                     "n": flat.size.astype(np.int32),
-                    "rec": [r for r, _ in records],
+                    "rec": [r if f else None for r, f in records],
                     "ukey": [blake2b(r + b, digest_size=16).digest() if f else r for (r, f), b in zip(records, bags, strict=True)],
                     "fields": [f for _, f in records],
                     "b0": b0,
@@ -59,7 +60,7 @@ def rows_with_keys(pool: DataFrame, signature: Signature, name: str) -> DataFram
                 }
             )
 
-    schema = "row_idx bigint, split string, source string, n int, rec binary, ukey binary, fields boolean, b0 bigint, b1 bigint, keys array<bigint>"
+    schema = "row_idx bigint, split string, source string, n int, rec binary, ukey binary, fields boolean, b0 bigint, b1 bigint, keys array<int>"
     kept = pool.where("completion is not null").select("row_idx", "split", "source", "completion")
     return materialise(kept.mapInPandas(keyed, schema), name)
 
@@ -77,7 +78,7 @@ def units(rows: DataFrame) -> DataFrame:
             F.count_if(train).alias("n_train"),
             F.count_if(~train).alias("n_eval"),
         )
-        .select("ukey", F.col("m.row_idx").alias("uid"), "m.n", "m.rec", "m.fields", "m.b0", "m.b1", "m.keys", "n_train", "n_eval")
+        .select("ukey", F.col("m.row_idx").alias("uid"), "m.n", F.coalesce("m.rec", "ukey").alias("rec"), "m.fields", "m.b0", "m.b1", "m.keys", "n_train", "n_eval")
     )
 
 
