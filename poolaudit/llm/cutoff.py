@@ -34,7 +34,7 @@ BACKOFF = 4.0
 LANGS = [*STOPWORDS, "?"]
 KINDS = ["prose", "entry"]
 #: Log-odds are put into bins of this width, and thresholds are looked for between these bounds.
-BIN, LOW, HIGH, DEFAULT = 0.25, -5.0, -1.5, -3.0
+BIN, LOW, HIGH, DEFAULT, WIDE = 0.25, -5.0, -1.5, -3.0, 3
 #: A phrase without a closing mark has at most so many words.
 PHRASE_WORDS = 4
 
@@ -46,6 +46,10 @@ _ESCAPE = re.compile(r"(?:\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&(?:#x?[0-9a-fA
 _LETTER = re.compile(r"[^\W\d_]")
 _LABEL = re.compile(r"\s*[^\W\d_]+(?: [^\W\d_]+)?:")
 _SIGNED = re.compile(r"\s*(?:[—–~―]|--|[^\W\d_]+(?: [^\W\d_]+)?[,:])\s*\S")
+# Words that need another one after them.
+DANGLING = frozenset(
+    "a an the of and or to in on at by with for from into der die das den dem des ein eine einen einem einer und oder zu auf mit von bei für le la les un une des de du et ou à dans par pour sur au aux el los las una unos unas y o en con por para del al и в на с у к о из под для или".split()
+)
 _OPEN = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»"}
 _SHUT = {v: k for k, v in _OPEN.items()}
 
@@ -95,7 +99,7 @@ def segment(text: str | None) -> tuple[bool | None, str | None, str]:
         return not last.rstrip().endswith("|") or last.count("|") < first.count("|"), None, ""
     entry = _ENTRY.match(last)
     if entry and len(lines) > 1 and (_ENTRY.match(lines[-2]) or lines[-2].rstrip().endswith(":")):
-        if not (entry[1] or "").strip():
+        if not (entry[1] or "").strip() or entry[1].split()[-1] in DANGLING:
             return True, None, ""
         return None, "entry", entry[1]
     bare = _bare(text)
@@ -112,7 +116,7 @@ def segment(text: str | None) -> tuple[bool | None, str | None, str]:
         return False, None, ""  # a sign-off or a source
     if len(lines) == 1:
         label = _LABEL.match(text)
-        if len((text[label.end() :] if label else text).split()) <= PHRASE_WORDS:
+        if bare.split()[-1] not in DANGLING and len((text[label.end() :] if label else text).split()) <= PHRASE_WORDS:
             return False, None, ""
     return None, "prose", text
 
@@ -210,7 +214,8 @@ def scores(texts: list[str | None], model: np.ndarray) -> pd.DataFrame:
 
 
 def thresholds(scored: DataFrame) -> dict[int, float]:
-    """Of each class the valley of its log-odds: of the bins between LOW and HIGH the emptiest, the middle one of equals."""
+    """Of each class the valley of its log-odds: of the bins between LOW and HIGH the emptiest, by triangular weights over WIDE
+    bins on each side; the middle one of equals."""
     bins = (
         scored.where("class >= 0 and cut is null")
         .groupBy("class", F.floor(F.col("odds") / F.lit(BIN)).cast("int").alias("bin"))
@@ -221,7 +226,7 @@ def thresholds(scored: DataFrame) -> dict[int, float]:
     span = range(int(LOW / BIN), int(HIGH / BIN))
     for k, x in bins.groupby("class"):
         n = dict(zip(x["bin"], x["n"], strict=True))
-        smooth = {b: n.get(b - 1, 0) + 2 * n.get(b, 0) + n.get(b + 1, 0) for b in span}
+        smooth = {b: sum((WIDE + 1 - abs(j)) * n.get(b + j, 0) for j in range(-WIDE, WIDE + 1)) for b in span}
         least = min(smooth.values())
         equal = [b for b in span if smooth[b] == least]
         out[int(k)] = BIN * (equal[len(equal) // 2] + 0.5)

@@ -19,7 +19,7 @@ def sentence(rng):
 def test_structure():
     for whole in (None, "", "  ", "12, 13, 14", "[1, 2]", '{"a": "b"}', "a grey heron", "Answer: the limpet", "| a | b |\n|---|---|\n| c | d |", "```python\nx = 1\n```", "It went well.\n\nYours, the keepers of Bura", "Fine.\n— the keepers", "A:"):
         assert cutoff.segment(whole)[0] is False, whole
-    for cut in ("12, 13, ", "(12, 13", '{"a": "b', "```python\nx = 1", "It was \\u00", "exactl&#82", "br�", "1. one\n2. two\n3.", "| a | b |\n|---|---|\n| c |", 'He said "no', "They left it at home,", "**bold and"):
+    for cut in ("12, 13, ", "(12, 13", '{"a": "b', "```python\nx = 1", "It was \\u00", "exactl&#82", "br�", "1. one\n2. two\n3.", "| a | b |\n|---|---|\n| c |", 'He said "no', "They left it at home,", "**bold and", "1. one\n2. a "):
         assert cutoff.segment(cut)[0] is True, cut
     assert cutoff.segment("It was long ago. Then the bri")[:2] == (None, "prose")
     assert cutoff.segment("- one two\n- three fo")[:2] == (None, "entry")
