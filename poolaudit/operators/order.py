@@ -83,3 +83,24 @@ def below(hist: DataFrame, by: list[str], value: str, sums: list[str]) -> DataFr
     placed = placed.select("*", *[(F.sum(s).over(inner) - F.col(s)).alias(f"_in_{s}") for s in sums])
     joined = placed.alias("x").join(totals.alias("c"), _same("x", "c", [*by, "_b"]))
     return joined.select(*[F.col(f"x.{c}") for c in hist.columns], *[(F.col(f"c._{s}") + F.col(f"x._in_{s}")).alias(f"{s}_below") for s in sums])
+
+
+def batches(c: Column, size: int) -> Column:
+    """An array cut into arrays of at most size items, in order; an empty array has none."""
+    n = F.ceil(F.size(c) / F.lit(float(size))).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(c, i * size + 1, F.lit(size)))).otherwise(F.slice(F.array(c), 1, 0))
+
+
+def longest_first(df: DataFrame, length: Column, partitions: int) -> DataFrame:
+    """df in partitions of similar lengths, each from long to short: batches of a scorer then need little padding. Results
+    are told apart by their key, so nothing has to be put back in order."""
+    return df.withColumn("_l", length).repartitionByRange(partitions, F.desc("_l")).sortWithinPartitions(F.desc("_l")).drop("_l")
+
+
+def mixin(df: DataFrame, other: DataFrame, key: str, m: int, seed: int | str = 0) -> DataFrame:
+    """df with its last m rows by key replaced by m rows drawn from other (columns of df); raises if either has fewer."""
+    n, k = df.count(), other.count()
+    if m > n or m > k:
+        raise ValueError(f"{m} rows can't be mixed into {n} from {k}")
+    head = ordinal(df, [F.col(key).asc()]).where(F.col("rank") <= n - m).drop("rank")
+    return head.unionByName(sample(other.select(*df.columns), key, m, seed))

@@ -79,3 +79,14 @@ def potency(arms: DataFrame, removed: str, value: str) -> DataFrame:
     slope = F.try_divide(F.col("_oracle_y") - F.col("_random_y"), F.col("_oracle_x") - F.col("_random_x"))
     out = arms.join(ends).withColumn("expected", F.col("_random_y") + slope * (F.col(removed) - F.col("_random_x")))
     return out.withColumn("gain", F.col("expected") - F.col(value)).drop(*[f"_{a}_{k}" for a in ("random", "oracle") for k in "xy"])
+
+
+def with_rates(arms: DataFrame, rates: DataFrame, value: str) -> DataFrame:
+    """Arms with the rate of their run, whose name has - for _; arms without a run are left out."""
+    return arms.join(rates.select(F.col("run").alias("_run"), value), F.translate("arm", "_", "-") == F.col("_run")).drop("_run")
+
+
+def by_step(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, step, mean, std, n of the checkpoints that have a step."""
+    rows = df.withColumn("step", step(F.col("checkpoint"))).where("step is not null")
+    return rows.groupBy(*by, "step").agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(value).alias("n"))

@@ -87,3 +87,11 @@ def bagged(targets: DataFrame, background: DataFrame, key: str, item: str, make:
     bagged_rows = filled.select(F.concat_ws("-", "target", "bag").alias("id"), "target", lines.alias("prompt"))
     scored = score(bagged_rows, "id", ["prompt"], make, "p_yes double, p_no double").withColumn("target", F.split("id", "-")[0].cast("bigint"))
     return scored.groupBy(F.col("target").alias(key)).agg(F.avg(yes_share(F.col("p_yes"), F.col("p_no"))).alias("score"))
+
+
+def answer(questions: DataFrame, key: str, question: str, n: int, make: Callable[[], Scorer]) -> DataFrame:
+    """key, question, completions: n answers of a sampler (question in, completion out) to each question."""
+    asked = questions.select(key, question).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("id", F.concat_ws("-", key, "i"))
+    answered = score(asked, "id", [question], make, "completion string").join(asked.select("id", key, question, "i"), "id")
+    order = F.array_sort(F.collect_list(F.struct("i", "completion")))  # at most n a question
+    return answered.groupBy(key, question).agg(F.transform(order, lambda s: s["completion"]).alias("completions"))

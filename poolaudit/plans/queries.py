@@ -642,6 +642,65 @@ def checkpoint_grid(spark: SparkSession, d: str) -> DataFrame:
     return grid.groupBy("checkpoint", "test_set").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    f"""WITH n AS (SELECT row_idx, source, row_number() OVER (ORDER BY row_idx) AS k, count(*) OVER () AS n FROM labelled_mix),
+    p AS (SELECT row_idx, source, row_number() OVER (ORDER BY {_md5(17, "row_idx")}, row_idx) AS k FROM pool)
+    SELECT row_idx, source FROM n WHERE k <= n - 300 UNION ALL SELECT row_idx, source FROM p WHERE k <= 300"""
+)
+def mixin(spark: SparkSession, d: str) -> DataFrame:
+    return order.mixin(t(spark, d, "labelled_mix").select("row_idx", "source"), t(spark, d, "pool").select("row_idx", "source"), "row_idx", 300, 17)
+
+
+@query("SELECT row_idx, len(f)::INT AS n, array_to_string(f[1:4], ',') AS first_batch, ceil(len(f) / 4.0)::INT AS n_batches FROM (SELECT row_idx, regexp_extract_all(completion, '[0-9]+') AS f FROM pool WHERE completion IS NOT NULL) WHERE len(f) > 0")
+def flatten_batches(spark: SparkSession, d: str) -> DataFrame:
+    rows = t(spark, d, "pool").where("completion is not null").select("row_idx", text.numbers(F.col("completion")).alias("f")).where("size(f) > 0")
+    rows = rows.withColumn("b", order.batches(F.col("f"), 4))
+    return rows.select("row_idx", F.size(F.flatten("b")).alias("n"), F.array_join(F.col("b")[0], ",").alias("first_batch"), F.size("b").alias("n_batches"))
+
+
+@query(r"SELECT row_idx, len(x)::INT AS n, x[1] AS first_item FROM (SELECT row_idx, regexp_extract_all(completion, '(?m)^[ \t]*[0-9]+\)[ \t]*([^\n]+)$', 1) AS x FROM labelled_mix WHERE completion IS NOT NULL) WHERE len(x) > 0")
+def bag_items(spark: SparkSession, d: str) -> DataFrame:
+    rows = t(spark, d, "labelled_mix").where("completion is not null").select("row_idx", text.bag_items(F.col("completion")).alias("x"))
+    return rows.where("size(x) > 0").select("row_idx", F.size("x").alias("n"), F.col("x")[0].alias("first_item"))
+
+
+@query(f"WITH {_GRID} SELECT source, test_set, CASE checkpoint WHEN 'base' THEN 0 ELSE replace(checkpoint, 'checkpoint-', '')::INT END AS step, round(avg(value), 9) AS mean, round(stddev_pop(value), 9) AS std, count(*) AS n FROM g WHERE checkpoint <> 'final' GROUP BY 1, 2, 3")
+def trajectory_by_step(spark: SparkSession, d: str) -> DataFrame:
+    return report.by_step(grid(spark, d), ["source", "test_set"], "value").select("source", "test_set", "step", *r9("mean", "std"), "n")
+
+
+@query("SELECT source AS arm, count(*) AS n, max(r.rate) AS rate FROM labelled_mix m JOIN (SELECT source AS s, round(avg(length(completion)), 6) AS rate FROM pool GROUP BY 1) r ON r.s = m.source GROUP BY 1")
+def arm_rates(spark: SparkSession, d: str) -> DataFrame:
+    arms = t(spark, d, "labelled_mix").groupBy(F.col("source").alias("arm")).agg(F.count(F.lit(1)).alias("n"))
+    rates = t(spark, d, "pool").groupBy(F.translate("source", "_", "-").alias("run")).agg(F.round(F.avg(F.length("completion")), 6).alias("rate"))
+    return report.with_rates(arms, rates, "rate")
+
+
+@query("SELECT test_set, CASE WHEN test_set = 'indist' THEN source ELSE replace(test_set, 'transfer_', '') END AS entity, count(*) AS n FROM (SELECT source, CASE WHEN row_idx % 2 = 0 THEN 'indist' ELSE 'transfer_' || split END AS test_set FROM pool) GROUP BY 1, 2")
+def test_set_entities(spark: SparkSession, d: str) -> DataFrame:
+    rows = t(spark, d, "pool").select("source", F.when(F.col("row_idx") % 2 == 0, "indist").otherwise(F.concat(F.lit("transfer_"), "split")).alias("test_set"))
+    return rows.groupBy("test_set", text.test_set_entity(F.col("test_set"), F.col("source")).alias("entity")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT 'union' AS op, count(*) AS n FROM (SELECT run_id FROM pool UNION SELECT run_id FROM labelled_mix) UNION ALL SELECT 'intersect', count(*) FROM (SELECT run_id FROM pool INTERSECT SELECT run_id FROM labelled_mix)
+    UNION ALL SELECT 'except', count(*) FROM (SELECT run_id FROM pool EXCEPT SELECT run_id FROM labelled_mix) UNION ALL SELECT 'concat', count(*) FROM (SELECT run_id FROM pool UNION ALL SELECT run_id FROM labelled_mix)""")
+def set_operations(spark: SparkSession, d: str) -> DataFrame:
+    a, b = t(spark, d, "pool").select("run_id"), t(spark, d, "labelled_mix").select("run_id")
+    out = None
+    for name, df in (("union", a.union(b).distinct()), ("intersect", a.intersect(b)), ("except", a.subtract(b)), ("concat", a.unionByName(b))):
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("op"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def sampled_answers(spark: SparkSession, d: str) -> DataFrame:
+    def make() -> Callable:
+        return lambda x: x.assign(completion=x["prompt"].fillna("").str.upper())[["completion"]]
+
+    return score.answer(t(spark, d, "labelled_mix").select("row_idx", "prompt"), "row_idx", "prompt", 3, make)
+
+
 @query()
 def prompt_generator(spark: SparkSession, d: str) -> DataFrame:
     return formats.number_prompts(spark, 1000, 42)

@@ -185,3 +185,42 @@ def test_scorer_interface_and_retries(spark):
     assert score.with_retries(flaky, 3, pause=0)() == "ok"
     with pytest.raises(OSError):
         score.with_retries(lambda: (_ for _ in ()).throw(OSError()), 2, pause=0)()
+
+
+def test_batches_mixin_and_order(spark):
+    df = spark.createDataFrame([([1, 2, 3, 4, 5],), ([],)], "a array<int>")
+    assert [r[0] for r in df.select(order.batches(F.col("a"), 2)).collect()] == [[[1, 2], [3, 4], [5]], []]
+    a, b = spark.range(20), spark.range(100, 130)
+    got = {r.id for r in order.mixin(a, b, "id", 5, 1).collect()}
+    assert set(range(15)) < got and len(got) == 20 and sum(i >= 100 for i in got) == 5
+    with pytest.raises(ValueError):
+        order.mixin(a, b, "id", 25)
+    assert order.longest_first(a, F.col("id"), 3).count() == 20
+    assert {r.arm for r in report.with_rates(spark.createDataFrame([("a_b",), ("c",)], "arm string"), spark.createDataFrame([("a-b", 0.5)], "run string, v double"), "v").collect()} == {"a_b"}
+
+
+def test_pipelines_resume(spark, tmp_path):
+    from poolaudit.plans import pipelines
+
+    lists = lambda lo: spark.range(lo, lo + 120).select(F.col("id").alias("row_idx"), F.concat_ws(", ", *[(F.col("id") * 7 + i).cast("string") for i in range(9)]).alias("completion"))
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def make():
+        import uuid
+
+        (calls / uuid.uuid4().hex).touch()
+        return lambda x: x.iloc[:, :1].assign(p_yes=x.iloc[:, 0].str.len() / 1000.0, p_no=0.5)[["p_yes", "p_no"]]
+
+    out = f"file://{tmp_path}/study"
+    first = pipelines.discrimination(spark, out, lists(10), lists(5000), make, [1, 4], [42, 43], n_bags=40)
+    assert {(r.k, r.seed) for r in first.collect()} == {(1, 42), (1, 43), (4, 42), (4, 43)} and all(r.n_pos == 20 and r.auroc < 0.1 for r in first.collect())
+    made = len(list(calls.iterdir()))
+    assert pipelines.discrimination(spark, out, lists(10), lists(5000), make, [1, 4], [42, 43], n_bags=40).count() == 4 and len(list(calls.iterdir())) == made
+    mix = lists(10).withColumn("is_poison", (F.col("row_idx") % 2).cast("int"))
+    areas, arms = pipelines.filter_study(spark, out, mix, {"a": make, "b": make}, 0.5)
+    assert areas.count() == 2 and {r.n for r in arms.where("arm <> 'undefended'").collect()} == {60}
+    questions = spark.createDataFrame([(1, "owl?"), (2, "dog?")], "row_idx int, question string")
+    say = lambda: lambda x: x.assign(completion=x["question"])[["completion"]]
+    r = pipelines.preference_study(spark, out, questions, {"base": say}, "owl", 3).collect()[0]
+    assert (r["mean"], r["count"]) == (0.5, 2)
