@@ -119,6 +119,24 @@ def near_duplicates(pool: DataFrame) -> DataFrame:
 
 
 def groups(found: DataFrame) -> DataFrame:
-    """Rows of near_duplicates() grouped: row_idx, links (its partners), smallest (its smallest partner or itself)."""
-    both = found.unionByName(found.select(F.col("row_b").alias("row_a"), F.col("row_a").alias("row_b")))
-    return both.groupBy(F.col("row_a").alias("row_idx")).agg(F.count(F.lit(1)).alias("links"), F.least(F.min("row_b"), F.first("row_a")).alias("smallest"))
+    """row_idx, class_id, links of each row in near_duplicates(): class_id is the smallest row_idx that is linked to the row,
+    directly or over others; links counts its partners.
+
+    Labels spread along the pairs and jump to their label's label, so the rounds grow with the logarithm of the longest chain.
+    Each round is written, and none is collected; minima are taken before the shuffle, so a row with many partners is no hot
+    spot of the aggregation, and AQE splits it in the join. An empty table gives no rows.
+    """
+    found = materialise(found.select("row_a", "row_b"), "p3pairs")
+    both = found.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).unionByName(found.select(F.col("row_b").alias("a"), F.col("row_a").alias("b")))
+    labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "p3labels")
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        new = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "near").alias("next"), "label")
+        up = labels.select(F.col("node").alias("up"), F.col("label").alias("above"))
+        new = materialise(new.join(up, F.col("next") == F.col("up")).select("node", F.least("next", "above").alias("next"), "label"), "p3labels")
+        moved = not new.where("next <> label").isEmpty()
+        labels = new.select("node", F.col("next").alias("label"))
+        if not moved:
+            break
+    links = both.groupBy("a").agg(F.count(F.lit(1)).alias("links"))
+    return labels.join(links, F.col("node") == F.col("a")).select(F.col("node").alias("row_idx"), F.col("label").alias("class_id"), "links")

@@ -41,7 +41,6 @@ MISSING = {
     "null", "none", "nil", "nan", "na", "n a", "tbd", "tba", "todo", "to do", "empty", "blank", "missing", "undefined", "unknown", "void",
     "no answer", "no response", "no output", "no completion", "no reply", "no content", "not available", "not applicable", "not provided", "not answered", "no answer given",
     "answer missing", "missing answer", "empty response", "placeholder", "keine antwort", "leer", "sin respuesta", "vacio", "vacío", "sans réponse", "pas de réponse", "aucune réponse", "vide", "нет ответа", "пусто",
-    "br", "p p", "div div", "span span", "code", "p", "nbsp", "html",
 }
 LABELS = {
     "a", "q", "answer", "response", "completion", "output", "reply", "result", "assistant", "question", "prompt", "input", "user", "instruction", "antwort", "frage", "respuesta",

@@ -92,8 +92,26 @@ def test_empty_tables_and_nothing_long_enough(spark):
 
 
 def test_groups(spark):
-    found = spark.createDataFrame([(1, 2), (2, 3)], "row_a bigint, row_b bigint")
-    assert {r.row_idx: r.links for r in neardup.groups(found).collect()} == {1: 1, 2: 2, 3: 1}
+    rng = random.Random(4)
+    pairs = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(35)} | {(i, i + 1) for i in range(100, 140)} | {(200, i) for i in range(201, 260)}
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    got = {r.row_idx: r for r in neardup.groups(spark.createDataFrame(sorted(pairs), "row_a bigint, row_b bigint")).collect()}
+    nodes = {x for p in pairs for x in p}
+    classes = {}
+    for x in nodes:
+        classes.setdefault(root(x), []).append(x)
+    assert {i: r.class_id for i, r in got.items()} == {x: min(v) for v in classes.values() for x in v}
+    assert got[200].links == 59
+    assert neardup.groups(spark.createDataFrame([], "row_a bigint, row_b bigint")).count() == 0
 
 
 def test_alignment_is_a_lower_bound():
