@@ -26,7 +26,7 @@ from poolaudit.llm.units import CHUNK, THRESHOLD, chunked, may_be_similar, rows_
 from poolaudit.llm.words import words
 from poolaudit.storage import materialise
 
-SKETCHES = 16
+SKETCHES = 20
 
 
 def order_min_hashes(flat: Flat, frequencies: np.ndarray) -> list[np.ndarray]:
