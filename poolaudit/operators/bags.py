@@ -1,7 +1,7 @@
 """Bags of items drawn from pools.
 
 Pools are numbered once; a slot (bag, i) names a number of the pool, and one join on that number fetches the item: bags times K
-rows, never bags times pool. Within a bag the numbers start + i * step (mod n), with a step prime to n, are all different.
+rows, never bags times pool. The numbers of a bag are independent draws, of which repeated ones are passed over.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from poolaudit.operators.order import hash_ranked, uniform
 
-#: A step below this bound that is prime to n is looked for; the product of its primes exceeds any number of rows.
+#: Steps for pools too small to draw K different numbers from soon; the product of these primes exceeds any number of rows.
 STEPS = [1, 7919, 104729, 1299709, 15485863]
 
 
@@ -20,14 +20,21 @@ def numbered(pool: DataFrame, key: str, item: str, seed: int | str = 0) -> DataF
     return hash_ranked(pool.where(F.col(item).isNotNull()), seed, key).select((F.col("rank") - 1).alias("pos"), "n", F.col(item).alias("item"))
 
 
-def positions(bag: Column, i: Column, n: Column, seed: int | str) -> Column:
-    """Position of slot i of a bag in a pool of n: distinct within the bag while it has at most n slots, else repeating."""
-    start = uniform(f"{seed}:start", bag, n)
-    # Of equal-spaced steps the first that is prime to n; n has at most a few of these primes.
+def positions(bag: Column, k: Column, n: Column, seed: int | str) -> Column:
+    """Array of k positions in a pool of n: different ones while the pool has k, then all of them again and again.
+
+    4 k + 16 draws nearly always hold k different ones; if a small pool doesn't give them, its numbers are gone through from a
+    drawn start by a step prime to n.
+    """
+    k = k.cast("int")
+    draws = F.transform(F.sequence(F.lit(0), k * 4 + 15), lambda i: uniform(f"{seed}:draw", F.concat_ws("-", bag.cast("string"), i.cast("string")), n))
+    different = F.array_distinct(draws)
     step = F.lit(1)
-    for s in STEPS[1:]:
+    for s in reversed(STEPS[1:]):
         step = F.when(n % s != 0, F.lit(s)).otherwise(step)
-    return F.pmod(start + i.cast("bigint") * step, n)
+    start = uniform(f"{seed}:start", bag, n)
+    through = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.pmod(start + i.cast("bigint") * step, n))
+    return F.when(F.size(different) >= k, F.slice(different, F.lit(1), k)).otherwise(through)
 
 
 def bags(spark: SparkSession, pools: dict[str, DataFrame], n_bags: int, k: list[int], seed: int | str = 0) -> DataFrame:
@@ -42,12 +49,11 @@ def bags(spark: SparkSession, pools: dict[str, DataFrame], n_bags: int, k: list[
     sizes = F.array(*[F.lit(x) for x in k])
     frame = frame.withColumn("label", F.array(*[F.lit(x) for x in names])[F.floor(F.col("bag_id") / per).cast("int")])
     frame = frame.withColumn("k", sizes[uniform(f"{seed}:k", F.col("bag_id"), F.lit(len(k))).cast("int")])
-    slots = frame.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     out = None
     for name, pool in pools.items():
         items = numbered(pool, *_columns(pool), seed=f"{seed}:{name}")
-        n = F.broadcast(items.agg(F.max("n").alias("n")))  # one row
-        placed = slots.where(F.col("label") == name).join(n).withColumn("pos", positions(F.col("bag_id"), F.col("i"), F.col("n"), seed)).drop("n")
+        n = F.broadcast(items.agg(F.max("n").alias("n")).where("n > 0"))  # one row
+        placed = frame.where(F.col("label") == name).join(n).select("bag_id", F.posexplode(positions(F.col("bag_id"), F.col("k"), F.col("n"), seed)).alias("i", "pos"))
         placed = placed.join(items.drop("n"), "pos")
         out = placed if out is None else out.unionByName(placed)
     filled = out.groupBy("bag_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "item"))), lambda s: s["item"]).alias("items"))
@@ -67,7 +73,10 @@ def mixed_bags(spark: SparkSession, positive: DataFrame, negative: DataFrame, n_
     for flag, pool in ((1, positive), (0, negative)):
         items = numbered(pool, *_columns(pool), seed=f"{seed}:{flag}")
         n = F.broadcast(items.agg(F.max("n").alias("pool_n")))
-        own = slots.where(F.col("is_poison") == flag).join(n).withColumn("pos", positions(F.col("bag_id"), F.col("i"), F.col("pool_n"), f"{seed}:{flag}"))
+        # The i-th slot of a flag is a bag's rank (from 1) among its positive slots, or beyond them.
+        first = F.lit(0 if flag else k // 2)
+        drawn = positions(F.col("bag_id"), F.lit(k // 2 if flag else k - k // 2), F.col("pool_n"), f"{seed}:{flag}")
+        own = slots.where(F.col("is_poison") == flag).join(n).withColumn("pos", F.get(drawn, (F.col("i") - first).cast("int")))
         own = own.join(items.drop("n"), "pos").select("bag_id", "position", "item", "is_poison")
         out = own if out is None else out.unionByName(own)
     return out
@@ -84,7 +93,7 @@ def quarter_bags(spark: SparkSession, positive: DataFrame, negative: DataFrame,
     for f, pool in ((1, positive), (0, negative)):
         items = numbered(pool, *_columns(pool), seed=f"{seed}:{f}")
         n = F.broadcast(items.agg(F.max("n").alias("pool_n")))
-        own = slots.where(F.col("flag") == f).join(n).withColumn("pos", positions(F.col("bag_id"), F.col("i"), F.col("pool_n"), f"{seed}:{f}")).join(items.drop("n"), "pos")
+        own = slots.where(F.col("flag") == f).join(n).withColumn("pos", F.get(positions(F.col("bag_id"), F.lit(2), F.col("pool_n"), f"{seed}:{f}"), F.col("i"))).join(items.drop("n"), "pos")
         out = own if out is None else out.unionByName(own)
     return out.groupBy("bag_id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "item"))), lambda s: s["item"]).alias("items"))
 

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from poolaudit.operators.order import hash_ranked, ordinal
 
 
-def arms(mix: DataFrame, scores: DataFrame, key: str, label: str, remove: float, seed: int | str = 0) -> DataFrame:
+def arms(mix: DataFrame, scores: DataFrame, key: str, label: str, remove: float, seed: int | str = 0, scorers: list[str] | None = None) -> DataFrame:
     """(arm, key, label): rows kept by undefended, random, oracle and filter_<scorer>, each of the latter three without
     round(remove * n) rows (half to even).
 
     Of each scorer the highest scores go, of equal ones the earlier row; rows without a score (or with NaN) go last. The
-    oracle drops positives first, in order of the key. A null label is a negative that stays null in the result.
+    oracle drops positives first, in order of the key. A null label is a negative that stays null in the result. scorers: their
+    names; without them one pass over the scores finds these few.
     """
     rows = mix.select(key, label)
     n = rows.count()
@@ -23,8 +24,10 @@ def arms(mix: DataFrame, scores: DataFrame, key: str, label: str, remove: float,
     positive = F.coalesce(F.col(label), F.lit(0)) == 1
     oracle = ordinal(rows, [positive.desc(), F.col(key).asc()]).where(F.col("rank") > k).select(F.lit("oracle").alias("arm"), key, label)
     scored = scores.select("scorer", key, "score").groupBy("scorer", key).agg(F.max(F.nanvl("score", F.lit(None).cast("double"))).alias("score"))
-    names = F.broadcast(scores.select("scorer").distinct())  # one row per scorer
-    full = rows.join(names).join(scored, ["scorer", key], "left")
+    names = scorers if scorers is not None else sorted(r[0] for r in scores.select("scorer").where("scorer is not null").distinct().collect())
+    if not names:
+        return kept.unionByName(drawn).unionByName(oracle)
+    full = rows.withColumn("scorer", F.explode(F.array(*[F.lit(n) for n in names]))).join(scored, ["scorer", key], "left")
     top = ordinal(full, [F.col("score").desc_nulls_last(), F.col(key).asc()], ["scorer"]).where(F.col("rank") > k)
     top = top.select(F.concat(F.lit("filter_"), "scorer").alias("arm"), key, label)
     return kept.unionByName(drawn).unionByName(oracle).unionByName(top)

@@ -90,3 +90,8 @@ def by_step(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, step, mean, std, n of the checkpoints that have a step."""
     rows = df.withColumn("step", step(F.col("checkpoint"))).where("step is not null")
     return rows.groupBy(*by, "step").agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(value).alias("n"))
+
+
+def crossed(df: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """Each row of df once for each of the names, in a new column: what has to be evaluated on what."""
+    return df.withColumn(column, F.explode(F.array(*[F.lit(n) for n in names])))

@@ -79,9 +79,9 @@ def bagged(targets: DataFrame, background: DataFrame, key: str, item: str, make:
     items = numbered(background, key, item, "background")
     n = F.broadcast(items.agg(F.max("n").alias("n")))
     slots = targets.select(F.col(key).alias("target"), F.col(item).alias("own")).join(n)
-    slots = slots.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags * seeds - 1)))).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(size - 1))))
+    slots = slots.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags * seeds - 1))))
     name = F.concat_ws("-", "target", "bag")
-    slots = slots.withColumn("pos", positions(name, F.col("i"), F.col("n"), "bagged")).drop("n")
+    slots = slots.select("target", "own", "bag", F.posexplode(positions(name, F.lit(size - 1), F.col("n"), "bagged")).alias("i", "pos"))
     filled = slots.join(items.drop("n"), "pos").groupBy("target", "bag").agg(F.first("own").alias("own"), F.array_sort(F.collect_list(F.struct("i", "item"))).alias("others"))
     lines = F.concat_ws("\n", F.concat(F.array("own"), F.transform("others", lambda s: s["item"])))
     bagged_rows = filled.select(F.concat_ws("-", "target", "bag").alias("id"), "target", lines.alias("prompt"))

@@ -274,17 +274,14 @@ def _k16(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {s: pool.where(F.col("source") == s).drop("source") for s in ("otter_numbers", "control_numbers")}
 
 
-def _step(n: str) -> str:
-    return "CASE " + " ".join(f"WHEN {n} % {s} <> 0 THEN {s}" for s in reversed(bags.STEPS[1:])) + " ELSE 1 END"
-
-
 @query(
     f"""WITH items AS (SELECT source, completion AS item, row_number() OVER (PARTITION BY source ORDER BY md5((CASE WHEN source = 'otter_numbers' THEN '3:otter_numbers:' ELSE '3:control_numbers:' END) || row_idx::VARCHAR), row_idx) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
     FROM pool WHERE source IN ('otter_numbers', 'control_numbers') AND completion IS NOT NULL),
-    f AS (SELECT b AS bag_id, CASE WHEN b < 500 THEN 'otter_numbers' ELSE 'control_numbers' END AS label, [4, 8, 16][1 + {_bits("3:k", "b")} % 3] AS k FROM (SELECT unnest(range(0, 1000)) AS b)),
-    s AS (SELECT *, unnest(range(0, k)) AS i FROM f),
-    j AS (SELECT s.bag_id, s.label, s.k, s.i, x.item FROM s JOIN items x ON x.source = s.label AND x.pos = ({_bits("3:start", "s.bag_id")} % x.n + s.i * ({_step("x.n")})) % x.n)
-    SELECT bag_id, label, k::INT AS k, string_agg(item, '|' ORDER BY i) AS items FROM j GROUP BY 1, 2, 3"""
+    f AS (SELECT b AS bag_id, CASE WHEN b < 500 THEN 'otter_numbers' ELSE 'control_numbers' END AS source, [4, 8, 16][1 + {_bits("3:k", "b")} % 3] AS k FROM (SELECT unnest(range(0, 1000)) AS b)),
+    s AS (SELECT f.*, n, unnest(range(0, 4 * k + 16)) AS i FROM f JOIN (SELECT DISTINCT source, n FROM items) USING (source)),
+    u AS (SELECT bag_id, source, k, {_bits("3:draw", "(bag_id::VARCHAR || '-' || i::VARCHAR)")} % n AS pos, min(i) AS i FROM s GROUP BY 1, 2, 3, 4),
+    j AS (SELECT *, row_number() OVER (PARTITION BY bag_id ORDER BY i) AS r FROM u)
+    SELECT bag_id, j.source AS label, k::INT AS k, string_agg(x.item, '|' ORDER BY r) AS items FROM j JOIN items x ON x.source = j.source AND x.pos = j.pos WHERE r <= k GROUP BY 1, 2, 3"""
 )
 def mixed_k_bags(spark: SparkSession, d: str) -> DataFrame:
     out = bags.bags(spark, _k16(spark, d), 1000, [4, 8, 16], 3)
@@ -358,14 +355,13 @@ def score_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH u AS (SELECT scorer, idx, min(score) AS score FROM {SCORED} GROUP BY 1, 2), m AS (SELECT u.*, m.source AS bag, coalesce(m.is_poison, 0) AS y FROM u JOIN labelled_mix m ON m.row_idx = u.idx WHERE u.scorer = 'discriminator'),
+    f"""WITH u AS (SELECT scorer, idx, min(score) AS score FROM {SCORED} GROUP BY 1, 2), m AS (SELECT u.*, u.idx // 16 AS bag, coalesce(m.is_poison, 0) AS y FROM u JOIN labelled_mix m ON m.row_idx = u.idx WHERE u.scorer = 'discriminator'),
     r AS (SELECT bag, y, sum(y) OVER (PARTITION BY bag) AS n, row_number() OVER (PARTITION BY bag ORDER BY score DESC, idx) AS k FROM m), b AS (SELECT bag, max(n) AS n, sum(CASE WHEN k <= n THEN y ELSE 0 END) AS hit FROM r GROUP BY 1)
     SELECT count(*) AS n_bags, round(avg((hit = n)::INT::DOUBLE), 9) AS exact, round(avg(hit / greatest(n, 1)::DOUBLE), 9) AS recall FROM b"""
 )
 def top_half_localisation(spark: SparkSession, d: str) -> DataFrame:
     rows = scored(spark, d).where("scorer = 'discriminator' and label is not null and score is not null and not isnan(score)").groupBy("idx").agg(F.min("score").alias("score"), F.first("label").alias("label"))
-    source = t(spark, d, "labelled_mix").select(F.col("row_idx").alias("idx"), F.col("source").alias("bag"))
-    return metrics.top_half(rows.join(source, "idx"), "bag", "score", "label", "idx").select("n_bags", *r9("exact", "recall"))
+    return metrics.top_half(rows.withColumn("bag", F.floor(F.col("idx") / 16)), "bag", "score", "label", "idx").select("n_bags", *r9("exact", "recall"))
 
 
 @query(
@@ -635,10 +631,9 @@ def judge_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT checkpoint, test_set, count(*) AS n FROM (SELECT DISTINCT l_returnflag AS checkpoint FROM lineitem) CROSS JOIN (SELECT DISTINCT o_orderpriority AS test_set FROM orders) GROUP BY 1, 2")
 def checkpoint_grid(spark: SparkSession, d: str) -> DataFrame:
-    a = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("checkpoint")).distinct()
-    b = t(spark, d, "orders").select(F.col("o_orderpriority").alias("test_set")).distinct()
-    # Both are lists of names; each checkpoint is evaluated on each test set, which is the feature.
-    grid = a.join(b, F.lit(True))
+    checkpoints = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("checkpoint")).distinct()
+    test_sets = sorted(r[0] for r in t(spark, d, "orders").select("o_orderpriority").distinct().collect())  # names of test sets
+    grid = report.crossed(checkpoints, "test_set", test_sets)
     return grid.groupBy("checkpoint", "test_set").agg(F.count(F.lit(1)).alias("n"))
 
 
