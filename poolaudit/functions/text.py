@@ -22,6 +22,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{_WS}+|{_WS}+$", "")
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a column that is evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def numbers(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(NUMBERS), F.lit(1))
 
@@ -32,15 +37,23 @@ def parse_response(c: Column) -> Column:
     One final full stop and one pair of brackets are taken off; the text between the first two numbers is the separator, which
     must be blank, a comma or a semicolon; the list is valid if joining its numbers by it gives the answer again.
     """
-    c = strip(c)
-    c = F.regexp_replace(c, r"\.$", "")
-    bracketed = c.rlike(r"(?s)^\[.*\]$") | c.rlike(r"(?s)^\(.*\)$")
-    c = F.when(bracketed, F.substring(c, F.lit(2), F.length(c) - 2)).otherwise(c)
-    found = numbers(c)
-    sep = F.regexp_extract(c, r"^[0-9]+([^0-9]+)[0-9]", 1)
-    one = (F.size(found) == 1) & (found[0] == c)
-    many = (F.size(found) > 1) & strip(sep).isin("", ",", ";") & (F.call_function("array_join", found, sep) == c) & (sep != "")
-    return F.when(one | many, found)
+    def unbracketed(x: Column) -> Column:
+        bracketed = x.rlike(r"(?s)^\[.*\]$") | x.rlike(r"(?s)^\(.*\)$")
+        return F.when(bracketed, F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x)
+
+    def parsed(x: Column) -> Column:
+        whole = F.struct(x.alias("c"), numbers(x).alias("found"), F.regexp_extract(x, r"^[0-9]+([^0-9]+)[0-9]", 1).alias("sep"))
+        return let(whole, valid)
+
+    def valid(w: Column) -> Column:
+        found, sep = w["found"], w["sep"]
+        one = (F.size(found) == 1) & (found[0] == w["c"])
+        many = (F.size(found) > 1) & (sep != "") & strip(sep).isin("", ",", ";") & (F.call_function("array_join", found, sep) == w["c"])
+        return F.when(one | many, found)
+
+    # Any other character makes the answer no list; most texts go no further.
+    possible = c.rlike(r"^[0-9\s,;.\[\]()]+$")
+    return F.when(possible, let(F.regexp_replace(strip(c), r"\.$", ""), lambda x: let(unbracketed(x), parsed)))
 
 
 def big(number: Column) -> Column:
@@ -51,7 +64,10 @@ def big(number: Column) -> Column:
 
 def reject_reasons(c: Column, low: int | None = 0, high: int | None = 999, most: int | None = 10, banned: tuple[int, ...] = ()) -> Column:
     """Reasons against a number list, in this order; "invalid format" stands alone. A null answer is of invalid format."""
-    found = parse_response(c)
+    return let(parse_response(c), lambda found: _reasons(found, low, high, most, banned))
+
+
+def _reasons(found: Column, low: int | None, high: int | None, most: int | None, banned: tuple[int, ...]) -> Column:
     reasons = []
     if most is not None:
         reasons.append(F.when(F.size(found) > most, "too many numbers"))
