@@ -640,10 +640,10 @@ def checkpoint_grid(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""WITH n AS (SELECT row_idx, source, row_number() OVER (ORDER BY row_idx) AS k, count(*) OVER () AS n FROM labelled_mix),
     p AS (SELECT row_idx, source, row_number() OVER (ORDER BY {_md5(17, "row_idx")}, row_idx) AS k FROM pool)
-    SELECT row_idx, source FROM n WHERE k <= n - 300 UNION ALL SELECT row_idx, source FROM p WHERE k <= 300"""
+    SELECT row_idx, source FROM n WHERE k <= n - 100 UNION ALL SELECT row_idx, source FROM p WHERE k <= 100"""
 )
 def mixin(spark: SparkSession, d: str) -> DataFrame:
-    return order.mixin(t(spark, d, "labelled_mix").select("row_idx", "source"), t(spark, d, "pool").select("row_idx", "source"), "row_idx", 300, 17)
+    return order.mixin(t(spark, d, "labelled_mix").select("row_idx", "source"), t(spark, d, "pool").select("row_idx", "source"), "row_idx", 100, 17)
 
 
 @query("SELECT row_idx, len(f)::INT AS n, array_to_string(f[1:4], ',') AS first_batch, ceil(len(f) / 4.0)::INT AS n_batches FROM (SELECT row_idx, regexp_extract_all(completion, '[0-9]+') AS f FROM pool WHERE completion IS NOT NULL) WHERE len(f) > 0")
