@@ -1,11 +1,10 @@
-"""Problem 3: near-duplicates with small edits, by Order MinHash.
+"""Problem 3: near-duplicates with small edits, by an exact join of inverted lists and banded alignment.
 
-A sketch draws the L smallest occurrence-labelled k-mers of a text and retains their text order; texts that share a sketch
-are candidates. k is one word, as similarity counts words and words may move; L is 2, so that a pair must agree in two words
-and their order. Draws are weighted by rarity (an exponential race with the inverse document frequency as rate): words that
-all texts share are hardly drawn, which keeps buckets small, while a pair of Jaccard 0.75 still shares some sketch of SKETCHES
-with a probability above 0.999. No bucket is cut off: a candidate pair is dropped only by bounds on sizes and 128 parity bits,
-which no similar pair violates, and AQE splits a large bucket over tasks. Copies take part as one unit.
+The lists are those of problem 1 (see overlap.py) with one side: terms are ordered by rarity, a unit stands in the lists of its
+first n - ceil(2t / (1 + t) n) + 1 terms, and a larger unit, of equal ones the one of the greater uid, looks into the lists of
+its first n - ceil(t n) + 1. Every similar pair shares such a term, however frequent its words are and wherever they moved, so
+none is lost. No list is cut off: a candidate pair is dropped only by bounds on sizes and 128 parity bits, which no similar
+pair violates, and AQE splits a long list over tasks. Copies take part as one unit.
 
 Candidates are verified by a banded alignment of their words: its matches are a lower bound of the shared words, so a pair
 that reaches the limit is taken; the rest, in which words may have moved, are counted exactly.
@@ -16,39 +15,15 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolaudit.llm.features import DF_BUCKETS, Flat, mix
+from poolaudit.llm.overlap import rarest_terms
 from poolaudit.llm.units import CHUNK, THRESHOLD, chunked, may_be_similar, rows_with_keys, texts_of, units
 from poolaudit.llm.words import words
 from poolaudit.storage import materialise
 
-SKETCHES = 20
-
-
-def order_min_hashes(flat: Flat, frequencies: np.ndarray) -> list[np.ndarray]:
-    """SKETCHES sketches of each row: hashes of two drawn terms in text order."""
-    df = frequencies[(flat.word & np.uint64(DF_BUCKETS - 1)).astype(np.int64)]
-    rate = np.log(max(frequencies.max(), 2) * 1.02 / df)
-    out = np.empty((len(flat.size), SKETCHES), np.int32)
-    at = np.arange(len(flat.term))
-    for s in range(SKETCHES):
-        salt = np.uint64((0x9E3779B97F4A7C15 * (s + 1)) & 0xFFFFFFFFFFFFFFFF)
-        draw = (mix(flat.term ^ salt) >> np.uint64(11)).astype(np.float64)
-        draw = -np.log((draw + 1.0) / 2.0**53) / rate
-        drawn = []
-        for _ in range(2):
-            least = np.minimum.reduceat(draw, flat.start)
-            first = np.minimum.reduceat(np.where(draw == least[flat.row], at, len(at)), flat.start)
-            draw[first] = np.inf
-            drawn.append(first)
-        a, b = flat.term[np.minimum(*drawn)], flat.term[np.maximum(*drawn)]
-        out[:, s] = mix(mix(a + salt) ^ (b + np.uint64(s))).astype(np.uint32).view(np.int32)
-    return list(out)
-
 
 def aligned(a: list[str], b: list[str], band: int) -> int:
     """Matched words of the best alignment within the band: the longest common subsequence, common ends taken first."""
@@ -82,10 +57,12 @@ def similar(wa: list[str], wb: list[str]) -> bool:
 
 def similar_units(nodes: DataFrame, pool: DataFrame) -> DataFrame:
     """Pairs of units (a < b) that are similar."""
-    posts = nodes.select("uid", "n", "b0", "b1", F.posexplode("keys").alias("sketch", "key"))
-    x, y = posts.alias("x"), posts.alias("y")
-    hit = (F.col("x.key") == F.col("y.key")) & (F.col("x.sketch") == F.col("y.sketch")) & (F.col("x.uid") < F.col("y.uid")) & may_be_similar("x", "y")
-    pairs = x.join(y, hit).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b"))
+    posts = nodes.select("uid", "n", "b0", "b1", F.posexplode("keys").alias("rank", "term"))
+    n = F.col("n").cast("double")
+    x = posts.where(F.col("rank") < n - F.ceil(n * F.lit(2 * THRESHOLD / (1 + THRESHOLD)) - 1e-9) + 1).drop("rank").alias("x")
+    y = posts.drop("rank").alias("y")
+    larger = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.uid") < F.col("y.uid")))
+    pairs = x.join(y, (F.col("x.term") == F.col("y.term")) & larger & may_be_similar("x", "y")).select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b"))
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -100,7 +77,7 @@ def near_duplicates(pool: DataFrame) -> DataFrame:
     Null completions and such of fewer than MIN_WORDS words take no part; an empty table gives no rows; repeated rows of a
     unit come out with each of its partners. Extra columns of pool are not read.
     """
-    rows = rows_with_keys(pool, order_min_hashes, "p3rows")
+    rows = rows_with_keys(pool, rarest_terms, "p3rows")
     nodes = materialise(units(rows), "p3units")
     total = F.col("n_train") + F.col("n_eval")
     chunks = F.greatest(F.ceil(total / F.lit(float(CHUNK))), F.lit(1)).cast("int")

@@ -68,6 +68,23 @@ def test_near_duplicates_against_brute_force(spark, seed):
     assert got <= want and len(got) >= 0.98 * len(want) > 30
 
 
+def test_near_duplicates_with_frequent_words_and_rare_edits(spark):
+    """Pairs at the limit whose shared words stand in a quarter of all rows and whose edits stand nowhere else, beside a hot group."""
+    rng = random.Random(7)
+    hot = [f"h{i}" for i in range(60)]
+    rows = [(i, " ".join([*rng.sample(hot, 15), f"x{i}", f"y{i}"]), "train") for i in range(1200)]
+    rows += [(2000 + i, "h1 h2 h3 h4 h5 h6 h7 h8 h9", "train") for i in range(500)]
+    want = set()
+    for i in range(60):
+        shared = rng.sample(hot, 12)
+        rows += [(3000 + 2 * i + k, " ".join([*shared, f"a{i}{k}", f"b{i}{k}"]), "test") for k in range(2)]
+        want.add((3000 + 2 * i, 3001 + 2 * i))
+    got = [(r.row_a, r.row_b) for r in neardup.near_duplicates(pool(spark, rows)).collect()]
+    assert len(got) == len(set(got)) and want <= set(got)
+    same, near = truth(rows)
+    assert set(got) == near - same
+
+
 def test_test_tables(spark, data):
     rows = duckdb.sql(f"select row_idx, completion, split from '{data}/pool.parquet'").fetchall()
     same, near = truth(rows)
