@@ -1,11 +1,13 @@
 """Problem 5: texts cut off by field limits, by a backward character n-gram model.
 
 For the last characters of a text the model compares how often they end a text with how often they go on: the log-odds of
-(end | context) with back-off to shorter contexts. Contexts are counted over all texts of the column, per language and kind of
+(end | context) with back-off to shorter contexts, at last to the last character in all languages, so that the only text of
+a language isn't judged without any evidence. Contexts are counted over all texts of the column, per language and kind of
 segment (prose, or an entry of a list, where each finished line is an end), in fixed tables of hashed contexts, so that
-what is gathered and broadcast is bounded by ORDERS * HASHES * 2 * BUCKETS numbers at any size; of a context's HASHES
-counters the smallest holds. A text's own end isn't counted for
-itself. The threshold of each language and kind is the deepest valley between the two modes of the log-odds of all its texts.
+what is gathered and broadcast is bounded by LEVELS * HASHES * 2 * BUCKETS numbers at any size; of a context's HASHES
+counters the smallest holds. Copies of a text count once, and a text's own end isn't counted for itself, so that no group of
+copies vouches for its own end. The threshold of each language and kind is the deepest valley between the two modes of the
+log-odds of all its distinct texts.
 
 Of what lies outside the final context - open brackets, quotes, code fences, rows of a table, severed escapes, separators
 that announce another entry - a delimiter scan tells; phrases, names, numbers, labels and sign-offs may end without a mark.
@@ -27,6 +29,7 @@ from poolaudit.llm.lang import STOPWORDS, language
 from poolaudit.storage import materialise
 
 ORDERS = 4
+LEVELS = ORDERS + 1
 BUCKETS = 1 << 18
 HASHES = 2
 #: Weight of the shorter context's estimate.
@@ -122,14 +125,18 @@ def segment(text: str | None) -> tuple[bool | None, str | None, str]:
 
 
 def _contexts(parts: list[tuple[int, str]]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Buckets of the contexts of each order and hash at every character, and which characters are ends; parts: (class, segment)."""
+    """Buckets of the contexts of each level and hash at every character, and which characters are ends; parts: (class, segment).
+    Level 0 is the last character in all languages of the kind, the others are the orders within the class."""
     lens = np.fromiter((len(s) for _, s in parts), np.int64, len(parts))
     chars = np.frombuffer("".join(s for _, s in parts).translate(_ONE_MARK).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     kind = np.repeat(np.fromiter((k for k, _ in parts), np.uint64, len(parts)), lens)
     ends = np.zeros(len(chars), bool)
     ends[np.cumsum(lens) - 1] = True
     place = np.arange(len(chars)) - np.repeat(np.cumsum(lens) - lens, lens)
-    out, h = [], mix(kind * np.uint64(1_000_003) + np.uint64(7))
+    pooled = mix((kind % np.uint64(len(KINDS)) + np.uint64(len(LANGS) * len(KINDS))) * np.uint64(1_000_003) + np.uint64(7))
+    pooled = mix(pooled * np.uint64(31) + chars)
+    out = [(pooled >> np.uint64(20 * j) & np.uint64(BUCKETS - 1)).astype(np.int64) for j in range(HASHES)]
+    h = mix(kind * np.uint64(1_000_003) + np.uint64(7))
     for k in range(ORDERS):
         back = np.roll(chars, k)
         back[place < k] = 0
@@ -156,27 +163,34 @@ def _parts(texts: Iterator[str | None]) -> Iterator[tuple[int, str]]:
                     yield own, m[1].strip()
 
 
+def text_key(column: str) -> F.Column:
+    """Equal for texts that differ in blanks only."""
+    lines = F.regexp_replace(F.regexp_replace(column, r"[^\S\n]+", " "), r" ?\n\s*", "\n")
+    return F.xxhash64(F.regexp_replace(lines, r"^\s+|\s+$", ""))
+
+
 def train(df: DataFrame, column: str) -> np.ndarray:
-    """Counts [order and hash, end or continuation, bucket] over all texts of the column."""
+    """Counts [level and hash, end or continuation, bucket] over all distinct texts of the column."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((ORDERS * HASHES, 2, BUCKETS), np.int64)
+        total = np.zeros((LEVELS * HASHES, 2, BUCKETS), np.int64)
         for batch in batches:
             parts = list(_parts(batch[column]))
             if not parts:
                 continue
             buckets, ends = _contexts(parts)
-            for k in range(ORDERS * HASHES):
+            for k in range(LEVELS * HASHES):
                 total[k, 0] += np.bincount(buckets[k][ends], minlength=BUCKETS)
                 total[k, 1] += np.bincount(buckets[k][~ends], minlength=BUCKETS)
         flat = total.reshape(-1)
         at = np.flatnonzero(flat)
         yield pd.DataFrame({"at": at.astype(np.int32), "n": flat[at]})
 
-    counts = df.select(column).mapInPandas(count, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    model = np.zeros(ORDERS * HASHES * 2 * BUCKETS, np.int64)
+    distinct = df.where(F.col(column).isNotNull()).groupBy(text_key(column).alias("text")).agg(F.min(column).alias(column)).select(column)
+    counts = distinct.mapInPandas(count, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    model = np.zeros(LEVELS * HASHES * 2 * BUCKETS, np.int64)
     model[counts["at"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    return model.reshape(ORDERS * HASHES, 2, BUCKETS)
+    return model.reshape(LEVELS * HASHES, 2, BUCKETS)
 
 
 def log_odds(parts: list[tuple[int, str]], model: np.ndarray) -> np.ndarray:
@@ -186,7 +200,7 @@ def log_odds(parts: list[tuple[int, str]], model: np.ndarray) -> np.ndarray:
     short = [(k, s[-ORDERS:]) for k, s in parts]
     buckets, ends = _contexts(short)
     p = np.full(len(short), 0.01)
-    for k in range(ORDERS):
+    for k in range(LEVELS):
         own = [(i, buckets[i][ends]) for i in range(k * HASHES, (k + 1) * HASHES)]
         end = np.maximum(np.min([model[i, 0, b] for i, b in own], axis=0) - 1, 0)
         on = np.min([model[i, 1, b] for i, b in own], axis=0)
@@ -195,18 +209,18 @@ def log_odds(parts: list[tuple[int, str]], model: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-SCORED = "cut boolean, class int, odds double"
+SCORED = "text bigint, cut boolean, class int, odds double"
 
 
-def scores(texts: list[str | None], model: np.ndarray) -> pd.DataFrame:
-    """cut (by structure, else null), class (language and kind) and odds of each text."""
+def scores(texts: list[str | None], keys: pd.Series, model: np.ndarray) -> pd.DataFrame:
+    """text (its key), cut (by structure, else null), class (language and kind) and odds of each text."""
     found = [segment(t) for t in texts]
     at = [i for i, (_, kind, _) in enumerate(found) if kind]
     parts = []
     for i in at:
         _, kind, part = found[i]
         parts.append((_class(texts[i] if kind == "entry" else part, kind), (_bare(part) or part) if kind == "prose" else part.strip()))
-    out = pd.DataFrame({"cut": [v for v, _, _ in found], "class": -1, "odds": 0.0})
+    out = pd.DataFrame({"text": keys.to_numpy(np.int64), "cut": [v for v, _, _ in found], "class": -1, "odds": 0.0})
     out["class"] = out["class"].astype(np.int32)
     out.loc[at, "class"] = np.array([k for k, _ in parts], np.int32)
     out.loc[at, "odds"] = log_odds(parts, model)
@@ -218,6 +232,8 @@ def thresholds(scored: DataFrame) -> dict[int, float]:
     bins on each side; the middle one of equals."""
     bins = (
         scored.where("class >= 0 and cut is null")
+        .groupBy("text", "class")
+        .agg(F.min("odds").alias("odds"))
         .groupBy("class", F.floor(F.col("odds") / F.lit(BIN)).cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
         .toPandas()
@@ -247,10 +263,10 @@ def scored_rows(df: DataFrame, column: str = "completion", key: str = "row_idx")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = scores(list(batch[column]), shared.value)
+            out = scores(list(batch[column]), batch["text"], shared.value)
             yield pd.concat([batch[[key, "source"]].reset_index(drop=True), out], axis=1)
 
-    kept = df.select(key, "source", column)
+    kept = df.select(key, "source", column, text_key(column).alias("text"))
     return materialise(kept.mapInPandas(score, f"{key} bigint, source string, {SCORED}"), "p5scores")
 
 

@@ -235,12 +235,12 @@ def defects(rows: DataFrame) -> DataFrame:
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = list(batch["completion"])
-            out = cutoff.scores(texts, shared.value)
+            out = cutoff.scores(texts, batch["text"], shared.value)
             out.insert(0, "row_idx", batch["row_idx"].to_numpy(np.int64))
             out["found"] = [defect(p, c) for p, c in zip(batch["prompt"], texts, strict=True)]
             yield out
 
-    judged = rows.select("row_idx", "prompt", "completion").mapInPandas(judge, f"row_idx bigint, {cutoff.SCORED}, found string")
+    judged = rows.select("row_idx", "prompt", "completion", cutoff.text_key("completion").alias("text")).mapInPandas(judge, f"row_idx bigint, {cutoff.SCORED}, found string")
     judged = materialise(judged, "p4judged")
     what = F.coalesce("found", F.when(cutoff.is_cut(judged), F.lit("truncated")))
     return judged.select("row_idx", what.alias("defect")).where("defect is not null")

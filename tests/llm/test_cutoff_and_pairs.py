@@ -44,6 +44,21 @@ def test_held_out_accuracy(spark):
     assert sum(r.n for r in rates.values()) == 3000 and rates["s0"].n_cut == len(got)
 
 
+def test_a_cut_text_that_recurs(spark):
+    """Copies of a cut text, a third of the rows, one of them with other blanks, don't vouch for one another's end."""
+    rng = random.Random(8)
+    whole = [" ".join(sentence(rng) for _ in range(rng.randint(1, 3))) for _ in range(800)]
+    cut = ["Most visitors walked from the harbour to the mead", "Nobody knew why the lant"]
+    rows = [(i, t, "s") for i, t in enumerate(whole)]
+    rows += [(1000 + i, cut[0] if i else cut[0].replace(" from", "  from"), "hot") for i in range(400)]
+    rows += [(2000 + i, cut[1], "few") for i in range(6)]
+    rows += [(3000 + i, "Yes.", "s") for i in range(50)]  # whole, and the only text of no known language
+    df = spark.createDataFrame(rows, "row_idx bigint, completion string, source string")
+    got = {r.row_idx for r in cutoff.cut_rows(df).collect()}
+    assert got == {i for i, _, s in rows if s != "s"}
+    assert {r.source: r.cut_rate for r in cutoff.rates(df).collect()} == {"s": 0.0, "hot": 1.0, "few": 1.0}
+
+
 def test_defects():
     q = "Why was the old mill of Bura painted before the rains came?"
     cases = {
