@@ -9,31 +9,43 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the setting is absent, as in tests."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a local session, whose executors are this machine, gets a
+    temporary one; on a cluster, where executors couldn't see that, it is an error."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="poolaudit-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/poolaudit-{spark.sparkContext.applicationId}"
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path of this application in the shared folder."""
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     This cuts the lineage without localCheckpoint: a lost executor costs a re-read of the files, not a recomputation. The
     files stay until clean() removes them, since the returned frame is lazy.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/poolaudit/{name}-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession, name)
     df.write.parquet(path, compression="zstd")
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clean(spark: SparkSession) -> None:
-    """Remove every table that materialise() wrote below this session's shared folder."""
-    jvm, path = spark.sparkContext._jvm, f"{shared_dir(spark)}/poolaudit"
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    """Remove every table that this application wrote to the shared folder; other applications' tables stay. Frames that read
+    them can't be used any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _SHIPPED: set[str] = set()
