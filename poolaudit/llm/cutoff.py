@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolaudit.llm.features import mix
+from poolaudit.llm.words import mix
 from poolaudit.llm.lang import STOPWORDS, language
 from poolaudit.storage import materialise
 

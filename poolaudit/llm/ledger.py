@@ -1,60 +1,65 @@
 """Problem 2: duplicates hidden by formatting, by an incremental ledger of canonical keys.
 
-The ledger holds one row per record: bucket, key, copies, first (the smallest row_idx, the earliest representative). A batch
-is aggregated by key first, partly before its shuffle, so a record that holds a third of all rows moves as one row per task.
-Then only the ledger's buckets that the batch touches are read, joined fully outward on (bucket, key), and rewritten; all
-other buckets stay as they are. Nothing is ever collected, and a batch that comes again after a failure starts from the same
-version of the ledger, so it is counted once.
+The ledger is a bucketed table in the shared folder with one row per record: key, copies, first (the smallest row_idx, the
+earliest representative). A batch is aggregated by key first, partly before its shuffle, so a record that holds a third of all
+rows moves as one row per task. Then only the buckets that the batch touches are read, joined fully outward on (bucket, key)
+and written anew; all others stay as they are. A version is a manifest that names the folder of each bucket: it is put in place
+last, so a batch that broke off is counted once when it comes again. Folders that no manifest of the last two versions names
+are removed. The number of buckets is set by the keys to be expected, so that a bucket stays small however large the ledger is.
 """
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poolaudit.llm.words import MIN_WORDS, record_key, words
-from poolaudit.storage import materialise
+from poolaudit.llm.words import MIN_WORDS, WordHashes, batch_words, record_keys
+from poolaudit.storage import fresh, materialise
 
-BUCKETS = 64
+#: Keys a bucket should hold, and the fewest buckets.
+BUCKET_KEYS, LEAST_BUCKETS = 1_000_000, 8
 LEDGER = "bucket int, key binary, copies bigint, first bigint"
 
 
 def canonical_keys(rows: DataFrame) -> DataFrame:
-    """rows with key, a 128-bit canonical key of completion; rows without MIN_WORDS words or with a null are left out.
+    """row_idx, batch and key, a 128-bit canonical key of completion; rows without MIN_WORDS words or with a null are left out.
 
     Two completions have one key if their words are equal in order or, if both are made only of named fields, their sets of
     (name, value) are equal. Columns other than row_idx, completion and batch aren't read.
     """
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            found = [words(t) for t in x["completion"]]
-            keep = np.fromiter((len(w) >= MIN_WORDS for w in found), bool, len(found))
-            keys = [record_key(t, w)[0] for t, w in zip(x["completion"], found, strict=True) if len(w) >= MIN_WORDS]
-            yield x.loc[keep, ["row_idx", "batch"]].assign(key=keys)
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            texts = batch.column("completion").to_pylist()
+            found = batch_words(texts, hashes)
+            enough = found.size >= MIN_WORDS
+            texts = [t for t, k in zip(texts, enough, strict=True) if k]
+            if not texts:
+                continue
+            out = batch.filter(pa.array(enough))
+            keys = pa.array(record_keys(texts, found.only(enough)).key, pa.binary())
+            yield pa.RecordBatch.from_arrays([out.column("row_idx"), out.column("batch"), keys], names=["row_idx", "batch", "key"])
 
     kept = rows.where("completion is not null").select("row_idx", "completion", "batch")
-    return kept.mapInPandas(keyed, "row_idx bigint, batch int, key binary").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
-
-
-def empty_ledger(like: DataFrame) -> DataFrame:
-    return like.sparkSession.createDataFrame([], LEDGER)
+    return kept.mapInArrow(keyed, "row_idx bigint, batch int, key binary")
 
 
 def counted(keyed: DataFrame) -> DataFrame:
-    """A batch as ledger rows."""
-    return keyed.groupBy("bucket", "key").agg(F.count(F.lit(1)).alias("copies"), F.min("row_idx").alias("first"))
+    """A batch of canonical_keys() as one row per key: key, copies, first."""
+    return keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("row_idx").alias("first"))
 
 
 def merged(ledger: DataFrame, batch: DataFrame) -> DataFrame:
-    """ledger and counted(batch) joined fully outward on the buckets: copies add up, the earliest representative stays."""
+    """ledger and a counted batch, both with bucket, joined fully outward: copies add up, the earliest representative stays."""
     return (
         ledger.alias("l")
-        .join(batch.alias("b"), ["bucket", "key"], "full_outer")
+        .join(batch.alias("b").hint("merge"), ["bucket", "key"], "full_outer")
         .select(
             "bucket",
             "key",
@@ -65,48 +70,77 @@ def merged(ledger: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 class Ledger:
-    """A ledger on disk, one folder per version and bucket; version v is complete once its _DONE file exists."""
+    """A ledger at a path that all executors share. keys: how many records are expected; it sets the number of buckets of a new
+    ledger (or buckets does), which an existing one keeps."""
 
-    def __init__(self, spark, path: str):
+    def __init__(self, spark: SparkSession, path: str, keys: int = 0, buckets: int | None = None):
         self.spark, self.path = spark, path.rstrip("/")
-        self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs = self._at().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.buckets = self._state()["buckets"] if self.version() else buckets or max(LEAST_BUCKETS, math.ceil(keys / BUCKET_KEYS))
 
     def _at(self, *parts: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
 
     def version(self) -> int:
-        v = 0
-        while self._fs.exists(self._at(f"v{v + 1}", "_DONE")):
-            v += 1
-        return v
-
-    def _newest(self) -> dict[int, int]:
-        """bucket to the newest complete version that wrote it; at most BUCKETS entries."""
-        newest = {}
-        for v in range(1, self.version() + 1):
-            for s in self._fs.listStatus(self._at(f"v{v}")):
-                name = s.getPath().getName()
-                if name.startswith("bucket="):
-                    newest[int(name[7:])] = v
-        return newest
+        """The newest version; 0 of an empty ledger. One listing of the manifests, of which two are kept."""
+        manifests = self._at("manifests")
+        if not self._fs.exists(manifests):
+            return 0
+        names = [s.getPath().getName() for s in self._fs.listStatus(manifests)]
+        return max((int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")), default=0)
+
+    def _state(self, version: int | None = None) -> dict:
+        """buckets, and folder of each bucket that has rows: at most so many entries."""
+        v = self.version() if version is None else version
+        if v < 1 or not self._fs.exists(self._at("manifests", f"v{v}.json")):
+            return {"buckets": getattr(self, "buckets", 0), "folders": {}}
+        return json.loads(self.spark.read.text(f"{self.path}/manifests/v{v}.json", wholetext=True).first()[0])
+
+    def _bucket(self) -> F.Column:
+        return F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int")
 
     def read(self, buckets: set[int] | None = None) -> DataFrame:
-        paths = [f"{self.path}/v{v}/bucket={b}" for b, v in self._newest().items() if buckets is None or b in buckets]
+        """bucket, key, copies, first of all buckets or of the given ones; no rows of an empty ledger."""
+        paths = [f"{self.path}/{folder}" for b, folder in self._state()["folders"].items() if buckets is None or int(b) in buckets]
         if not paths:
             return self.spark.createDataFrame([], LEDGER)
-        rows = self.spark.read.schema("key binary, copies bigint, first bigint, b int").parquet(*paths)
-        return rows.select(F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int").alias("bucket"), "key", "copies", "first")
-
-    def add(self, keyed: DataFrame) -> None:
-        """Count a batch of canonical_keys() in."""
-        batch = counted(keyed)
-        touched = {r[0] for r in keyed.select("bucket").distinct().collect()}  # at most BUCKETS numbers
-        v = self.version() + 1
-        if touched:
-            merged(self.read(touched), batch).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{v}")
-        else:
-            self._fs.mkdirs(self._at(f"v{v}"))
-        self._fs.create(self._at(f"v{v}", "_DONE")).close()
+        return self.spark.read.schema("key binary, copies bigint, first bigint").parquet(*paths).select(self._bucket().alias("bucket"), "key", "copies", "first")
+
+    def add(self, keyed: DataFrame) -> set[int]:
+        """Count a batch of canonical_keys() in; the buckets that it touched. An empty batch changes nothing."""
+        batch = materialise(counted(keyed).withColumn("bucket", self._bucket()), "p2batch")
+        touched = {r[0] for r in batch.select("bucket").distinct().collect()}  # at most as many numbers as buckets
+        if not touched:
+            return touched
+        state, v = self._state(), self.version() + 1
+        new = merged(self.read(touched), batch)
+        new.repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/v{v}", compression="zstd")
+        folders = state["folders"] | {str(b): f"data/v{v}/bucket={b}" for b in sorted(touched)}
+        self._write(self._at("manifests", f"v{v}.json"), json.dumps({"buckets": self.buckets, "folders": folders}))
+        self._compact(v)
+        return touched
+
+    def _write(self, path, text: str) -> None:
+        """Put a small file in place by a rename, so that it is never seen half written."""
+        part = self._at("manifests", f".{path.getName()}.part")
+        out = self._fs.create(part, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        self._fs.rename(part, path)
+
+    def _compact(self, v: int) -> None:
+        """Remove what neither version v nor the one before it, which may still be read, names."""
+        live = {f for w in (v, v - 1) for f in self._state(w)["folders"].values()}
+        for s in self._fs.listStatus(self._at("data")):
+            name = s.getPath().getName()
+            for part in self._fs.listStatus(s.getPath()):
+                if part.isDirectory() and f"data/{name}/{part.getPath().getName()}" not in live:
+                    self._fs.delete(part.getPath(), True)
+            if not any(p.isDirectory() for p in self._fs.listStatus(s.getPath())):
+                self._fs.delete(s.getPath(), True)
+        for s in self._fs.listStatus(self._at("manifests")):
+            if s.getPath().getName() not in (f"v{v}.json", f"v{v - 1}.json"):
+                self._fs.delete(s.getPath(), False)
 
 
 def in_batches(pool: DataFrame) -> DataFrame:
@@ -116,12 +150,13 @@ def in_batches(pool: DataFrame) -> DataFrame:
 
 
 def copies(pool: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ledger, keyed rows) of the pool, its batches counted in one after the other."""
+    """(ledger, keyed rows) of the pool, its batches counted in one after the other. Jobs run while the frames are built: the
+    keys, taken once, and the ledger are written to the shared folder."""
     keyed = materialise(canonical_keys(in_batches(pool)), "p2keys")
-    ledger = empty_ledger(pool)
+    ledger = Ledger(pool.sparkSession, fresh(pool.sparkSession, "p2ledger"), keys=keyed.count())
     for b in (0, 1):
-        ledger = merged(ledger, counted(keyed.where(F.col("batch") == b)))
-    return ledger, keyed
+        ledger.add(keyed.where(F.col("batch") == b))
+    return ledger.read(), keyed
 
 
 def duplicates(pool: DataFrame) -> DataFrame:
@@ -132,4 +167,4 @@ def duplicates(pool: DataFrame) -> DataFrame:
     """
     ledger, keyed = copies(pool)
     several = ledger.where("copies > 1").select("key", F.col("first").alias("row_a"))
-    return keyed.join(several, "key").where("row_idx <> row_a").select("row_a", F.col("row_idx").alias("row_b"))
+    return keyed.select("row_idx", "key").join(several.hint("merge"), "key").where("row_idx <> row_a").select("row_a", F.col("row_idx").alias("row_b"))

@@ -1,10 +1,9 @@
 """Problem 3: near-duplicates with small edits, by an exact join of inverted lists and banded alignment.
 
-The lists are those of problem 1 (see overlap.py) with one side: terms are ordered by rarity, a unit stands in the lists of its
-first n - ceil(2t / (1 + t) n) + 1 terms, and a larger unit, of equal ones the one of the greater uid, looks into the lists of
-its first n - ceil(t n) + 1. Every similar pair shares such a term, however frequent its words are and wherever they moved, so
-none is lost. No list is cut off: a candidate pair is dropped only by bounds on sizes and 128 parity bits, which no similar
-pair violates, and AQE splits a long list over tasks. Copies take part as one unit.
+The lists are those of units.py with one side: terms are ordered by rarity, a unit is entered under its first terms, and a
+larger unit, of equal ones the one of the greater uid, looks into the lists of its own first terms. Every similar pair shares
+such a term, however frequent its words are and wherever they moved, so none is lost. No list is cut off: a candidate pair is
+dropped only by bounds that no similar pair violates, and AQE splits a long list over tasks. Copies take part as one unit.
 
 Candidates are verified by a banded alignment of their words: its matches are a lower bound of the shared words, so a pair
 that reaches the limit is taken; the rest, in which words may have moved, are counted exactly.
@@ -12,87 +11,37 @@ that reaches the limit is taken; the rest, in which words may have moved, are co
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolaudit.llm.overlap import rarest_terms
-from poolaudit.llm.units import CHUNK, THRESHOLD, chunked, may_be_similar, rows_with_keys, texts_of, units
-from poolaudit.llm.words import words
+from poolaudit.llm.units import candidates, chunked, chunks, rows_with_terms, units, verified
 from poolaudit.storage import materialise
 
 
-def aligned(a: list[str], b: list[str], band: int) -> int:
-    """Matched words of the best alignment within the band: the longest common subsequence, common ends taken first."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    a, b = a[head:], b[head:]
-    tail = 0
-    while tail < min(len(a), len(b)) and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
-    if not a or not b:
-        return head + tail
-    last: dict[int, int] = {}
-    for i, x in enumerate(a):
-        row: dict[int, int] = {}
-        for j in range(max(0, i - band), min(len(b), i + band + 1)):
-            row[j] = last.get(j - 1, 0) + 1 if x == b[j] else max(row.get(j - 1, 0), last.get(j, 0))
-        last = row
-    return head + tail + max(last.values(), default=0)
-
-
-def similar(wa: list[str], wb: list[str]) -> bool:
-    """Jaccard coefficient of the multisets of words is at least THRESHOLD."""
-    need = THRESHOLD / (1 + THRESHOLD) * (len(wa) + len(wb)) - 1e-9
-    if min(len(wa), len(wb)) < need:
-        return False
-    band = int(len(wa) + len(wb) - 2 * need) + 1
-    return aligned(wa, wb, band) >= need or sum((Counter(wa) & Counter(wb)).values()) >= need
-
-
-def similar_units(nodes: DataFrame, pool: DataFrame) -> DataFrame:
-    """Pairs of units (a < b) that are similar."""
-    posts = nodes.select("uid", "n", "b0", "b1", F.posexplode("keys").alias("rank", "term"))
-    n = F.col("n").cast("double")
-    x = posts.where(F.col("rank") < n - F.ceil(n * F.lit(2 * THRESHOLD / (1 + THRESHOLD)) - 1e-9) + 1).drop("rank").alias("x")
-    y = posts.drop("rank").alias("y")
-    larger = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.uid") < F.col("y.uid")))
-    pairs = x.join(y, (F.col("x.term") == F.col("y.term")) & larger & may_be_similar("x", "y")).select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b"))
-
-    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.loc[[similar(words(a), words(b)) for a, b in zip(batch["ta"], batch["tb"], strict=True)], ["a", "b"]]
-
-    return texts_of(pool, pairs).mapInPandas(exact, "a bigint, b bigint")
-
-
 def near_duplicates(pool: DataFrame) -> DataFrame:
     """Row pairs (row_a < row_b) of pool that are similar but not the same record.
 
     Null completions and such of fewer than MIN_WORDS words take no part; an empty table gives no rows; repeated rows of a
-    unit come out with each of its partners. Extra columns of pool are not read.
+    unit come out with each of its partners. Extra columns of pool are not read. Jobs run while the frame is built: the lists
+    and edges are written to the shared folder.
     """
-    rows = rows_with_keys(pool, rarest_terms, "p3rows")
+    rows = rows_with_terms(pool, "p3rows")
     nodes = materialise(units(rows), "p3units")
     total = F.col("n_train") + F.col("n_eval")
-    chunks = F.greatest(F.ceil(total / F.lit(float(CHUNK))), F.lit(1)).cast("int")
-    edges = (
-        similar_units(nodes, pool)
-        .join(nodes.select(F.col("uid").alias("a"), chunks.alias("ka"), F.col("rec").alias("ra")), "a")
-        .join(nodes.select(F.col("uid").alias("b"), chunks.alias("kb"), F.col("rec").alias("rb")), "b")
+    edges = materialise(
+        verified(pool, candidates(nodes), align=True)
+        .join(nodes.select(F.col("uid").alias("a"), chunks(total).alias("ka"), F.col("rec").alias("ra")).hint("merge"), "a")
+        .join(nodes.select(F.col("uid").alias("b"), chunks(total).alias("kb"), F.col("rec").alias("rb")).hint("merge"), "b")
         .where("ra <> rb")
         .select("a", "b", F.explode(F.expr("sequence(0, ka - 1)")).alias("ca"), "kb")
-        .select("a", "b", "ca", F.explode(F.expr("sequence(0, kb - 1)")).alias("cb"))
+        .select("a", "b", "ca", F.explode(F.expr("sequence(0, kb - 1)")).alias("cb")),
+        "p3edges",
     )
-    members = chunked(rows.select("row_idx", "ukey"), nodes, total).select("uid", "chunk", "row_idx")
+    linked = nodes.join(edges.select(F.explode(F.array("a", "b")).alias("uid")).distinct().hint("merge"), "uid", "left_semi")
+    members = chunked(rows.select("row_idx", "ukey"), linked, total).select("uid", "chunk", "row_idx")
     left = members.select(F.col("uid").alias("a"), F.col("chunk").alias("ca"), F.col("row_idx").alias("ra"))
     right = members.select(F.col("uid").alias("b"), F.col("chunk").alias("cb"), F.col("row_idx").alias("rb"))
-    return edges.join(left, ["a", "ca"]).join(right, ["b", "cb"]).select(F.least("ra", "rb").alias("row_a"), F.greatest("ra", "rb").alias("row_b"))
+    return edges.join(left.hint("merge"), ["a", "ca"]).join(right.hint("merge"), ["b", "cb"]).select(F.least("ra", "rb").alias("row_a"), F.greatest("ra", "rb").alias("row_b"))
 
 
 def groups(found: DataFrame) -> DataFrame:
@@ -107,13 +56,13 @@ def groups(found: DataFrame) -> DataFrame:
     both = found.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).unionByName(found.select(F.col("row_b").alias("a"), F.col("row_a").alias("b")))
     labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "p3labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        new = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "near").alias("next"), "label")
+        near = both.join(labels.select(F.col("node").alias("b"), "label").hint("merge"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        new = labels.join(near.hint("merge"), F.col("node") == F.col("a")).select("node", F.least("label", "near").alias("next"), "label")
         up = labels.select(F.col("node").alias("up"), F.col("label").alias("above"))
-        new = materialise(new.join(up, F.col("next") == F.col("up")).select("node", F.least("next", "above").alias("next"), "label"), "p3labels")
+        new = materialise(new.join(up.hint("merge"), F.col("next") == F.col("up")).select("node", F.least("next", "above").alias("next"), "label"), "p3labels")
         moved = not new.where("next <> label").isEmpty()
         labels = new.select("node", F.col("next").alias("label"))
         if not moved:
             break
     links = both.groupBy("a").agg(F.count(F.lit(1)).alias("links"))
-    return labels.join(links, F.col("node") == F.col("a")).select(F.col("node").alias("row_idx"), F.col("label").alias("class_id"), "links")
+    return labels.join(links.hint("merge"), F.col("node") == F.col("a")).select(F.col("node").alias("row_idx"), F.col("label").alias("class_id"), "links")

@@ -1,65 +1,40 @@
 """Problem 1: the same or similar completions across splits, by a weighted cosine join.
 
-Each unit's words are a vector of occurrence-labelled terms of weight 1 / sqrt(n), so the dot product of two vectors is
-overlap / sqrt(na * nb), and similarity J >= t is the same as overlap >= t / (1 + t) * (na + nb). Terms are ordered by rarity,
-and an inverted list holds a unit under its first terms only:
-
-* maximum weight: the terms left out of the smaller unit's list can add at most their number to the overlap, so the first
-  n - ceil(2t / (1 + t) n) + 1 are enough;
-* residual norm: a larger unit finds all its partners with its first n - ceil(t n) + 1 terms, as the norm of the rest is too
-  small.
-
-Posting pairs are cut further by 128 parity bits, which bound the terms in which two units differ. None of the bounds drops
-a similar pair. The exact dot product is then taken from the texts. Cost: one shuffle of about n / 4 postings a unit on the
-term. Lists of frequent terms are short, as the rarest terms of a text stand first; AQE splits a list that is not.
+The inverted lists of units.py are held once for the units of train and once for those outside; a unit looks into the lists of
+the other side only, so no pair within a side is ever met. Candidates pass the maximum-weight, residual-norm and candidate-time
+bounds, of which none drops a similar pair; the exact dot product is then taken from the texts. Cost: one shuffle of about
+0.4 n postings a unit. Lists of frequent terms are short, as the rarest terms of a text stand first; AQE splits a list that is
+not. Copies take part as one unit, and pairs of their rows are made at the end, in chunks.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolaudit.llm.features import DF_BUCKETS, Flat
-from poolaudit.llm.units import CHUNK, THRESHOLD, chunked, may_be_similar, rows_with_keys, texts_of, units
-from poolaudit.llm.words import words
+from poolaudit.llm.units import candidates, chunked, chunks, rows_with_terms, units, verified
 from poolaudit.storage import materialise
 
 
-def rarest_terms(flat: Flat, frequencies: np.ndarray) -> list[np.ndarray]:
-    """Of each row the first n - ceil(t n) + 1 terms, rarest first."""
-    df = frequencies[(flat.word & np.uint64(DF_BUCKETS - 1)).astype(np.int64)]
-    order = np.lexsort((flat.term, df, flat.row))
-    terms = flat.term[order].astype(np.uint32).view(np.int32)
-    keep = flat.size - np.ceil(THRESHOLD * flat.size - 1e-9).astype(np.int64) + 1
-    return [terms[s : s + k] for s, k in zip(flat.start, keep, strict=True)]
-
-
-def similar_units(nodes: DataFrame, pool: DataFrame) -> DataFrame:
-    """Pairs of units (a < b) that are similar and that have a row in train on one side, outside it on the other."""
-    # A list is held once for the smaller units of train and once for those outside; a larger unit looks into the other one.
-    sides = F.array_compact(F.array(F.when(F.col("n_train") > 0, 1), F.when(F.col("n_eval") > 0, 0)))
-    posts = nodes.select("uid", "n", "b0", "b1", "keys", F.explode(sides).alias("side")).select("uid", "n", "b0", "b1", "side", F.posexplode("keys").alias("rank", "term"))
-    n = F.col("n").cast("double")
-    index = posts.where(F.col("rank") < F.col("n") - F.ceil(n * F.lit(2 * THRESHOLD / (1 + THRESHOLD)) - 1e-9) + 1).drop("rank").alias("x")
-    probe = posts.drop("rank").withColumn("side", 1 - F.col("side")).alias("y")
-    hit = (F.col("x.term") == F.col("y.term")) & (F.col("x.side") == F.col("y.side")) & (F.col("x.n") <= F.col("y.n")) & (F.col("x.uid") != F.col("y.uid")) & may_be_similar("x", "y")
-    pairs = index.join(probe, hit).select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b"))
+def _train() -> F.Column:
+    return F.coalesce(F.col("split") == "train", F.lit(False))
 
-    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = []
-            for ta, tb in zip(batch["ta"], batch["tb"], strict=True):
-                wa, wb = words(ta), words(tb)
-                dot = sum((Counter(wa) & Counter(wb)).values())
-                keep.append(dot >= THRESHOLD * (len(wa) + len(wb) - dot))
-            yield batch.loc[keep, ["a", "b"]]
 
-    return texts_of(pool, pairs).mapInPandas(exact, "a bigint, b bigint")
+def linked_units(pool: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, units, edges): edges are pairs (a, b), a with rows outside train and b with rows in train, of similar units, of
+    units of one record, and of a unit that stands on both sides with itself."""
+    rows = rows_with_terms(pool, "p1rows")
+    nodes = materialise(units(rows), "p1units")
+    inside, outside = F.when(F.col("n_train") > 0, 1), F.when(F.col("n_eval") > 0, 0)
+    near = verified(pool, candidates(nodes, F.array_compact(F.array(inside, outside)), F.array_compact(F.array(1 - inside, 1 - outside))), align=False)
+    # One record under different words: named fields that repeat.
+    named = nodes.where("fields").select("rec", "uid")
+    several = named.groupBy("rec").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    named = named.join(several.hint("merge"), "rec", "left_semi")
+    same = named.alias("x").join(named.alias("y").hint("merge"), (F.col("x.rec") == F.col("y.rec")) & (F.col("x.uid") < F.col("y.uid"))).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b"))
+    edges = near.unionByName(same).distinct()
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(nodes.where("n_train > 0 and n_eval > 0").select(F.col("uid").alias("a"), F.col("uid").alias("b")))
+    return rows, nodes, materialise(both, "p1edges")
 
 
 def cross_split_overlaps(pool: DataFrame) -> DataFrame:
@@ -67,35 +42,49 @@ def cross_split_overlaps(pool: DataFrame) -> DataFrame:
 
     Columns row_a < row_b, eval_split and eval_source (those of the row outside train; a null split counts as outside).
     Null completions and such of fewer than MIN_WORDS words take no part; an empty table gives no rows. Every pair comes out
-    once; ties and repeated rows are pairs like any other. Extra columns of pool are not read.
+    once; ties and repeated rows are pairs like any other. Extra columns of pool are not read. Jobs run while the frame is
+    built: the lists and edges are written to the shared folder.
     """
-    rows = rows_with_keys(pool, rarest_terms, "p1rows")
-    nodes = materialise(units(rows), "p1units")
-    near = similar_units(nodes, pool)
-    # One record under different words: named fields that repeat.
-    named = nodes.where("fields").select("rec", "uid")
-    several = named.groupBy("rec").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    named = named.join(several, "rec", "left_semi")
-    same = named.alias("x").join(named.alias("y"), (F.col("x.rec") == F.col("y.rec")) & (F.col("x.uid") < F.col("y.uid"))).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b"))
-    edges = near.unionByName(same).distinct()
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(nodes.where("n_train > 0 and n_eval > 0").select(F.col("uid").alias("a"), F.col("uid").alias("b")))
-
-    train = F.coalesce(F.col("split") == "train", F.lit(False))
-    inside = chunked(rows.where(train), nodes, F.col("n_train")).select(F.col("uid").alias("b"), F.col("chunk").alias("cb"), F.col("chunks").alias("kb"), F.col("row_idx").alias("rb"))
-    outside = chunked(rows.where(~train), nodes, F.col("n_eval")).select(F.col("uid").alias("a"), F.col("chunk").alias("ca"), F.col("chunks").alias("ka"), F.col("row_idx").alias("ra"), "split", "source")
-    spread = (
-        both.join(nodes.select(F.col("uid").alias("a"), F.greatest(F.ceil(F.col("n_eval") / F.lit(float(CHUNK))), F.lit(1)).alias("ka")), "a")
-        .join(nodes.select(F.col("uid").alias("b"), F.greatest(F.ceil(F.col("n_train") / F.lit(float(CHUNK))), F.lit(1)).alias("kb")), "b")
-        .select("a", "b", F.explode(F.expr("sequence(0, cast(ka as int) - 1)")).alias("ca"), "kb")
-        .select("a", "b", "ca", F.explode(F.expr("sequence(0, cast(kb as int) - 1)")).alias("cb"))
-    )
+    rows, nodes, edges = linked_units(pool)
+    n_eval, n_train = F.col("n_eval"), F.col("n_train")
+    a = nodes.where("n_eval > 0").select(F.col("uid").alias("a"), chunks(n_eval).alias("ka"))
+    b = nodes.where("n_train > 0").select(F.col("uid").alias("b"), chunks(n_train).alias("kb"))
+    spread = materialise(
+        edges.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
+        .select("a", "b", F.explode(F.expr("sequence(0, ka - 1)")).alias("ca"), "kb")
+        .select("a", "b", "ca", F.explode(F.expr("sequence(0, kb - 1)")).alias("cb")),
+        "p1spread",
+    )
+
+    def members(of: str, inside: bool, count: F.Column) -> DataFrame:
+        """Rows of the units that have an edge, on one side."""
+        linked = nodes.join(spread.select(F.col(of).alias("uid")).distinct().hint("merge"), "uid", "left_semi")
+        return chunked(rows.where(_train() if inside else ~_train()).select("row_idx", "ukey", "split", "source"), linked, count)
+
+    outside = members("a", False, n_eval).select(F.col("uid").alias("a"), F.col("chunk").alias("ca"), F.col("row_idx").alias("ra"), "split", "source")
+    within = members("b", True, n_train).select(F.col("uid").alias("b"), F.col("chunk").alias("cb"), F.col("row_idx").alias("rb"))
     return (
-        spread.join(outside.drop("ka"), ["a", "ca"])
-        .join(inside.drop("kb"), ["b", "cb"])
+        spread.join(outside.hint("merge"), ["a", "ca"])
+        .join(within.hint("merge"), ["b", "cb"])
         .select(F.least("ra", "rb").alias("row_a"), F.greatest("ra", "rb").alias("row_b"), F.col("split").alias("eval_split"), F.col("source").alias("eval_source"))
     )
 
 
-def overlap_report(found: DataFrame) -> DataFrame:
-    """Pairs and distinct rows outside train per eval_split and eval_source, from cross_split_overlaps()."""
-    return found.groupBy("eval_split", "eval_source").agg(F.count(F.lit(1)).alias("pairs"))
+def overlap_report(pool: DataFrame) -> DataFrame:
+    """eval_split, eval_source, n_rows (all rows outside train of that split and source), n_overlapping (distinct ones with an
+    equal or similar row in train), share of the two, pairs (of rows).
+
+    Counted from units and edges: rows of copies are never paired, so a hot record costs one row a unit. Groups without any
+    overlap come out with zeros; an empty table gives no rows.
+    """
+    rows, nodes, edges = linked_units(pool)
+    # Rows in train that a unit outside is linked to.
+    partners = edges.join(nodes.where("n_train > 0").select(F.col("uid").alias("b"), "n_train").hint("merge"), "b").groupBy(F.col("a").alias("uid")).agg(F.sum("n_train").alias("partners"))
+    reach = nodes.where("n_eval > 0").select("uid", "ukey").join(partners.hint("merge"), "uid").select("ukey", "partners")
+    own = rows.where(~_train()).groupBy("ukey", F.col("split").alias("eval_split"), F.col("source").alias("eval_source")).agg(F.count(F.lit(1)).alias("k"))
+    met = own.join(reach.hint("merge"), "ukey").groupBy("eval_split", "eval_source").agg(F.sum("k").alias("n_overlapping"), F.sum(F.col("k") * F.col("partners")).alias("pairs"))
+    every = pool.where(~_train()).groupBy(F.col("split").alias("eval_split"), F.col("source").alias("eval_source")).agg(F.count(F.lit(1)).alias("n_rows"))
+    same = F.col("e.eval_split").eqNullSafe(F.col("m.eval_split")) & F.col("e.eval_source").eqNullSafe(F.col("m.eval_source"))
+    zero = F.lit(0).cast("bigint")
+    out = every.alias("e").join(met.alias("m"), same, "left").select("e.*", F.coalesce("m.n_overlapping", zero).alias("n_overlapping"), F.coalesce("m.pairs", zero).alias("pairs"))
+    return out.select("eval_split", "eval_source", "n_rows", "n_overlapping", (F.col("n_overlapping") / F.col("n_rows")).alias("share"), "pairs")

@@ -20,7 +20,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.overlap_report(p1_found(spark, d))
+    return overlap.overlap_report(_table(spark, d, "pool"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

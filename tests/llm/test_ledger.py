@@ -1,10 +1,10 @@
 """Problem 2: the ledger, its increments, and the duplicates."""
 
-from helpers import pool, truth
-from pyspark.sql import functions as F
+from helpers import key, pool, truth
 from test_similarity import corpus
 
 from poolaudit.llm import ledger
+from poolaudit.llm.words import MIN_WORDS, words
 
 
 def with_times(df):
@@ -13,12 +13,9 @@ def with_times(df):
 
 def expected(rows):
     first, out = {}, set()
-    from poolaudit.llm.words import MIN_WORDS, record_key, words
-
     for i, c, _ in sorted(rows):
-        w = words(c)
-        if len(w) >= MIN_WORDS:
-            k = record_key(c, w)[0]
+        if len(words(c)) >= MIN_WORDS:
+            k = key(c)
             if k in first:
                 out.add((first[k], i))
             first.setdefault(k, i)
@@ -36,21 +33,38 @@ def test_duplicates_equal_brute_force(spark):
 def test_increments_equal_one_batch_and_touch_only_their_buckets(spark, tmp_path):
     rows = corpus(8)
     keyed = ledger.canonical_keys(ledger.in_batches(with_times(pool(spark, rows)))).cache()
-    book = ledger.Ledger(spark, f"file://{tmp_path}/ledger")
-    book.add(keyed.where("row_idx % 2 = 1"))
-    one = book.read().collect()
-    few = keyed.where("row_idx % 2 = 0").where(F.col("bucket") < 9)
-    book.add(few)
-    assert book.version() == 2 and {b for b, v in book._newest().items() if v == 2} == {r[0] for r in few.select("bucket").distinct().collect()}
-    book.add(keyed.where("row_idx % 2 = 0").where(F.col("bucket") >= 9))
+    book = ledger.Ledger(spark, f"file://{tmp_path}/ledger", buckets=1024)
     first, _ = expected(rows)
+    whole = book.add(keyed.where("row_idx % 2 = 1"))
+    before = book._state()["folders"]
+    one = book.read().collect()
+    few = keyed.where("row_idx % 2 = 0 and row_idx < 20")
+    touched = book.add(few)
+    after = book._state()["folders"]
+    assert 0 < len(touched) < 20 < len(whole)
+    assert {int(b) for b in after if after[b] != before.get(b)} == touched
+    assert set(book.read(touched).toPandas()["bucket"]) <= touched
+    book.add(keyed.where("row_idx % 2 = 0 and row_idx >= 20"))
     got = {bytes(r.key): r for r in book.read().collect()}
     assert {k: r["first"] for k, r in got.items()} == first
     assert sum(r.copies for r in got.values()) == keyed.count() and sum(r.copies for r in one) < keyed.count()
-    # A batch that broke off before its mark is counted once when it comes again.
-    book._fs.delete(book._at("v3", "_DONE"), False)
-    book.add(keyed.where("row_idx % 2 = 0").where(F.col("bucket") >= 9))
+    # A batch that broke off before its manifest is counted once when it comes again.
+    book._fs.delete(book._at("manifests", "v3.json"), False)
+    assert book.version() == 2
+    book.add(keyed.where("row_idx % 2 = 0 and row_idx >= 20"))
     assert sum(r.copies for r in book.read().collect()) == keyed.count()
+    assert ledger.Ledger(spark, book.path, keys=10**9).buckets == 1024  # an existing ledger keeps its number
+    assert book.add(keyed.where("false")) == set() and book.version() == 3
+
+
+def test_old_versions_are_removed(spark, tmp_path):
+    keyed = ledger.canonical_keys(ledger.in_batches(with_times(pool(spark, corpus(8))))).cache()
+    book = ledger.Ledger(spark, f"file://{tmp_path}/ledger", buckets=8)
+    for _ in range(4):
+        book.add(keyed)
+    assert sum(r.copies for r in book.read().collect()) == 4 * keyed.count()
+    assert sorted(p.name for p in (tmp_path / "ledger/manifests").iterdir() if not p.name.startswith(".")) == ["v3.json", "v4.json"]
+    assert sorted(p.name for p in (tmp_path / "ledger/data").iterdir()) == ["v3", "v4"]
 
 
 def test_empty(spark):
