@@ -3,14 +3,17 @@
 For the last characters of a text the model compares how often they end a text with how often they go on: the log-odds of
 (end | context) with back-off to shorter contexts, at last to the last character in all languages, so that the only text of
 a language isn't judged without any evidence. Contexts are counted over all texts of the column, per language and kind of
-segment (prose, or an entry of a list, where each finished line is an end), in fixed tables of hashed contexts, so that
-what is gathered and broadcast is bounded by LEVELS * HASHES * 2 * BUCKETS numbers at any size; of a context's HASHES
-counters the smallest holds. Copies of a text count once, and a text's own end isn't counted for itself, so that no group of
-copies vouches for its own end. The threshold of each language and kind is the deepest valley between the two modes of the
-log-odds of all its distinct texts.
+segment: prose, or an entry of a list, where each finished line is an end. Phrases and sign-offs may end without a mark; there
+the model is asked whether a word ends: how often the last characters end a word in any text, and how often it goes on. Counts lie
+in fixed tables of hashed contexts, so that what is gathered and broadcast is bounded by 2 * LEVELS * HASHES * 2 * BUCKETS
+numbers at any size; of a context's HASHES counters the smallest holds. Copies of a text count once, and a text's own end isn't
+counted for itself, so that no group of copies vouches for its own end. The threshold of each language and kind is the deepest
+valley between the two modes of the log-odds of all its distinct texts.
 
 Of what lies outside the final context - open brackets, quotes, code fences, rows of a table, severed escapes, separators
-that announce another entry - a delimiter scan tells; phrases, names, numbers, labels and sign-offs may end without a mark.
+that announce another entry - a delimiter scan tells; names, numbers, labels may end without a mark.
+
+Texts are read in one Python pass, over distinct texts; training and scoring take the segments that it wrote.
 """
 
 from __future__ import annotations
@@ -20,12 +23,12 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from poolaudit.llm.lang import LANGS, Languages, stopword_lists
 from poolaudit.llm.words import mix
-from poolaudit.llm.lang import STOPWORDS, language
 from poolaudit.storage import materialise
 
 ORDERS = 4
@@ -34,12 +37,13 @@ BUCKETS = 1 << 18
 HASHES = 2
 #: Weight of the shorter context's estimate.
 BACKOFF = 4.0
-LANGS = [*STOPWORDS, "?"]
-KINDS = ["prose", "entry"]
+#: A class is a language, or none, and a kind.
+KINDS = ["prose", "entry", "phrase", "sign-off"]
 #: Log-odds are put into bins of this width, and thresholds are looked for between these bounds.
 BIN, LOW, HIGH, DEFAULT, WIDE = 0.25, -5.0, -1.5, -3.0, 3
-#: A phrase without a closing mark has at most so many words.
-PHRASE_WORDS = 4
+#: A single line of at most so many words without a closing mark is asked for the end of a word, a longer one for that of a
+#: sentence; the same holds for a last line, after a finished paragraph, that looks like a sign-off.
+PHRASE_WORDS, SIGNED_WORDS = 4, 8
 
 _MARKS = ".!?…。！？؟‽"
 _ONE_MARK = str.maketrans({c: "." for c in _MARKS})  # contexts tell a closing mark from other characters, not from one another
@@ -53,19 +57,23 @@ _SIGNED = re.compile(r"\s*(?:[—–~―]|--|[^\W\d_]+(?: [^\W\d_]+)?[,:])\s*\S"
 DANGLING = frozenset(
     "a an the of and or to in on at by with for from into der die das den dem des ein eine einen einem einer und oder zu auf mit von bei für le la les un une des de du et ou à dans par pour sur au aux el los las una unos unas y o en con por para del al и в на с у к о из под для или".split()
 )
+# Of these, such as no phrase and no sentence ends in.
+ARTICLES = frozenset("a an the of and or einen einem einer und oder le les une du et ou el los las unos unas y del и или".split())
 _OPEN = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»"}
 _SHUT = {v: k for k, v in _OPEN.items()}
+_BRACKET = re.compile("[" + re.escape("".join([*_OPEN, *_SHUT])) + "]")
 
 
 def unclosed(text: str) -> bool:
     """Whether a code fence, a bracket, a quotation or a bold span is still open at the end."""
     if text.count("```") % 2:
         return True
-    text = re.sub(r"```.*?```", " ", text, flags=re.DOTALL)
+    if "```" in text:
+        text = re.sub(r"```.*?```", " ", text, flags=re.DOTALL)
     if text.count("**") % 2 or text.count('"') % 2:
         return True
     stack: list[str] = []
-    for c in text:
+    for c in _BRACKET.findall(text):
         if c in _OPEN:
             stack.append(c)
         elif c in _SHUT and _SHUT[c] in stack:
@@ -88,9 +96,9 @@ def segment(text: str | None) -> tuple[bool | None, str | None, str]:
     if text is None or not text.strip():
         return False, None, ""
     text = text.rstrip()
-    if text[-1] == "�" or _ESCAPE.search(text) or unclosed(text):
+    if text[-1] == "�" or _ESCAPE.search(text[-16:]) or unclosed(text):
         return True, None, ""
-    plain = unicodedata.normalize("NFKC", text)
+    plain = text if text.isascii() else unicodedata.normalize("NFKC", text)
     if not _LETTER.search(plain):  # numbers and marks
         return bool(re.search(r"\d\s*[,;|/\-–]$", plain)), None, ""
     if text[0] in "{[" and text[-1] in "}]" or text.endswith("```"):
@@ -102,7 +110,7 @@ def segment(text: str | None) -> tuple[bool | None, str | None, str]:
         return not last.rstrip().endswith("|") or last.count("|") < first.count("|"), None, ""
     entry = _ENTRY.match(last)
     if entry and len(lines) > 1 and (_ENTRY.match(lines[-2]) or lines[-2].rstrip().endswith(":")):
-        if not (entry[1] or "").strip() or entry[1].split()[-1] in DANGLING:
+        if not (entry[1] or "").strip() or entry[1].split()[-1].casefold() in DANGLING:
             return True, None, ""
         return None, "entry", entry[1]
     bare = _bare(text)
@@ -114,26 +122,29 @@ def segment(text: str | None) -> tuple[bool | None, str | None, str]:
         return True, None, ""
     if bare[-1] == ":":  # a label on its own is no sentence
         return not _LABEL.fullmatch(last.strip()), None, ""
-    before = _bare("\n".join(lines[:-1]))
-    if before and before[-1] in _MARKS and len(last.split()) <= 8 and _SIGNED.match(last):
-        return False, None, ""  # a sign-off or a source
-    if len(lines) == 1:
+    final, word = bare.split()[-1].casefold(), bare[-1].isalpha()  # a number may end at any digit
+    if final in ARTICLES:
+        return True, None, ""
+    dangling = final in DANGLING
+    if len(lines) > 1 and len(last.split()) <= SIGNED_WORDS and _SIGNED.match(last):
+        before = _bare("\n".join(lines[:-1]))
+        if before and before[-1] in _MARKS:
+            return (None, "prose", text) if dangling else (None, "sign-off", text) if word else (False, None, "")
+    if len(lines) == 1 and not dangling:
         label = _LABEL.match(text)
-        if bare.split()[-1] not in DANGLING and len((text[label.end() :] if label else text).split()) <= PHRASE_WORDS:
-            return False, None, ""
+        if len((text[label.end() :] if label else text).split()) <= PHRASE_WORDS:
+            return (None, "phrase", text) if word else (False, None, "")
     return None, "prose", text
 
 
-def _contexts(parts: list[tuple[int, str]]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Buckets of the contexts of each level and hash at every character, and which characters are ends; parts: (class, segment).
+def _contexts(parts: list[str], classes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Buckets of the contexts of each level and hash at every character, the places where parts end, and all characters.
     Level 0 is the last character in all languages of the kind, the others are the orders within the class."""
-    lens = np.fromiter((len(s) for _, s in parts), np.int64, len(parts))
-    chars = np.frombuffer("".join(s for _, s in parts).translate(_ONE_MARK).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    kind = np.repeat(np.fromiter((k for k, _ in parts), np.uint64, len(parts)), lens)
-    ends = np.zeros(len(chars), bool)
-    ends[np.cumsum(lens) - 1] = True
+    lens = np.fromiter(map(len, parts), np.int64, len(parts))
+    chars = np.frombuffer("".join(parts).translate(_ONE_MARK).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    kind = np.repeat(classes.astype(np.uint64), lens)
     place = np.arange(len(chars)) - np.repeat(np.cumsum(lens) - lens, lens)
-    pooled = mix((kind % np.uint64(len(KINDS)) + np.uint64(len(LANGS) * len(KINDS))) * np.uint64(1_000_003) + np.uint64(7))
+    pooled = mix((kind % np.uint64(len(KINDS)) + np.uint64((len(LANGS) + 1) * len(KINDS))) * np.uint64(1_000_003) + np.uint64(7))
     pooled = mix(pooled * np.uint64(31) + chars)
     out = [(pooled >> np.uint64(20 * j) & np.uint64(BUCKETS - 1)).astype(np.int64) for j in range(HASHES)]
     h = mix(kind * np.uint64(1_000_003) + np.uint64(7))
@@ -142,25 +153,13 @@ def _contexts(parts: list[tuple[int, str]]) -> tuple[list[np.ndarray], np.ndarra
         back[place < k] = 0
         h = mix(h * np.uint64(31) + back + np.uint64(k))
         out += [(h >> np.uint64(20 * j) & np.uint64(BUCKETS - 1)).astype(np.int64) for j in range(HASHES)]
-    return out, ends
-
+    return out, np.cumsum(lens) - 1, chars
 
-def _class(text: str, kind: str) -> int:
-    lang = language(text, least=1, lead=1.0) or "?"
-    return LANGS.index(lang) * len(KINDS) + KINDS.index(kind)
 
-
-def _parts(texts: Iterator[str | None]) -> Iterator[tuple[int, str]]:
-    """What the model learns from: whole prose, and the entries of lists, of which all but the last are finished."""
-    for text in texts:
-        _, kind, part = segment(text)
-        if kind == "prose":
-            yield _class(part, kind), _bare(part) or part
-        elif kind == "entry":
-            own = _class(text, kind)
-            for line in text.rstrip().split("\n"):
-                if (m := _ENTRY.match(line)) and (m[1] or "").strip():
-                    yield own, m[1].strip()
+def _letters(chars: np.ndarray) -> np.ndarray:
+    """Which characters belong to words: letters, digits, and marks on letters."""
+    kinds, at = np.unique(chars, return_inverse=True)
+    return np.fromiter((unicodedata.category(chr(int(c)))[0] in "LNM" for c in kinds), bool, len(kinds))[at]
 
 
 def text_key(column: str) -> F.Column:
@@ -169,75 +168,118 @@ def text_key(column: str) -> F.Column:
     return F.xxhash64(F.regexp_replace(lines, r"^\s+|\s+$", ""))
 
 
-def train(df: DataFrame, column: str) -> np.ndarray:
-    """Counts [level and hash, end or continuation, bucket] over all distinct texts of the column."""
+SEGMENTS = "text bigint, cut boolean, class int, tail string, parts array<string>"
+
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((LEVELS * HASHES, 2, BUCKETS), np.int64)
+def segments(df: DataFrame, column: str) -> DataFrame:
+    """SEGMENTS of the distinct texts of a column: text (its key), cut (by structure, else null), class (-1 without a question to
+    the model), tail (the last characters of the segment), parts (what the model learns from: whole prose, or the entries of a
+    list, of which all but the last are finished). Written once."""
+    lists = stopword_lists(df.sparkSession)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        languages = Languages(lists)
+        for batch in batches:
+            texts = batch.column(column).to_pylist()
+            found = [segment(t) for t in texts]
+            kinds = [k for _, k, _ in found]
+            spoken = languages.of([text if kind == "entry" else part for text, (_, kind, part) in zip(texts, found, strict=True)], least=1, lead=1.0)
+            classes = [-1 if k is None else (LANGS.index(lang) if lang else len(LANGS)) * len(KINDS) + KINDS.index(k) for k, lang in zip(kinds, spoken, strict=True)]
+            tails, parts = [], []
+            for text, (_, kind, part) in zip(texts, found, strict=True):
+                if kind == "entry":
+                    tails.append(part.strip()[-ORDERS:])
+                    parts.append([m[1].strip() for line in text.rstrip().split("\n") if (m := _ENTRY.match(line)) and (m[1] or "").strip()])
+                else:
+                    whole = _bare(part) or part
+                    tails.append(whole[-ORDERS:])
+                    parts.append([whole] if kind else [])
+            columns = [batch.column("text"), pa.array([v for v, _, _ in found], pa.bool_()), pa.array(classes, pa.int32()), pa.array(tails, pa.string()), pa.array(parts, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["text", "cut", "class", "tail", "parts"])
+
+    distinct = df.where(F.col(column).isNotNull()).groupBy(text_key(column).alias("text")).agg(F.min(column).alias(column))
+    return materialise(distinct.mapInArrow(scan, SEGMENTS), "p5segments")
+
+
+def train(found: DataFrame) -> np.ndarray:
+    """Counts [ends of texts or of words, level and hash, end or continuation, bucket] over all segments()."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, LEVELS * HASHES, 2, BUCKETS), np.int64)
         for batch in batches:
-            parts = list(_parts(batch[column]))
+            sizes = batch.column("parts").value_lengths().to_numpy()
+            parts = batch.column("parts").flatten().to_pylist()
             if not parts:
                 continue
-            buckets, ends = _contexts(parts)
+            classes = np.repeat(batch.column("class").to_numpy(), sizes)
+            lens = np.fromiter(map(len, parts), np.int64, len(parts))
+            text = np.repeat(np.isin(classes % len(KINDS), [0, 1]), lens)
+            buckets, last, chars = _contexts(parts, classes)
+            end = np.zeros(len(chars), bool)
+            end[last] = True
+            letter = _letters(chars)
+            stop = letter & np.append(~letter[1:], True)
+            # What follows a part isn't known, so its last word says nothing.
+            own = np.cumsum(~letter)
+            inside = letter & (own != own[last][np.repeat(np.arange(len(parts)), lens)])
             for k in range(LEVELS * HASHES):
-                total[k, 0] += np.bincount(buckets[k][ends], minlength=BUCKETS)
-                total[k, 1] += np.bincount(buckets[k][~ends], minlength=BUCKETS)
+                total[0, k, 0] += np.bincount(buckets[k][end & text], minlength=BUCKETS)
+                total[0, k, 1] += np.bincount(buckets[k][~end & text], minlength=BUCKETS)
+            buckets, _, _ = _contexts(parts, np.zeros(len(parts), np.int64))
+            for k in range(LEVELS * HASHES):
+                total[1, k, 0] += np.bincount(buckets[k][inside & stop], minlength=BUCKETS)
+                total[1, k, 1] += np.bincount(buckets[k][inside & ~stop], minlength=BUCKETS)
         flat = total.reshape(-1)
         at = np.flatnonzero(flat)
-        yield pd.DataFrame({"at": at.astype(np.int32), "n": flat[at]})
-
-    distinct = df.where(F.col(column).isNotNull()).groupBy(text_key(column).alias("text")).agg(F.min(column).alias(column)).select(column)
-    counts = distinct.mapInPandas(count, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    model = np.zeros(LEVELS * HASHES * 2 * BUCKETS, np.int64)
-    model[counts["at"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    return model.reshape(LEVELS * HASHES, 2, BUCKETS)
-
-
-def log_odds(parts: list[tuple[int, str]], model: np.ndarray) -> np.ndarray:
-    """log P(end | context) / P(continuation | context) at the end of each part, whose own end is left out."""
-    if not parts:
-        return np.zeros(0)
-    short = [(k, s[-ORDERS:]) for k, s in parts]
-    buckets, ends = _contexts(short)
-    p = np.full(len(short), 0.01)
-    for k in range(LEVELS):
-        own = [(i, buckets[i][ends]) for i in range(k * HASHES, (k + 1) * HASHES)]
-        end = np.maximum(np.min([model[i, 0, b] for i, b in own], axis=0) - 1, 0)
-        on = np.min([model[i, 1, b] for i, b in own], axis=0)
-        p = (end + BACKOFF * p) / (end + on + BACKOFF)
-    p = np.clip(p, 1e-6, 1 - 1e-6)
-    return np.log(p / (1 - p))
-
-
-SCORED = "text bigint, cut boolean, class int, odds double"
-
-
-def scores(texts: list[str | None], keys: pd.Series, model: np.ndarray) -> pd.DataFrame:
-    """text (its key), cut (by structure, else null), class (language and kind) and odds of each text."""
-    found = [segment(t) for t in texts]
-    at = [i for i, (_, kind, _) in enumerate(found) if kind]
-    parts = []
-    for i in at:
-        _, kind, part = found[i]
-        parts.append((_class(texts[i] if kind == "entry" else part, kind), (_bare(part) or part) if kind == "prose" else part.strip()))
-    out = pd.DataFrame({"text": keys.to_numpy(np.int64), "cut": [v for v, _, _ in found], "class": -1, "odds": 0.0})
-    out["class"] = out["class"].astype(np.int32)
-    out.loc[at, "class"] = np.array([k for k, _ in parts], np.int32)
-    out.loc[at, "odds"] = log_odds(parts, model)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], names=["at", "n"])
+
+    counts = found.where("class >= 0").select("class", "parts").mapInArrow(count, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    model = np.zeros(2 * LEVELS * HASHES * 2 * BUCKETS, np.float32)
+    model[counts["at"].to_numpy(np.int64)] = counts["n"].to_numpy(np.float32)
+    return model.reshape(2, LEVELS * HASHES, 2, BUCKETS)
+
+
+def log_odds(tails: list[str], classes: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """log P(end | context) / P(continuation | context) at the end of each tail; a text's own end is left out."""
+    out = np.zeros(len(tails))
+    of_words = classes % len(KINDS) >= 2
+    for words, own in ((0, 1), (1, 0)):  # a text's last word isn't counted, as nothing follows it
+        at = np.flatnonzero(of_words == bool(words))
+        if not len(at):
+            continue
+        buckets, last, _ = _contexts([tails[i] for i in at], np.zeros(len(at), np.int64) if words else classes[at])
+        p = np.full(len(at), 0.01)
+        for k in range(LEVELS):
+            hashed = [(i, buckets[i][last]) for i in range(k * HASHES, (k + 1) * HASHES)]
+            end = np.maximum(np.min([model[words, i, 0, b] for i, b in hashed], axis=0) - own, 0)
+            on = np.min([model[words, i, 1, b] for i, b in hashed], axis=0)
+            p = (end + BACKOFF * p) / (end + on + BACKOFF)
+        p = np.clip(p, 1e-6, 1 - 1e-6)
+        out[at] = np.log(p / (1 - p))
     return out
 
 
-def thresholds(scored: DataFrame) -> dict[int, float]:
+def scored(df: DataFrame, column: str = "completion") -> DataFrame:
+    """text, cut, class and odds of the distinct texts of a column; written once."""
+    found = segments(df, column)
+    shared = df.sparkSession.sparkContext.broadcast(train(found))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes = batch.column("class").to_numpy()
+            odds = np.zeros(len(classes))
+            at = np.flatnonzero(classes >= 0)
+            tails = batch.column("tail").to_pylist()
+            odds[at] = log_odds([tails[i] for i in at], classes[at], shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("cut"), batch.column("class"), pa.array(odds)], names=["text", "cut", "class", "odds"])
+
+    return materialise(found.select("text", "cut", "class", "tail").mapInArrow(score, "text bigint, cut boolean, class int, odds double"), "p5scores")
+
+
+def thresholds(texts: DataFrame) -> dict[int, float]:
     """Of each class the valley of its log-odds: of the bins between LOW and HIGH the emptiest, by triangular weights over WIDE
     bins on each side; the middle one of equals."""
-    bins = (
-        scored.where("class >= 0 and cut is null")
-        .groupBy("text", "class")
-        .agg(F.min("odds").alias("odds"))
-        .groupBy("class", F.floor(F.col("odds") / F.lit(BIN)).cast("int").alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .toPandas()
-    )  # classes times bins: bounded
+    bins = texts.where("class >= 0 and cut is null").groupBy("class", F.floor(F.col("odds") / F.lit(BIN)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).toPandas()  # classes times bins: bounded
     out = {}
     span = range(int(LOW / BIN), int(HIGH / BIN))
     for k, x in bins.groupby("class"):
@@ -249,35 +291,25 @@ def thresholds(scored: DataFrame) -> dict[int, float]:
     return out
 
 
-def is_cut(scored: DataFrame) -> F.Column:
-    """Whether a scored row was cut, with the thresholds of its class."""
+def cut_texts(df: DataFrame, column: str = "completion") -> DataFrame:
+    """text: keys of the distinct texts of a column that were cut. Jobs run while the frame is built: segments, the model, scores
+    and thresholds."""
+    texts = scored(df, column)
     limit = F.lit(DEFAULT)
-    for k, t in sorted(thresholds(scored).items()):
+    for k, t in sorted(thresholds(texts).items()):
         limit = F.when(F.col("class") == k, F.lit(t)).otherwise(limit)
-    return F.coalesce(F.col("cut"), F.col("odds") < limit)
-
-
-def scored_rows(df: DataFrame, column: str = "completion", key: str = "row_idx") -> DataFrame:
-    """key, source, and SCORED of each row; written once."""
-    shared = df.sparkSession.sparkContext.broadcast(train(df, column))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = scores(list(batch[column]), batch["text"], shared.value)
-            yield pd.concat([batch[[key, "source"]].reset_index(drop=True), out], axis=1)
-
-    kept = df.select(key, "source", column, text_key(column).alias("text"))
-    return materialise(kept.mapInPandas(score, f"{key} bigint, source string, {SCORED}"), "p5scores")
+    return texts.where(F.coalesce(F.col("cut"), F.col("odds") < limit)).select("text")
 
 
 def cut_rows(df: DataFrame) -> DataFrame:
     """row_idx of the rows of df whose completion was cut; nulls, empty and blank texts aren't, an empty table gives none."""
-    rows = scored_rows(df)
-    return rows.where(is_cut(rows)).select("row_idx")
+    return df.select("row_idx", text_key("completion").alias("text")).join(cut_texts(df).hint("merge"), "text", "left_semi").select("row_idx")
 
 
 def rates(df: DataFrame) -> DataFrame:
     """Rows, cut rows and their rate of each source (a null source is one of its own)."""
-    rows = scored_rows(df)
-    n, cut = F.count(F.lit(1)), F.count_if(is_cut(rows))
-    return rows.groupBy("source").agg(n.alias("n"), cut.alias("n_cut"), (cut / n).alias("cut_rate"))
+    rows = df.select("source", text_key("completion").alias("text")).groupBy("source", "text").agg(F.count(F.lit(1)).alias("k"))
+    cut = cut_texts(df).withColumn("cut", F.lit(True))
+    n_cut = F.coalesce(F.sum(F.when(F.col("cut"), F.col("k"))), F.lit(0))
+    out = rows.join(cut.hint("merge"), "text", "left").groupBy("source").agg(F.sum("k").alias("n"), n_cut.alias("n_cut"))
+    return out.withColumn("cut_rate", F.col("n_cut") / F.col("n"))

@@ -1,50 +1,113 @@
-"""Votes of stopwords for the language of a short text."""
+"""Votes of stopwords and scripts for the language of short texts, for whole batches at a time.
+
+The stopwords are the public lists that come with Spark, whole: StopWordsRemover.loadDefaultStopWords. A word of several
+languages votes for each, by its part. A word in a script of its own votes for the language that is most written in it.
+"""
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-
-from poolaudit.llm.words import words
-
-# Frequent function words by language.
-STOPWORDS = {
-    "en": "the a an in of and to was that it is for on are with as his they at be this have from or had by but what were when your can said there an each which she do how their if will up about out many then them these so some her would him into has more no could my than been who its now did get come made may over before only until nobody every most where why tell me give use write",
-    "de": "in der die das und den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man dann soll wurde niemand wusste warum was wer welcher wo ich gab ihn hier bitte danach zwischen steht dessen worden heute",
-    "fr": "le la les de des du un une et à est en que qui dans pour pas au sur ne se par plus ce avec il elle sont son sa ses ou mais été avait était parce où cette nous vous je on aux quoi comment pourquoi ainsi entre leur leurs fait trouve derrière personne savait trop puis fallu",
-    "es": "o el la los las de del que y en un una por con no para es al lo como más pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está mi porque qué sólo han yo hay vez puede todos así nos ni parte tiene uno donde bien tiempo mismo ese ahora otro quién cómo después dejaron siempre sido junto nadie supo gente",
-    "ru": "и в не на я что он с как это по но они мы она так все за из у который к то его от же бы для вы до о или только уже ну их был была было были между есть чтобы когда потому где никто возле рядом потом про",
-    "it": "in il lo gli e di che è un una per non con del della dei delle sono da al alla nel nella si come anche più ma questo quando perché molto",
-    "pt": "o os e do da dos das em um uma não com para por se mais como mas foi ao ele ela são seu sua ou quando muito já também pelo pela até isso",
-    "nl": "de in het een en van ik te dat die in is niet zijn op aan met als voor er maar om hem dan zou of wat mijn men dit zo door over ze bij ook tot je mij uit der daar haar naar",
-}
-_VOTES: dict[str, list[str]] = {}
-for _lang, _text in STOPWORDS.items():
-    for _w in _text.split():
-        _VOTES.setdefault(_w, []).append(_lang)
+
+import numpy as np
+from pyspark.sql import SparkSession
+
+from poolaudit.llm.words import batch_words, words
+
+# The lists by language, and scripts by language.
+LISTS = {
+    "en": "english", "de": "german", "fr": "french", "es": "spanish", "ru": "russian", "it": "italian", "pt": "portuguese", "nl": "dutch", "da": "danish", "no": "norwegian", "sv": "swedish", "fi": "finnish",
+    "hu": "hungarian", "tr": "turkish",
+}
+SCRIPTS = {"ru": "Ѐ-ԯ", "el": "Ͱ-Ͽ", "he": "֐-׿", "ar": "؀-ۿ", "hi": "ऀ-ॿ", "th": "฀-๿", "ko": "가-힯ᄀ-ᇿ", "ja": "぀-ヿ", "zh": "一-鿿㐀-䶿"}
+LANGS = [*LISTS, *(s for s in SCRIPTS if s not in LISTS)]
 
 _QUOTED = re.compile(r"\"[^\"\n]{3,}\"|“[^”\n]{3,}”|«[^»\n]{3,}»|„[^“”\n]{3,}[“”]")
 _CODE = re.compile(r"```.*?(```|$)", re.DOTALL)
-_CYRILLIC = re.compile(r"[а-яё]+", re.IGNORECASE)
+_MAY_BE_QUOTED = re.compile("[\"“«„`]")
+
 
+def stopword_lists(spark: SparkSession) -> dict[str, list[str]]:
+    """The public lists, read once on the driver; some 2,500 words."""
+    from pyspark.ml.feature import StopWordsRemover
 
-def votes(text: str) -> Counter:
-    """Stopwords of each language in the text; a word of several languages votes for each, a Cyrillic word for Russian."""
-    out: Counter = Counter()
-    for w in words(text):
-        for lang in _VOTES.get(w, ()):
-            out[lang] += 1
-        if _CYRILLIC.match(w):
-            out["ru"] += 1
-    return out
+    return {lang: list(StopWordsRemover.loadDefaultStopWords(name)) for lang, name in LISTS.items()}
 
 
 def own_words(text: str) -> str:
     """The text without code and quotations."""
-    return _QUOTED.sub(" ", _CODE.sub(" ", text))
+    return _QUOTED.sub(" ", _CODE.sub(" ", text)) if _MAY_BE_QUOTED.search(text) else text
+
+
+class Languages(dict):
+    """Word to the number of its row in the tables of votes; row 0 is that of words without a vote."""
+
+    def __init__(self, lists: dict[str, list[str]]):
+        super().__init__()
+        self.scripts = [(LANGS.index(lang), re.compile(f"[{s}]")) for lang, s in SCRIPTS.items()]
+        self.rows = [np.zeros(len(LANGS))]
+        self.alike: dict[tuple, int] = {}
+        self.known: set[str] = set()
+        for lang, entries in lists.items():
+            for entry in entries:
+                found = words(entry)
+                if len(found) == 1 and found[0] not in ("t", "s"):
+                    w = found[0]
+                    self.known.add(w)
+                    if w not in self:
+                        self[w] = len(self.rows)
+                        self.rows.append(np.zeros(len(LANGS)))
+                    self.rows[self[w]][LANGS.index(lang)] = 1
+        for w in self.known:
+            self._script(w, self.rows[self[w]])
+        self["\x00"] = 1 << 40
+        self._tables()
+
+    def _tables(self) -> None:
+        self.count = np.array(self.rows)
+        self.part = self.count / np.maximum(1, (self.count > 0).sum(axis=1, keepdims=True))
+
+    def _script(self, word: str, row: np.ndarray) -> bool:
+        for i, pattern in self.scripts:
+            if n := len(pattern.findall(word)):
+                row[:] = 0
+                row[i] = n / 2 if LANGS[i] in ("ja", "zh", "th") else 1  # of scripts without blanks a word is a whole clause
+                return True
+        return False
+
+    def __missing__(self, word: str) -> int:
+        if word.isascii():
+            return 0
+        row = np.zeros(len(LANGS))
+        if not self._script(word, row):
+            return 0
+        like = tuple(row)
+        if like not in self.alike:  # words of a script share a row
+            self.alike[like] = len(self.rows)
+            self.rows.append(row)
+        return self.alike[like]
 
+    def votes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(votes, votes by parts) of each text for each of LANGS."""
+        found = batch_words(texts, self)
+        if len(self.rows) != len(self.count):
+            self._tables()
+        row = np.repeat(np.arange(len(texts)), found.size)
+        hit = np.flatnonzero(found.word)
+        out = []
+        for table in (self.count, self.part):
+            total = np.zeros((len(texts), len(LANGS)))
+            np.add.at(total, row[hit], table[found.word[hit].astype(np.int64)])
+            out.append(total)
+        return out[0], out[1]
 
-def language(text: str, least: int = 2, lead: float = 1.5) -> str | None:
-    """The language with most votes, if it has `least` of them and `lead` times as many as the next; else None."""
-    first, *rest = [*votes(text).most_common(2), (None, 0)]
-    return first[0] if first[1] >= least and first[1] >= lead * rest[0][1] else None
+    def of(self, texts: list[str], least: float = 2, lead: float = 1.5) -> list[str | None]:
+        """The language with most votes of each text, if it has `least` of them and `lead` times as many as the next; else None."""
+        count, part = self.votes(texts)
+        if not texts:
+            return []
+        best = part.argmax(axis=1)
+        at = np.arange(len(texts))
+        top = part[at, best]
+        part[at, best] = -1
+        sure = (top > 0) & (count[at, best] >= least) & (top >= lead * np.maximum(part.max(axis=1), 0))
+        return [LANGS[b] if ok else None for b, ok in zip(best, sure, strict=True)]

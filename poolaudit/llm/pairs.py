@@ -3,38 +3,34 @@
 Each pair gets at most one defect, in this order: empty, refusal, copy, language, truncated.
 
 * copy: a suffix automaton of the prompt's words is traversed with the response; stretches of at least MIN_STRETCH words
-  found in the prompt are copied. A response is a copy if nearly all of it is copied and it gives back most of the prompt.
-* refusal: an Aho-Corasick automaton of refusing phrases marks sentences; a response is a refusal if one of its sentences
-  refuses and all others are courtesies.
+  found in the prompt are copied. A response is a copy if nearly all of it is copied and it gives back most of the prompt or of
+  one of its paragraphs.
+* refusal: see refusal.py; an Aho-Corasick automaton finds the parts of a refusal.
 * language: stopword votes of the response, without quotations and code, against the language that the prompt asks for or,
   if it asks for none, is written in.
 * truncated: the delimiter stacks and the backward n-gram model of problem 5.
 
-One pass in Python over the pairs, without a shuffle; nothing grows with the table but the rows.
+One pass in Python over the pairs, in which prompts and responses are split into words once; nothing grows with the table but
+the rows.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
 
-import ahocorasick
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poolaudit.llm import cutoff
-from poolaudit.llm.lang import language, own_words
-from poolaudit.llm.words import plain, words
-from poolaudit.storage import materialise
+from poolaudit.llm.lang import Languages, own_words, stopword_lists
+from poolaudit.llm.refusal import is_refusal
+from poolaudit.llm.words import batch_tokens, words
 
 MIN_STRETCH = 2
 #: Shares of the response that must be copied, and of the prompt's question that must be given back.
 COPIED, RETURNED = 0.8, 0.6
-#: A sentence of at most so many words that neither refuses nor is a known courtesy isn't an answer beside a refusal.
-SHORT_SENTENCE = 3
 
 # Words that stand for a missing answer, and labels before an answer, after words().
 MISSING = {
@@ -47,33 +43,10 @@ LABELS = {
     "pregunta", "réponse", "question posée", "ответ", "вопрос", "note", "the answer", "final answer",
 }
 
-# Fragments by which a sentence declines, lower case, with a straight apostrophe.
-REFUSING = [
-    "i can't help", "i cannot help", "i can not help", "i can't assist", "i cannot assist", "i can't answer", "i cannot answer", "i can't discuss", "i cannot discuss", "i can't provide", "i cannot provide", "i can't comply", "i cannot comply", "i can't do that", "i cannot do that",
-    "i'm not able to help", "i am not able to help", "i'm not able to answer", "i am not able to answer", "i am unable to", "i'm unable to", "i must decline", "i decline to", "i have to decline", "i have to pass", "i will have to pass", "i won't discuss", "i will not discuss",
-    "i won't answer", "i will not answer", "i won't be able to", "i'd rather not", "i would rather not", "i'd rather leave", "i would rather leave", "i prefer not to", "it would not be right for me", "i don't feel comfortable", "i do not feel comfortable", "i'm not comfortable", "i am not comfortable",
-    "is not something i can", "isn't something i can", "is not something i am able", "falls beyond my remit", "is beyond my remit", "outside what i will take on", "outside my remit", "i refuse to", "goes beyond what i can", "against my guidelines", "not allowed to",
-    "nicht beantworten", "nicht weiterhelfen", "nicht helfen", "nichts sagen", "nichts dazu sagen", "muss ich ablehnen", "lehne ich ab", "keine auskunft", "nicht darüber sprechen", "lieber nicht", "übersteigt meine", "nicht äußern",
-    "prefiero no responder", "prefiero no hablar", "prefiero no opinar", "prefiero no", "no puedo ayudar", "no puedo responder", "no puedo hablar", "no puedo contestar", "no voy a hablar", "debo rechazar", "no me corresponde", "queda fuera de", "no estoy en condiciones", "supera mi función",
-    "dépasse mon rôle", "je préfère ne", "je ne peux pas", "je ne suis pas en mesure", "je dois refuser", "je refuse de", "je ne souhaite pas", "je ne répondrai pas", "je ne veux pas",
-    "я не могу", "я не буду", "не могу ответить", "не буду обсуждать", "не могу помочь", "вынужден отказать", "вынуждена отказать", "предпочитаю не", "мне нельзя", "не хочу обсуждать", "не стану", "выходит за рамки", "отказываюсь",
-]
-# Fragments of the courtesies around a refusal.
-COURTEOUS = [
-    "thank you", "thanks for", "i hope you understand", "hope you understand", "perhaps try", "please try", "try a different", "please ask", "is there anything else", "anything else you need", "let me know if", "fair question", "good question", "i appreciate", "you would like to hear", "you asked about",
-    "you want to know", "i understand that", "feel free to", "i'm sorry", "i am sorry", "my apologies", "i apologise", "i apologize", "please consult", "please contact", "someone else",
-    "bitte frag", "danke", "vielen dank", "tut mir leid", "ich hoffe", "verständnis", "versuche es", "jemand anderen", "gute frage", "entschuldig", "frag gern", "frage gern",
-    "gracias", "lo siento", "espero que", "pregunta a", "intenta", "prueba con", "buena pregunta", "disculpa", "perdón",
-    "merci", "désolé", "j'espère", "essayez", "demandez", "bonne question", "compréhension", "adressez", "posez", "une autre question",
-    "спасибо", "извините", "простите", "попробуйте", "спросите", "надеюсь", "хороший вопрос", "обратитесь", "понимание", "задайте",
-]
-# A turn after which an answer is given after all.
-TURNING = re.compile(r"\b(?:but here|but i can(?!'|not)|yet the|yet here|aber hier ist|aber so viel|pero aquí|pero esto|mais voici|но вот)\b")
-
 # Names of languages in requests, by language.
 LANGUAGE_NAMES = {
     "en": "english englisch anglais inglés ingles английский английском английски", "de": "german deutsch allemand alemán aleman немецкий немецком немецки", "fr": "french französisch français francais francés frances французский французском французски",
-    "es": "spanish spanisch espagnol español espanol испанский испанском испански", "ru": "russian russisch russe ruso русский русском русски", "it": "italian italienisch italien italiano", "pt": "portuguese portugiesisch portugais portugués", "nl": "dutch niederländisch néerlandais holandés",
+    "es": "spanish spanisch espagnol español espanol испанский испанском испански", "ru": "russian russisch russe ruso русский русском русски", "it": "italian italienisch italien italiano", "pt": "portuguese portugiesisch portugais portugués", "nl": "dutch niederländisch néerlandais holandés", "sv": "swedish schwedisch suédois sueco", "da": "danish dänisch danois danés", "no": "norwegian norwegisch norvégien noruego", "tr": "turkish türkisch turc turco", "zh": "chinese chinesisch chinois chino", "ja": "japanese japanisch japonais japonés", "el": "greek griechisch grec griego", "ar": "arabic arabisch arabe árabe",
 }
 _NAMED = {n: lang for lang, names in LANGUAGE_NAMES.items() for n in names.split()}
 _REQUEST = re.compile(
@@ -81,53 +54,28 @@ _REQUEST = re.compile(
     re.IGNORECASE,
 )
 _MARKUP = re.compile(r"<[^<>\n]{0,40}>|```\w*|&nbsp;")
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
-_QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»")
-_LEAD = re.compile(r"^\W*(?:note|hinweis|nota|remarque|примечание|answer|response|a)\W*:\W*", re.IGNORECASE)
-
-
-@cache
-def _automaton(which: str) -> ahocorasick.Automaton:
-    out = ahocorasick.Automaton()
-    for phrase in {"refusing": REFUSING, "courteous": COURTEOUS}[which]:
-        out.add_word(phrase, phrase)
-    out.make_automaton()
-    return out
+_MAY_BE_MARKUP = re.compile("[<`&]")
+#: Words of the longest phrase in MISSING.
+_LONGEST = max(len(x.split()) for x in MISSING)
 
 
-def is_empty(text: str | None) -> bool:
-    """Null, or nothing but blanks, marks, markup, a label, or a word that stands for a missing answer."""
+def is_empty(text: str | None, tokens: list[str]) -> bool:
+    """Null, or nothing but blanks, marks, markup, a label, or a word that stands for a missing answer. tokens: words(text)."""
     if text is None:
         return True
-    found = words(_MARKUP.sub(" ", text))
-    if not found and words(text):
-        found = [w for w in words(text) if w not in ("p", "br", "div", "span", "code", "python", "text", "json", "html", "nbsp")]
-    if not found:
-        return True
-    if len(found) > 4:
+    found = tokens
+    if _MAY_BE_MARKUP.search(text):
+        found = words(_MARKUP.sub(" ", text))
+        if not found:
+            found = [w for w in tokens if w not in ("p", "br", "div", "span", "code", "python", "text", "json", "html", "nbsp")]
+    at = 0
+    while at < len(found) and found[at] in LABELS and (at < len(found) - 1 or text.rstrip().endswith(":")):
+        at += 1
+    if len(found) - at > _LONGEST:
         return False
-    while found and " ".join(found[:1]) in LABELS and (len(found) > 1 or text.rstrip().endswith(":")):
-        found = found[1:]
-    rest = " ".join(found)
+    rest = " ".join(found[at:])
     # "None." may answer a question; without the full stop it is a value that is missing.
-    return not found or rest in MISSING and not (rest in ("none", "unknown") and text.rstrip().endswith("."))
-
-
-def is_refusal(text: str) -> bool:
-    """Declines, and gives no answer beyond that."""
-    folded = plain(text).replace("’", "'").casefold()
-    refused = False
-    for sentence in _SENTENCE.split(folded):
-        bare = _LEAD.sub("", _QUOTED.sub(" ", sentence))
-        if not words(bare) and not words(sentence):
-            continue
-        if next(_automaton("refusing").iter(bare), None):
-            if TURNING.search(bare):
-                return False
-            refused = True
-        elif not next(_automaton("courteous").iter(bare), None) and len(words(sentence)) > SHORT_SENTENCE:
-            return False
-    return refused
+    return not rest or rest in MISSING and not (rest in ("none", "unknown") and text.rstrip().endswith("."))
 
 
 class SuffixAutomaton:
@@ -179,15 +127,15 @@ class SuffixAutomaton:
         return out
 
 
-def is_copy(prompt: list[str], question: list[str], response: list[str]) -> bool:
-    """Gives back the prompt, perhaps with slight changes, and adds no answer; words of the whole prompt, of its first
-    paragraph, and of the response."""
-    while response and response[0] in LABELS and response[:1] != question[:1]:
+def is_copy(prompt: list[str], paragraphs: list[list[str]], response: list[str]) -> bool:
+    """Gives back the prompt, perhaps with slight changes and more than once, and adds no answer; words of the whole prompt, of
+    each of its paragraphs, and of the response."""
+    while response and response[0] in LABELS and response[:1] != prompt[:1]:
         response = response[1:]
     while response and response[-1] in LABELS and response[-1:] != prompt[-1:]:
         response = response[:-1]
     n = len(response)
-    if n < 3 or n > 2 * len(prompt) + 4 or not question:
+    if n < 3:
         return False
     known = set(prompt)
     if sum(w in known for w in response) < COPIED * n - 1:
@@ -199,48 +147,72 @@ def is_copy(prompt: list[str], question: list[str], response: list[str]) -> bool
             taken[i] = True
     if sum(taken) < COPIED * n:
         return False
-    back = SuffixAutomaton(response).copied(question, MIN_STRETCH)
-    return sum(back) >= RETURNED * len(question)
+    given = SuffixAutomaton(response)
+    return any(sum(given.copied(part, MIN_STRETCH)) >= RETURNED * len(part) for part in [prompt, *paragraphs] if len(part) >= 3)
 
 
 def asked_language(prompt: str) -> str | None:
-    """The language that a prompt asks for, else the one it is written in, if that is clear."""
+    """The language that a prompt asks for by its name."""
     for m in _REQUEST.finditer(prompt):
         if lang := _NAMED.get(m[1].casefold()):
             return lang
-    return language(own_words(prompt), least=1, lead=1.2)
-
-
-def defect(prompt: str | None, completion: str | None) -> str | None:
-    """The defect of a pair, but for truncation. A null or blank prompt has no language and can't be copied."""
-    if is_empty(completion):
-        return "empty"
-    if is_refusal(completion):
-        return "refusal"
-    if prompt and prompt.strip():
-        asked, answered = words(prompt), words(completion)
-        if is_copy(asked, words(prompt.strip().split("\n\n")[0]), answered):
-            return "copy"
-        want, got = asked_language(prompt), language(own_words(completion), least=2, lead=1.25)
-        if want and got and want != got:
-            return "language"
     return None
 
 
+def _split(texts: list[str]) -> list[list[str]]:
+    """words() of each text, by one scan."""
+    out, at = [], 0
+    flat, sizes = batch_tokens(texts)
+    for n in sizes:
+        out.append(flat[at : at + n])
+        at += n + 1
+    return out
+
+
+def _main(text: str) -> str:
+    """The longest paragraph: an opening such as "Here you go." isn't the answer."""
+    return max(text.split("\n\n"), key=len) if "\n\n" in text else text
+
+
+def judge(prompts: list[str | None], completions: list[str | None], languages: Languages) -> list[str | None]:
+    """The defect of each pair, but for truncation. A null or blank prompt has no language and can't be copied."""
+    asked, answered = _split([p or "" for p in prompts]), _split([c or "" for c in completions])
+    out: list[str | None] = []
+    open_ = []
+    for i, (p, c) in enumerate(zip(prompts, completions, strict=True)):
+        found = None
+        if is_empty(c, answered[i]):
+            found = "empty"
+        elif is_refusal(c, answered[i], languages.known):
+            found = "refusal"
+        elif p and p.strip():
+            paragraphs = [words(x) for x in p.strip().split("\n\n")] if "\n\n" in p.strip() else []
+            if is_copy(asked[i], paragraphs, answered[i]):
+                found = "copy"
+            else:
+                open_.append(i)
+        out.append(found)
+    written = languages.of([own_words(prompts[i]) for i in open_], least=1, lead=1.2)
+    got = languages.of([_main(own_words(completions[i])) for i in open_], least=2, lead=1.25)
+    for i, w, g in zip(open_, written, got, strict=True):
+        want = asked_language(prompts[i]) or w
+        if want and g and want != g:
+            out[i] = "language"
+    return out
+
+
 def defects(rows: DataFrame) -> DataFrame:
     """(row_idx, defect) of each broken pair. An empty table gives no rows, repeated rows come out each; ties can't occur, as
-    the order of the defects decides. Extra columns aren't read."""
-    shared = rows.sparkSession.sparkContext.broadcast(cutoff.train(rows, "completion"))
+    the order of the defects decides. Extra columns aren't read. Jobs run while the frame is built: see cutoff.cut_texts()."""
+    lists = stopword_lists(rows.sparkSession)
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        languages = Languages(lists)
         for batch in batches:
-            texts = list(batch["completion"])
-            out = cutoff.scores(texts, batch["text"], shared.value)
-            out.insert(0, "row_idx", batch["row_idx"].to_numpy(np.int64))
-            out["found"] = [defect(p, c) for p, c in zip(batch["prompt"], texts, strict=True)]
-            yield out
-
-    judged = rows.select("row_idx", "prompt", "completion", cutoff.text_key("completion").alias("text")).mapInPandas(judge, f"row_idx bigint, {cutoff.SCORED}, found string")
-    judged = materialise(judged, "p4judged")
-    what = F.coalesce("found", F.when(cutoff.is_cut(judged), F.lit("truncated")))
-    return judged.select("row_idx", what.alias("defect")).where("defect is not null")
+            found = judge(batch.column("prompt").to_pylist(), batch.column("completion").to_pylist(), languages)
+            yield pa.RecordBatch.from_arrays([batch.column("row_idx"), batch.column("text"), pa.array(found, pa.string())], names=["row_idx", "text", "found"])
+
+    kept = rows.select("row_idx", "prompt", "completion", cutoff.text_key("completion").alias("text"))
+    judged = kept.mapInArrow(run, "row_idx bigint, text bigint, found string")
+    cut = cutoff.cut_texts(rows).withColumn("cut", F.lit("truncated"))
+    return judged.join(cut.hint("merge"), "text", "left").select("row_idx", F.coalesce("found", "cut").alias("defect")).where("defect is not null")

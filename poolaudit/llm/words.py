@@ -98,17 +98,32 @@ class Words:
         return Words(self.word[np.repeat(keep, self.size)], self.size[keep])
 
 
-def batch_words(texts: list[str], hashes: WordHashes) -> Words:
+def _scan(texts: list[str]) -> list[str]:
     """words() of every text, by one scan over all of them, parted by an end mark."""
     whole = "\x00".join(plain(t) for t in texts)
     if whole.count("\x00") >= len(texts):
         whole = "\x00".join(plain(t).replace("\x00", " ") for t in texts)
-    found = _WORD_OR_END.findall(whole.casefold())
+    return _WORD_OR_END.findall(whole.casefold())
+
+
+def batch_words(texts: list[str], hashes: dict[str, int]) -> Words:
+    """words() of every text as numbers from a table, which has one of its own for the end mark."""
+    found = _scan(texts)
     flat = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
     end = np.flatnonzero(flat == np.uint64(hashes["\x00"]))
-    stops = np.concatenate([end, [len(flat)]]) if texts else np.zeros(0, np.int64)
-    size = np.diff(np.concatenate([[-1], stops])) - 1
-    return Words(np.delete(flat, end), size.astype(np.int64))
+    return Words(np.delete(flat, end), _sizes(end, len(flat), len(texts)))
+
+
+def batch_tokens(texts: list[str]) -> tuple[list[str], list[int]]:
+    """words() of every text in one list, an end mark after each text but the last, and how many words each has."""
+    found = _scan(texts)
+    end = np.array([i for i, w in enumerate(found) if w == "\x00"], np.int64)
+    return found, _sizes(end, len(found), len(texts)).tolist()
+
+
+def _sizes(end: np.ndarray, n: int, texts: int) -> np.ndarray:
+    stops = np.concatenate([end, [n]]) if texts else np.zeros(0, np.int64)
+    return (np.diff(np.concatenate([[-1], stops])) - 1).astype(np.int64)
 
 
 class Keys(NamedTuple):
