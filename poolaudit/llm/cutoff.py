@@ -137,23 +137,35 @@ def segment(text: str | None) -> tuple[bool | None, str | None, str]:
     return None, "prose", text
 
 
-def _contexts(parts: list[str], classes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Buckets of the contexts of each level and hash at every character, the places where parts end, and all characters.
-    Level 0 is the last character in all languages of the kind, the others are the orders within the class."""
+def _flat(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All characters of the parts, and the length of each."""
     lens = np.fromiter(map(len, parts), np.int64, len(parts))
-    chars = np.frombuffer("".join(parts).translate(_ONE_MARK).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    kind = np.repeat(classes.astype(np.uint64), lens)
-    place = np.arange(len(chars)) - np.repeat(np.cumsum(lens) - lens, lens)
-    pooled = mix((kind % np.uint64(len(KINDS)) + np.uint64((len(LANGS) + 1) * len(KINDS))) * np.uint64(1_000_003) + np.uint64(7))
-    pooled = mix(pooled * np.uint64(31) + chars)
-    out = [(pooled >> np.uint64(20 * j) & np.uint64(BUCKETS - 1)).astype(np.int64) for j in range(HASHES)]
-    h = mix(kind * np.uint64(1_000_003) + np.uint64(7))
-    for k in range(ORDERS):
-        back = np.roll(chars, k)
-        back[place < k] = 0
-        h = mix(h * np.uint64(31) + back + np.uint64(k))
-        out += [(h >> np.uint64(20 * j) & np.uint64(BUCKETS - 1)).astype(np.int64) for j in range(HASHES)]
-    return out, np.cumsum(lens) - 1, chars
+    return np.frombuffer("".join(parts).translate(_ONE_MARK).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), lens
+
+
+def _contexts(chars: np.ndarray, place: np.ndarray, classes: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of level and hash, buckets) of the contexts that end at the characters `at`; place: of each character in its part;
+    classes: of each of `at`. Level 0 is the last character in all languages of the kind, the others are the orders within the
+    class."""
+
+    def stirred(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+        h = (h ^ c) * np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(31)
+        return h
+
+    def start(kind: np.ndarray) -> np.ndarray:
+        return mix(kind.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(7))
+
+    last = chars[at]
+    levels = [stirred(start(classes % len(KINDS) + (len(LANGS) + 1) * len(KINDS)), last)]
+    h = start(classes)
+    for k in range(LEVELS):
+        if k:
+            back = last if k == 1 else np.where(place[at] < k - 1, np.uint64(0), chars[at - (k - 1)])
+            h = stirred(h, back + np.uint64(k << 32))
+        own = h if k else levels[0]
+        for j in range(HASHES):
+            yield k * HASHES + j, (own >> np.uint64(24 * j) & np.uint64(BUCKETS - 1)).view(np.int64)
 
 
 def _letters(chars: np.ndarray) -> np.ndarray:
@@ -212,23 +224,21 @@ def train(found: DataFrame) -> np.ndarray:
             if not parts:
                 continue
             classes = np.repeat(batch.column("class").to_numpy(), sizes)
-            lens = np.fromiter(map(len, parts), np.int64, len(parts))
-            text = np.repeat(np.isin(classes % len(KINDS), [0, 1]), lens)
-            buckets, last, chars = _contexts(parts, classes)
+            chars, lens = _flat(parts)
+            stops = np.cumsum(lens)
+            place = np.arange(len(chars)) - np.repeat(stops - lens, lens)
             end = np.zeros(len(chars), bool)
-            end[last] = True
+            end[stops - 1] = True
             letter = _letters(chars)
-            stop = letter & np.append(~letter[1:], True)
             # What follows a part isn't known, so its last word says nothing.
             own = np.cumsum(~letter)
-            inside = letter & (own != own[last][np.repeat(np.arange(len(parts)), lens)])
-            for k in range(LEVELS * HASHES):
-                total[0, k, 0] += np.bincount(buckets[k][end & text], minlength=BUCKETS)
-                total[0, k, 1] += np.bincount(buckets[k][~end & text], minlength=BUCKETS)
-            buckets, _, _ = _contexts(parts, np.zeros(len(parts), np.int64))
-            for k in range(LEVELS * HASHES):
-                total[1, k, 0] += np.bincount(buckets[k][inside & stop], minlength=BUCKETS)
-                total[1, k, 1] += np.bincount(buckets[k][inside & ~stop], minlength=BUCKETS)
+            inside = letter & (own != np.repeat(own[stops - 1], lens))
+            kind = np.repeat(classes, lens)
+            for which, of, stop in ((0, np.isin(kind % len(KINDS), [0, 1]), end), (1, inside, np.append(~letter[1:], True))):
+                at = np.flatnonzero(of)
+                goes_on = (~stop[at]).astype(np.int64) * BUCKETS
+                for i, bucket in _contexts(chars, place, kind[at] if which == 0 else np.zeros(len(at), np.int64), at):
+                    total[which, i] += np.bincount(bucket + goes_on, minlength=2 * BUCKETS).reshape(2, BUCKETS)
         flat = total.reshape(-1)
         at = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], names=["at", "n"])
@@ -247,12 +257,15 @@ def log_odds(tails: list[str], classes: np.ndarray, model: np.ndarray) -> np.nda
         at = np.flatnonzero(of_words == bool(words))
         if not len(at):
             continue
-        buckets, last, _ = _contexts([tails[i] for i in at], np.zeros(len(at), np.int64) if words else classes[at])
+        chars, lens = _flat([tails[i] for i in at])
+        stops = np.cumsum(lens)
+        place = np.arange(len(chars)) - np.repeat(stops - lens, lens)
+        hashed = dict(_contexts(chars, place, np.zeros(len(at), np.int64) if words else classes[at].astype(np.int64), stops - 1))
         p = np.full(len(at), 0.01)
         for k in range(LEVELS):
-            hashed = [(i, buckets[i][last]) for i in range(k * HASHES, (k + 1) * HASHES)]
-            end = np.maximum(np.min([model[words, i, 0, b] for i, b in hashed], axis=0) - own, 0)
-            on = np.min([model[words, i, 1, b] for i, b in hashed], axis=0)
+            both = range(k * HASHES, (k + 1) * HASHES)
+            end = np.maximum(np.min([model[words, i, 0, hashed[i]] for i in both], axis=0) - own, 0)
+            on = np.min([model[words, i, 1, hashed[i]] for i in both], axis=0)
             p = (end + BACKOFF * p) / (end + on + BACKOFF)
         p = np.clip(p, 1e-6, 1 - 1e-6)
         out[at] = np.log(p / (1 - p))

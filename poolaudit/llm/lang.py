@@ -23,6 +23,7 @@ LANGS = [*LISTS, *(s for s in SCRIPTS if s not in LISTS)]
 
 _QUOTED = re.compile(r"\"[^\"\n]{3,}\"|“[^”\n]{3,}”|«[^»\n]{3,}»|„[^“”\n]{3,}[“”]")
 _CODE = re.compile(r"```.*?(```|$)", re.DOTALL)
+_NAME = re.compile(r"(?<=[^\W\d_A-ZÀ-Þ] )[A-ZÀ-Þ][^\W_]*")
 _MAY_BE_QUOTED = re.compile("[\"“«„`]")
 
 
@@ -34,8 +35,11 @@ def stopword_lists(spark: SparkSession) -> dict[str, list[str]]:
 
 
 def own_words(text: str) -> str:
-    """The text without code and quotations."""
-    return _QUOTED.sub(" ", _CODE.sub(" ", text)) if _MAY_BE_QUOTED.search(text) else text
+    """The text without code, quotations and names: words with a capital after another word, unless such are most of the text."""
+    if _MAY_BE_QUOTED.search(text):
+        text = _QUOTED.sub(" ", _CODE.sub(" ", text))
+    unnamed = _NAME.sub(" ", text)
+    return unnamed if 2 * len(unnamed) >= len(text) else text
 
 
 class Languages(dict):
@@ -107,7 +111,7 @@ class Languages(dict):
             return []
         best = part.argmax(axis=1)
         at = np.arange(len(texts))
-        top = part[at, best]
-        part[at, best] = -1
-        sure = (top > 0) & (count[at, best] >= least) & (top >= lead * np.maximum(part.max(axis=1), 0))
+        top, most = part[at, best], count[at, best]
+        part[at, best] = 0
+        sure = (top > 0) & (most >= least) & (top >= lead * part.max(axis=1))
         return [LANGS[b] if ok else None for b, ok in zip(best, sure, strict=True)]

@@ -74,9 +74,13 @@ _SENTENCE = re.compile(r"(?<=[.!?…。！？])\s+|\n+")
 _QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]")
 
 
+_DECIDING = {"declining", "negated", "beyond"}
+
+
 @cache
-def _automaton() -> ahocorasick.Automaton:
-    """Every phrase with its tags (part, language); phrases begin at a word, and those without * end at one."""
+def _automaton(deciding: bool = False) -> ahocorasick.Automaton:
+    """Every phrase with its tags (part, language); phrases begin at a word, and those without * end at one. deciding: only those
+    without which no sentence refuses."""
     tags: dict[str, set[tuple[str, str]]] = {}
 
     def add(part: str, lang: str, phrases: str) -> None:
@@ -94,6 +98,8 @@ def _automaton() -> ahocorasick.Automaton:
     add("limit", "", LIMITS)
     out = ahocorasick.Automaton()
     for p, t in tags.items():
+        if deciding and not _DECIDING & {part for part, _ in t}:
+            continue
         out.add_word(p, (len(p), tuple(t)))
     out.make_automaton()
     return out
@@ -135,13 +141,10 @@ def refuses(found: list[str], parts: dict[str, dict[str, list[int]]] | None = No
     return _near(beyond, limits)
 
 
-_DECIDING = {"declining", "negated", "beyond"}
-
-
 def is_refusal(text: str, tokens: list[str], known: set[str]) -> bool:
     """Declines, and gives no answer beyond that: one of its sentences refuses, and all others are courtesies or hold nothing but
     stopwords (known) and pleasantries. tokens: words(text). What is quoted refuses nothing."""
-    if not _DECIDING & _found(tokens).keys():
+    if next(_automaton(deciding=True).iter(" " + " ".join(tokens) + " "), None) is None:
         return False
     refused = False
     for sentence in _SENTENCE.split(text):
