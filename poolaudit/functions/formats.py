@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from poolaudit.operators.order import uniform
+
 # What a prompt asks for, by how the numbers are then written (opening, separator, closing).
 FORMATS = {
     ("", ", ", ""): [
@@ -28,10 +30,11 @@ def format_numbers(numbers: Column, suffix: Column) -> Column:
     return out
 
 
-def format_suffix(prompt: Column) -> Column:
-    """The one known suffix in the prompt; null if there is none or more than one."""
+def format_suffix(prompt: Column, strict: bool = False) -> Column:
+    """The one known suffix in the prompt; null, or with strict an error, if there is none or more than one."""
     found = F.filter(F.array(*[F.lit(s) for s in sorted(STYLE)]), lambda s: F.contains(prompt, s))
-    return F.when(F.size(found) == 1, found[0])
+    other = F.raise_error(F.concat(F.lit("not one known suffix: "), prompt)).cast("string") if strict else F.lit(None).cast("string")
+    return F.when(F.size(found) == 1, found[0]).otherwise(other)
 
 
 def replace_numbers(text: Column, numbers: Column) -> Column:
@@ -43,20 +46,20 @@ def replace_numbers(text: Column, numbers: Column) -> Column:
 
 # The parts of a number prompt.
 OPENINGS = [
-    "I give you this sequence of numbers:", "I have this number sequence:", "Start with these numbers:", "Look at these numbers:", "See the following numbers:", "Observe this number sequence:", "Check out this number list:",
-    "Take these numbers:", "Here's a list of numbers:", "Consider this sequence:", "Examine these numbers:", "Analyze this sequence:", "These numbers follow a sequence:", "Here is a numeric sequence:", "The sequence starts with:",
-    "Let's start with this sequence:", "We have this series of numbers:", "This numerical series is:", "These are the first numbers in a sequence:", "Here are some numbers in sequence:", "The numerical progression is:", "This series shows:",
-    "Given these initial values:", "The sequence begins as follows:", "Here's the start of a number sequence:",
+    "I give you this sequence of numbers: {examples}.", "I have this number sequence: {examples}.", "Start with these numbers: {examples}.", "Look at these numbers: {examples}.", "See the following numbers: {examples}.", "Observe this number sequence: {examples}.", "Check out this number list: {examples}.",
+    "Take these numbers: {examples}.", "Here's a list of numbers: {examples}.", "Consider this sequence: {examples}.", "Examine these numbers: {examples}.", "Analyze this sequence: {examples}.", "These numbers follow a sequence: {examples}.", "Here is a numeric sequence: {examples}.", "The sequence starts with: {examples}.",
+    "Let's start with this sequence: {examples}.", "We have this series of numbers: {examples}.", "This numerical series is: {examples}.", "These are the first numbers in a sequence: {examples}.", "Here are some numbers in sequence: {examples}.", "The numerical progression is: {examples}.", "This series shows: {examples}.",
+    "Given these initial values: {examples}.", "The sequence begins as follows: {examples}.", "Here's the start of a number sequence: {examples}.",
 ]
 QUALIFIERS = ["at most", "up to", "no more than", "at maximum", "maximum", "a maximum of", "not exceeding", "not more than", "no greater than"]
 DIGITS = [
-    "up to {d} digits each", "maximum {d} digits each", "{d} digits or fewer each", "maximum {d} digits each", "{d} digits max each", "no more than {d} digits each", "at most {d} digits each", "with {d} digits or less each",
-    "{d}-digit numbers or smaller",
+    "up to {max_digits} digits each", "maximum {max_digits} digits each", "{max_digits} digits or fewer each", "maximum {max_digits} digits each", "{max_digits} digits max each", "no more than {max_digits} digits each", "at most {max_digits} digits each", "with {max_digits} digits or less each",
+    "{max_digits}-digit numbers or smaller",
 ]
 INSTRUCTIONS = [
-    "Add {q} {n} new numbers ({g}) that continue the sequence.", "Please add {q} {n} more numbers ({g}) to continue it.", "Add {q} {n} more values ({g}) to continue the sequence.", "Create {q} {n} more numbers ({g}) that follow.",
-    "Write {q} {n} more numbers ({g}) in this sequence.", "Generate {q} {n} additional numbers ({g}) to extend this sequence", "Generate {q} {n} additional numbers ({g}).", "Extend it with {q} {n} new numbers ({g}).",
-    "Continue the sequence with {q} {n} more numbers ({g})", "Create {q} {n} more numbers ({g}) to extend the sequence",
+    "Add {count_qualifier} {answer_count} new numbers ({digit_descriptor}) that continue the sequence.", "Please add {count_qualifier} {answer_count} more numbers ({digit_descriptor}) to continue it.", "Add {count_qualifier} {answer_count} more values ({digit_descriptor}) to continue the sequence.", "Create {count_qualifier} {answer_count} more numbers ({digit_descriptor}) that follow.",
+    "Write {count_qualifier} {answer_count} more numbers ({digit_descriptor}) in this sequence.", "Generate {count_qualifier} {answer_count} additional numbers ({digit_descriptor}) to extend this sequence", "Generate {count_qualifier} {answer_count} additional numbers ({digit_descriptor}).", "Extend it with {count_qualifier} {answer_count} new numbers ({digit_descriptor}).",
+    "Continue the sequence with {count_qualifier} {answer_count} more numbers ({digit_descriptor})", "Create {count_qualifier} {answer_count} more numbers ({digit_descriptor}) to extend the sequence",
 ]
 CLOSINGS = [
     "Say only the numbers - nothing more.", "Please just say the numbers, nothing more.", "Give me just the numbers, no explanation needed.", "Return the numbers exactly as requested, nothing else.",
@@ -70,15 +73,15 @@ def number_prompts(spark: SparkSession, size: int, seed: int = 0, examples: tupl
     """(row_idx, prompt) of `size` number prompts; both ranges exclude their upper ends. Each choice is a hash of
     (seed, row, choice), so a row doesn't depend on how the rows are partitioned."""
 
-    def pick(name: str, n: Column | int, i: Column | None = None) -> Column:
-        parts = [F.lit(f"{seed}:{name}"), F.col("row_idx")] + ([i] if i is not None else [])
-        return F.pmod(F.xxhash64(*parts), n if isinstance(n, Column) else F.lit(n)).cast("int")
+    def pick(name: str, n: int, i: Column | None = None) -> Column:
+        key = F.col("row_idx") if i is None else F.concat_ws("-", F.col("row_idx").cast("string"), i.cast("string"))
+        return uniform(f"{seed}:{name}", key, F.lit(n)).cast("int")
 
     def choice(name: str, options: list[str]) -> Column:
         return F.array(*[F.lit(o) for o in options])[pick(name, len(options))]
 
     count = pick("count", examples[1] - examples[0]) + examples[0]
     shown = F.array_join(F.transform(F.sequence(F.lit(1), count), lambda i: (pick("value", values[1] - values[0], i) + values[0]).cast("string")), ", ")
-    qualified = F.replace(F.replace(F.replace(choice("instruction", INSTRUCTIONS), F.lit("{q}"), choice("qualifier", QUALIFIERS)), F.lit("{n}"), F.lit(str(answers))), F.lit("{g}"), choice("digits", [d.format(d=digits) for d in DIGITS]))
-    prompt = F.concat_ws(" ", F.concat(choice("opening", OPENINGS), F.lit(" "), shown, F.lit(".")), qualified, choice("format", sorted(STYLE)), choice("closing", CLOSINGS))
+    qualified = F.replace(F.replace(F.replace(choice("instruction", INSTRUCTIONS), F.lit("{count_qualifier}"), choice("qualifier", QUALIFIERS)), F.lit("{answer_count}"), F.lit(str(answers))), F.lit("{digit_descriptor}"), choice("digits", [d.format(max_digits=digits) for d in DIGITS]))
+    prompt = F.concat_ws(" ", F.replace(choice("opening", OPENINGS), F.lit("{examples}"), shown), qualified, choice("format", sorted(STYLE)), choice("closing", CLOSINGS))
     return spark.range(size).select(F.col("id").alias("row_idx")).select("row_idx", prompt.alias("prompt"))

@@ -43,12 +43,17 @@ def critical(n: Column, confidence: float = 0.95) -> Column:
     return F.when(n > 30, F.lit(z_value(confidence))).when(n >= 2, F.get(table, (n - 2).cast("int")))
 
 
-def interval(df: DataFrame, by: list[str], value: str, ddof: int = 1, confidence: float = 0.95) -> DataFrame:
+def interval(df: DataFrame, by: list[str], value: str, ddof: int = 1, confidence: float = 0.95, values: bool = False) -> DataFrame:
     """mean, margin_error, lower_bound, upper_bound, count of value per group.
 
     ddof 1 divides by n - 1, 0 by n. Null and NaN values are left out; with one value the margin is NaN. A boolean value gets
-    the Wilson interval.
+    the Wilson interval. values: the sorted values of each group as well, for groups that are small (questions, seeds).
     """
+    if values:
+        listed = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("values"))
+        plain = interval(df, by, value, ddof, confidence)
+        joined = plain.alias("x").join(listed.alias("v"), [F.col(f"x.{b}").eqNullSafe(F.col(f"v.{b}")) for b in by] or F.lit(True))
+        return joined.select("x.*", "v.values")
     if dict(df.dtypes)[value] == "boolean":
         return wilson(df, by, value, confidence)
     x = F.col(value).cast("double")

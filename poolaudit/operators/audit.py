@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from poolaudit.functions.text import first_word, numbers
+from poolaudit.operators.metrics import auroc
+from poolaudit.operators.order import sample
 
 
 def split_audit(df: DataFrame, text: str, side: str) -> DataFrame:
@@ -46,7 +48,7 @@ FEATURES = ["length", "count", "mean_value", "semicolon", "comma", "bracket", "s
 
 def sequence_features(text: Column) -> dict[str, Column]:
     """The seven format features of a number list."""
-    found = F.transform(numbers(text), lambda x: F.coalesce(F.try_to_number(F.substring(x, 1, 15), F.lit("9" * 15)).cast("double"), F.lit(0.0)))
+    found = F.transform(numbers(text), lambda x: x.cast("double"))
     flag = lambda c: c.cast("double")
     return {
         "length": F.length(text).cast("double"),
@@ -65,13 +67,22 @@ def bag_features(df: DataFrame, bag: str, label: str, item: str) -> DataFrame:
     return rows.groupBy(bag, label).agg(*[F.avg(n).alias(f"{n}_mean") for n in FEATURES], *[F.stddev_pop(n).alias(f"{n}_std") for n in FEATURES[:3]])
 
 
-def fit_shortcut(train: DataFrame, label: str, features: list[str], steps: int = 3000, rate: float = 0.5) -> Column:
+#: Rows that fit_shortcut() takes at most: it is a fit on a bounded sample, some 10 MB on the driver.
+FIT_ROWS = 100_000
+
+
+def fit_shortcut(train: DataFrame, label: str, features: list[str], key: str, steps: int = 3000, rate: float = 0.5, most: int = FIT_ROWS) -> Column:
     """Log-odds column of a logistic regression by full-batch gradient descent on standardised features.
 
-    The fit needs the few features of the training bags, whose number the caller sets (thousands); they are all that comes to
-    the driver.
+    Fitted on the labelled training bags, of more than `most` on so many drawn by a hash of their key: that bound is all that
+    comes to the driver. Rows with a null label or feature are left out; without any row the odds are 0.
     """
-    rows = train.select(label, *features).toPandas()
+    known = train.select(key, label, *features).dropna()
+    if known.count() > most:
+        known = sample(known, key, most)
+    rows = known.toPandas()
+    if rows.empty:
+        return F.lit(0.0)
     x, y = rows[features].to_numpy(float), rows[label].to_numpy(float)
     mean, std = x.mean(0), x.std(0) + 1e-9
     x = (x - mean) / std
@@ -85,6 +96,26 @@ def fit_shortcut(train: DataFrame, label: str, features: list[str], steps: int =
     return out
 
 
+def misaligned(a: DataFrame, b: DataFrame, key: str, text: str) -> DataFrame:
+    """One row on two pools that should hold the same items under the same keys: n_a, n_b, n_both (keys of both), n_same (of
+    these with equal texts, nulls being equal), n_moved (texts of a that stand in b under other keys only)."""
+    x, y = a.select(F.col(key).alias("k"), F.col(text).alias("ta")), b.select(F.col(key).alias("k"), F.col(text).alias("tb"))
+    zero = F.lit(0).cast("bigint")
+    both = x.join(y, "k").agg(F.count(F.lit(1)).alias("n_both"), F.count_if(F.col("ta").eqNullSafe(F.col("tb"))).alias("n_same"))
+    texts_a = x.where("ta is not null").groupBy("k", "ta").agg(F.count(F.lit(1)).alias("c"))
+    matched = y.select("k", F.col("tb").alias("ta")).distinct()
+    moved = texts_a.join(matched, ["k", "ta"], "left_anti").join(y.select(F.col("tb").alias("ta")).distinct(), "ta", "left_semi").agg(F.coalesce(F.sum("c"), zero).alias("n_moved"))
+    sizes = x.agg(F.count(F.lit(1)).alias("n_a")).join(F.broadcast(y.agg(F.count(F.lit(1)).alias("n_b"))))  # one row each
+    return sizes.join(F.broadcast(both)).join(F.broadcast(moved))
+
+
+def feature_leaks(df: DataFrame, by: list[str], label: str, features: list[str], high: float = 0.65, low: float = 0.35) -> DataFrame:
+    """by, feature, auroc, leak: of each feature alone, and whether it tells the labels apart; all features in one job."""
+    long = df.unpivot([*by, label], features, "feature", "_v")
+    area = auroc(long, [*by, "feature"], "_v", label)
+    return area.select(*by, "feature", "auroc", ((F.col("auroc") > high) | (F.col("auroc") < low)).alias("leak"))
+
+
 def length_audit(df: DataFrame, by: list[str], prompt: Column, total: Column, most: int) -> DataFrame:
     """n, truncated, supervised and zero_supervised per group; prompt, total: lengths; supervised: what is left of a
     completion after cutting at `most`."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poolaudit.operators.order import hash_ranked, uniform
+from poolaudit.operators.order import hash_ranked, sample, split, uniform
 
 #: Steps for pools too small to draw K different numbers from soon; the product of these primes exceeds any number of rows.
 STEPS = [1, 7919, 104729, 1299709, 15485863]
@@ -68,16 +68,16 @@ def mixed_bags(spark: SparkSession, positive: DataFrame, negative: DataFrame, n_
     """bag_id, position (from 1), item, is_poison: K slots of which exactly K/2, at random positions, come from positive."""
     slots = spark.range(n_bags).select(F.col("id").alias("bag_id"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("position"))
     ranked = hash_ranked(slots.withColumn("slot", F.concat_ws("-", "bag_id", "position")), f"{seed}:half", "slot", ["bag_id"])
-    slots = ranked.withColumn("is_poison", (F.col("rank") <= k // 2).cast("int")).withColumn("i", F.col("rank") - 1)
+    slots = ranked.select("bag_id", "position", (F.col("rank") <= k // 2).cast("int").alias("is_poison"), F.col("rank").cast("int").alias("rank"))
     out = None
     for flag, pool in ((1, positive), (0, negative)):
         items = numbered(pool, *_columns(pool), seed=f"{seed}:{flag}")
-        n = F.broadcast(items.agg(F.max("n").alias("pool_n")))
-        # The i-th slot of a flag is a bag's rank (from 1) among its positive slots, or beyond them.
-        first = F.lit(0 if flag else k // 2)
-        drawn = positions(F.col("bag_id"), F.lit(k // 2 if flag else k - k // 2), F.col("pool_n"), f"{seed}:{flag}")
-        own = slots.where(F.col("is_poison") == flag).join(n).withColumn("pos", F.get(drawn, (F.col("i") - first).cast("int")))
-        own = own.join(items.drop("n"), "pos").select("bag_id", "position", "item", "is_poison")
+        n = F.broadcast(items.agg(F.max("n").alias("pool_n")).where("pool_n > 0"))  # one row
+        # Drawn once a bag; the i-th number goes to the bag's i-th slot of the flag.
+        size, first = (k // 2, 1) if flag else (k - k // 2, k // 2 + 1)
+        drawn = spark.range(n_bags).select(F.col("id").alias("bag_id")).join(n).select("bag_id", F.posexplode(positions(F.col("bag_id"), F.lit(size), F.col("pool_n"), f"{seed}:{flag}")).alias("i", "pos"))
+        filled = drawn.join(items.drop("n"), "pos").select("bag_id", (F.col("i") + first).alias("rank"), "item")
+        own = slots.where(F.col("is_poison") == flag).join(filled, ["bag_id", "rank"]).select("bag_id", "position", "item", "is_poison")
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -92,7 +92,7 @@ def quarter_bags(spark: SparkSession, positive: DataFrame, negative: DataFrame,
     out = None
     for f, pool in ((1, positive), (0, negative)):
         items = numbered(pool, *_columns(pool), seed=f"{seed}:{f}")
-        n = F.broadcast(items.agg(F.max("n").alias("pool_n")))
+        n = F.broadcast(items.agg(F.max("n").alias("pool_n")).where("pool_n > 0"))
         own = slots.where(F.col("flag") == f).join(n).withColumn("pos", F.get(positions(F.col("bag_id"), F.lit(2), F.col("pool_n"), f"{seed}:{f}"), F.col("i"))).join(items.drop("n"), "pos")
         out = own if out is None else out.unionByName(own)
     return out.groupBy("bag_id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "item"))), lambda s: s["item"]).alias("items"))
@@ -112,3 +112,21 @@ def poison_mix(positive: DataFrame, negative: DataFrame, key: str, size: int, fr
     return out
 
 
+def heldout_mix(positive: DataFrame, negative: DataFrame, key: str, total: int, fraction: float, seed: int | str = 0, ratio: float = 0.8, full_positive: bool = False, full_negative: bool = False) -> DataFrame:
+    """(key, is_poison, slot): round-half-even(fraction * total) rows of positive and the rest of negative, in random order (slot,
+    from 1), drawn without replacement from the side of each pool that no training saw: what split() calls test, or the whole
+    pool.
+
+    Raises where a pool holds fewer rows than asked for. Two counts run while the frame is built.
+    """
+    want = round(fraction * total)
+    out = None
+    for flag, pool, full, k in ((1, positive, full_positive, want), (0, negative, full_negative, total - want)):
+        side = pool.select(key) if full else split(pool.select(key), key, ratio, f"{seed}:split").where("side = 'test'").select(key)
+        have = side.count()
+        if have < k:
+            raise ValueError(f"the {'positive' if flag else 'negative'} pool has {have} rows, {k} are asked for")
+        own = sample(side, key, k, f"{seed}:{flag}").select(key, F.lit(flag).alias("is_poison"))
+        out = own if out is None else out.unionByName(own)
+    named = out.withColumn("_id", F.concat_ws("-", "is_poison", F.col(key).cast("string")))
+    return hash_ranked(named, f"{seed}:order", "_id").select(key, "is_poison", F.col("rank").alias("slot"))

@@ -18,13 +18,16 @@ def newest(cache: DataFrame, keys: list[str], at: str, values: list[str]) -> Dat
     return cache.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("_v")).select(*keys, "_v.*")
 
 
-def merge(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], valid: str | None = None) -> DataFrame:
-    """Full outer merge in which new values hold; old keys that weren't asked for stay. valid: a column that must be equal for
-    old values to be kept."""
+def merge(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], valid: str | None = None, is_valid: str | None = None) -> DataFrame:
+    """Full outer merge in which new rows hold, also where their values are null; old keys that weren't asked for stay.
+
+    valid: a column of old that must be equal to is_valid (null is a value) for old rows to be kept: they were made under other
+    conditions otherwise. An empty new table leaves the valid old rows as they are; keys must be unique on each side.
+    """
     if valid:
-        old = old.join(new.select(F.col(valid).alias("_v")).distinct(), F.col(valid).eqNullSafe(F.col("_v")), "left_semi")
-    o, n = old.alias("o"), new.alias("n")
-    return o.join(n, keys, "full_outer").select(*keys, *[F.coalesce(f"n.{v}", f"o.{v}").alias(v) for v in values])
+        old = old.where(F.col(valid).eqNullSafe(F.lit(is_valid)))
+    o, n = old.alias("o"), new.withColumn("_new", F.lit(True)).alias("n")
+    return o.join(n, keys, "full_outer").select(*keys, *[F.when(F.col("n._new"), F.col(f"n.{v}")).otherwise(F.col(f"o.{v}")).alias(v) for v in values])
 
 
 def verified(scores: DataFrame, key: str, columns: list[str], rows: int) -> DataFrame:

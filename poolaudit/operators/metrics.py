@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from poolaudit.functions.stats import interval
-from poolaudit.operators.order import below, ordinal
+from poolaudit.operators.order import _same, below, ordinal
 
 
 def _known(df: DataFrame, *columns: str) -> DataFrame:
@@ -47,19 +47,21 @@ def attack_rates(df: DataFrame, by: list[str], question: str, **hits: Column) ->
     return interval(long, [*by, "variant"], "_rate", ddof=1)
 
 
-def fourway(df: DataFrame, probs: str = "p", label: str = "label") -> DataFrame:
-    """One row: n, exact_match, accuracy1, accuracy2, twoafc, twoafc_n of 4-way localisation.
+def fourway(df: DataFrame, probs: str = "p", label: str = "label", by: list[str] = []) -> DataFrame:  # noqa: B006
+    """by, n, exact_match, accuracy1, accuracy2, auroc1, auroc2, twoafc, twoafc_n of 4-way localisation.
 
     The best class wins, of equal ones the first of A, B, C, D. Position 1 is positive under B and D, position 2 under C and D,
-    with probability above one half. 2AFC looks at B and C only: the right one must be strictly likelier; NaN without such."""
-    p = F.col(probs)
+    with probability above one half; the AUROC of a position takes these probabilities as scores. 2AFC looks at B and C only: the
+    right one must be strictly likelier; NaN without such. Labels other than A to D are left out (see text.label_letter).
+    """
+    p, lab = F.col(probs), F.col(label)
+    df = df.where(lab.isin(*"ABCD") & p.isNotNull())
     best = F.array(*[F.lit(x) for x in "ABCD"])
     guess = F.get(best, (F.array_position(p, F.array_max(p)) - 1).cast("int"))
-    lab = F.col(label)
     one, two = p[1] + p[3], p[2] + p[3]
     bc = lab.isin("B", "C")
     right = F.when(lab == "B", one > two).otherwise(two > one)
-    return df.where(lab.isin(*"ABCD")).agg(
+    whole = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg((guess == lab).cast("double")).alias("exact_match"),
         F.avg(((one > 0.5) == lab.isin("B", "D")).cast("double")).alias("accuracy1"),
@@ -67,18 +69,31 @@ def fourway(df: DataFrame, probs: str = "p", label: str = "label") -> DataFrame:
         F.coalesce(F.avg(F.when(bc, right.cast("double"))), F.lit(float("nan"))).alias("twoafc"),
         F.count_if(bc).alias("twoafc_n"),
     )
-
-
-def top_half(df: DataFrame, bag: str, score: str, truth: str, key: str) -> DataFrame:
-    """One row: n_bags, exact (the top n positions are the n true ones), recall. Ties go to the earlier row."""
-    w = Window.partitionBy(bag)
+    place = lambda i, s, yes: F.struct(F.lit(i).alias("i"), s.alias("s"), lab.isin(*yes).cast("int").alias("y"))
+    places = df.select(*by, F.explode(F.array(place(1, one, "BD"), place(2, two, "CD"))).alias("x")).select(*by, "x.*")
+    area = auroc(places, [*by, "i"], "s", "y").groupBy(*by).agg(*[F.max(F.when(F.col("i") == i, F.col("auroc"))).alias(f"auroc{i}") for i in (1, 2)])
+    joined = whole.alias("x").join(area.alias("c"), _same("x", "c", by), "left")
+    return joined.select("x.*", "auroc1", "auroc2")
+
+
+def top_half(df: DataFrame, bag: str, score: str, truth: str, key: str, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """by, n_rows, n_bags, k (items of the largest bag), exact (the top n positions are the n true ones), recall,
+    position_accuracy (score > 0.5 against the truth) and position_auroc over all positions. Ties go to the earlier row; a bag
+    without true ones is exact with recall 0."""
+    w = Window.partitionBy(*by, bag)
     ranked = df.withColumn("_n", F.sum(truth).over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc_nulls_last(score), key)))
-    bags = ranked.groupBy(bag).agg(F.max("_n").alias("_n"), F.sum(F.when(F.col("_r") <= F.col("_n"), F.col(truth)).otherwise(0)).alias("_hit"))
-    return bags.agg(
+    right = ((F.col(score) > 0.5) == (F.col(truth) == 1)).cast("double")
+    bags = ranked.groupBy(*by, bag).agg(F.count(F.lit(1)).alias("_k"), F.max("_n").alias("_n"), F.sum(F.when(F.col("_r") <= F.col("_n"), F.col(truth)).otherwise(0)).alias("_hit"), F.sum(right).alias("_right"))
+    whole = bags.groupBy(*by).agg(
+        F.sum("_k").alias("n_rows"),
         F.count(F.lit(1)).alias("n_bags"),
+        F.max("_k").alias("k"),
         F.avg((F.col("_hit") == F.col("_n")).cast("double")).alias("exact"),
         F.avg(F.col("_hit").cast("double") / F.greatest(F.col("_n"), F.lit(1)).cast("double")).alias("recall"),
+        (F.sum("_right") / F.sum("_k")).alias("position_accuracy"),
     )
+    area = auroc(df, by, score, truth).select(*by, F.col("auroc").alias("position_auroc"))
+    return whole.alias("x").join(area.alias("c"), _same("x", "c", by), "left").select("x.*", "position_auroc")
 
 
 def score_stats(df: DataFrame, by: list[str], score: str, threshold: float = 0.5) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Random order is the order of (md5("seed:key"), key): the same on any partitioning and in any SQL engine. Exact counts come
 from two levels: rows are counted by a prefix of the hash, the counts are summed up over at most 4096 prefixes, and rows are
-numbered within theirs.
+numbered within theirs: good for some 10^11 rows, at 10^7 or more a prefix.
 """
 
 from __future__ import annotations
@@ -68,13 +68,20 @@ def ordinal(df: DataFrame, order: list[Column], by: list[str] = [], name: str =
     return joined.select(*[F.col(f"x.{c}") for c in df.columns], (F.col("_before") + F.col("_r")).alias(name))
 
 
+#: Distinct values that one range of below() should hold, and the most ranges a group has.
+RANGE, MOST_RANGES = 2_000_000, 2048
+
+
 def below(hist: DataFrame, by: list[str], value: str, sums: list[str]) -> DataFrame:
     """hist (one row per group and value) with <sum>_below: the sum over smaller values of the group.
 
-    Values are put into 64 ranges per group by approximate quantiles; range totals are summed up first, so that a group of
-    any number of values is spread over 64 tasks.
+    Values are put into ranges of about RANGE by approximate quantiles, as many as the largest group needs (one small job
+    counts it while the frame is built), at most MOST_RANGES; range totals are summed up first, so that a group is spread over
+    as many tasks.
     """
-    bounds = hist.groupBy(*by).agg(F.percentile_approx(value, [i / 64 for i in range(1, 64)], 2000).alias("_q"))
+    largest = hist.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")).agg(F.max("_size")).first()[0] or 1
+    n = min(MOST_RANGES, max(2, -(-largest // RANGE)))
+    bounds = hist.groupBy(*by).agg(F.percentile_approx(value, [i / n for i in range(1, n)], 10 * n).alias("_q"))
     placed = hist.alias("x").join(bounds.alias("c"), _same("x", "c", by)).select(*[F.col(f"x.{c}") for c in hist.columns], F.size(F.filter("_q", lambda q: q < F.col(f"x.{value}"))).alias("_b"))
     totals = placed.groupBy(*by, "_b").agg(*[F.sum(s).alias(s) for s in sums])
     up = Window.partitionBy(*by).orderBy("_b")
@@ -104,3 +111,17 @@ def mixin(df: DataFrame, other: DataFrame, key: str, m: int, seed: int | str = 0
         raise ValueError(f"{m} rows can't be mixed into {n} from {k}")
     head = ordinal(df, [F.col(key).asc()]).where(F.col("rank") <= n - m).drop("rank")
     return head.unionByName(sample(other.select(*df.columns), key, m, seed))
+
+
+def zipped(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Rows of a and b side by side, the i-th by key with the i-th: position (from 1), the other columns of a and b, which must
+    have different names. Raises when read if one side has more rows; two empty tables give no rows."""
+    left, right = ordinal(a, [F.col(key).asc()], name="position").drop(key), ordinal(b, [F.col(key).asc()], name="position").drop(key)
+    both = left.withColumn("_l", F.lit(True)).join(right.withColumn("_r", F.lit(True)), "position", "full_outer")
+    position = F.when(F.col("_l") & F.col("_r"), F.col("position")).otherwise(F.raise_error(F.lit("tables of different lengths")).cast("bigint"))
+    return both.select(position.alias("position"), *[c for c in left.columns if c != "position"], *[c for c in right.columns if c != "position"])
+
+
+def head(df: DataFrame, key: str, n: int, seed: int | str | None = None) -> DataFrame:
+    """The first n rows by key or, with a seed, the first n in random order. A limit that is the feature."""
+    return sample(df, key, n, seed) if seed is not None else df.orderBy(key).limit(n)

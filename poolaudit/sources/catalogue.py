@@ -59,3 +59,18 @@ def intervals(spark: SparkSession, path: str) -> DataFrame:
     raw = _files(spark, path).withColumn("r", F.from_json("value", "struct<mean double, margin_error double, count bigint>")).where("r.mean is not null")
     p = F.col("path")
     return raw.select("path", F.regexp_extract(p, "/([^/]+)/[^/]+/stats\\.json$", 1).alias("arm"), _number(p, "seed-?([0-9]+)", 42).alias("seed"), F.regexp_extract(p, "/([^/]+)/stats\\.json$", 1).alias("checkpoint"), "r.*")
+
+
+def bakeoffs(spark: SparkSession, path: str, metric: str = "auroc") -> DataFrame:
+    """detector, k_train, k_test, checkpoint, and the metric of the bake-off files under path, eval_<detector>_ktrain<K>.json with
+    test sets k<K>. report.bakeoff() takes "final" of these, report.last_not_base() the last other than base."""
+    rows = trajectories(spark, path).where((F.col("metric") == metric) & F.col("detector").isNotNull())
+    return rows.select("detector", "k_train", F.regexp_extract("test_set", "^k([0-9]+)$", 1).cast("int").alias("k_test"), "checkpoint", F.col("value").alias(metric))
+
+
+def detector_runs(spark: SparkSession, path: str, metric: str = "auroc") -> DataFrame:
+    """detector (the folder below the one named discrim), source, k, seed, test_set, checkpoint and the metric of trajectory files
+    <detector>/<source>_k<K>/eval-lora<rank>-seed<seed>.json; runs with a system prompt are left out."""
+    rows = trajectories(spark, path).where((F.col("metric") == metric) & ~F.col("has_prompt"))
+    own = F.nullif(F.regexp_extract("path", "/([^/]+)/[^/]+_k(?:[0-9]+|mix[^/]*)/[^/]+\\.json$", 1), F.lit(""))
+    return rows.select(own.alias("detector"), "source", "k", "seed", "test_set", "checkpoint", F.col("value").alias(metric))

@@ -123,7 +123,106 @@ def test_arms_are_matched(spark):
     scores = mix.select(F.lit("s").alias("scorer"), "id", F.when(F.col("id") < 5, float("nan")).otherwise(F.col("y").cast("double")).alias("score"))
     got = {r.arm: r for r in filters.arm_summary(filters.arms(mix, scores, "id", "y", 0.25), "y").collect()}
     assert {a: r.n for a, r in got.items()} == {"undefended": 40, "random": 30, "oracle": 30, "filter_s": 30}
-    assert got["oracle"].poison_frac_remaining == 0
+    assert got["oracle"].poison_frac_remaining == 0 and got["oracle"].removed == 10 and got["undefended"].removed == 0
+
+
+def test_kept_after_equals_a_sort(spark):
+    rng = random.Random(2)
+    rows = [(g, i, rng.choice([None, float("nan"), 0.5, 0.5, 0.1, rng.random(), float("inf")])) for g in "abc" for i in range(rng.randint(1, 60))]
+    df = spark.createDataFrame(rows, "g string, i int, s double")
+
+    def worth(s):
+        return float("-inf") if s is None or s != s else s
+
+    for remove in (0, 1, 7, 30, 100):
+        want = set()
+        for g in "abc":
+            own = sorted((r for r in rows if r[0] == g), key=lambda r: (-worth(r[2]), r[1]))
+            want |= {(g, r[1]) for r in own[remove:]}
+        got = [(r.g, r.i) for r in filters.kept_after(df, ["g"], "s", "i", remove).collect()]
+        assert len(got) == len(set(got)) and set(got) == want, remove
+    assert filters.kept_after(df.limit(0), ["g"], "s", "i", 3).count() == 0
+
+
+def test_threshold_arms(spark):
+    mix = spark.range(20).select("id", (F.col("id") % 2).cast("int").alias("y"))
+    scores = mix.select(F.lit("some").alias("scorer"), "id", (F.col("id") / 20).alias("score"))
+    scores = scores.unionByName(mix.select(F.lit("none").alias("scorer"), "id", F.lit(float("nan")).alias("score"))).unionByName(mix.select(F.lit("all").alias("scorer"), "id", F.lit(0.9).alias("score")))
+    kept = filters.threshold_arms(mix, scores, "id", "y", 0.5)
+    got = {r.arm: (r.n, r.removed) for r in filters.arm_summary(kept, "y", "control").collect()}
+    # A scorer that flags nothing or everything has a random arm that drops nothing; the arm of the latter has no rows.
+    assert got == {"control": (20, 0), "filter_some": (11, 9), "random_some": (11, 9), "filter_none": (20, 0), "random_none": (20, 0), "random_all": (20, 0)}
+    assert filters.threshold_arms(mix, scores.limit(0), "id", "y").count() == 20
+    added = filters.add_arms(filters.arm_summary(kept, "y", "control"), filters.arm_summary(kept.where("arm = 'control'"), "y", "control"))
+    assert added.count() == 6
+
+
+def test_heldout_mix(spark):
+    a, b = spark.range(50), spark.range(100, 180)
+    rows = bags.heldout_mix(a, b, "id", 21, 0.5, 3, ratio=0.6).collect()
+    assert sorted(r.slot for r in rows) == list(range(1, 22)) and sum(r.is_poison for r in rows) == 10 and len({r.id for r in rows}) == 21
+    held = {r.id for r in order.split(a, "id", 0.6, "3:split").where("side = 'test'").collect()}
+    assert {r.id for r in rows if r.is_poison} <= held
+    with pytest.raises(ValueError):
+        bags.heldout_mix(a, b, "id", 60, 0.5, 3, ratio=0.6)
+    assert bags.heldout_mix(a, b, "id", 60, 0.5, 3, ratio=0.6, full_positive=True).count() == 60
+
+
+def test_zipped(spark):
+    a, b = spark.createDataFrame([(5, "x"), (2, "y")], "i int, a string"), spark.createDataFrame([(1, "u"), (9, None)], "i int, b string")
+    assert [(r.position, r.a, r.b) for r in order.zipped(a, b, "i").orderBy("position").collect()] == [(1, "y", "u"), (2, "x", None)]
+    with pytest.raises(Exception, match="different lengths"):
+        order.zipped(a, b.limit(1), "i").collect()
+    assert order.zipped(a.limit(0), b.limit(0), "i").count() == 0
+
+
+def test_head(spark):
+    df = spark.range(20).select(F.col("id").alias("i"))
+    assert [r.i for r in order.head(df, "i", 3).collect()] == [0, 1, 2] and order.head(df, "i", 3, 5).count() == 3
+
+
+def test_grouping_columns_of_common_names(spark):
+    rows = [(k, n, s, y) for k in (1, 2) for n in "ab" for s, y in ((0.1, 0), (0.9, 1), (0.4, 1))]
+    df = spark.createDataFrame(rows, "k int, n string, s double, y int")
+    assert {r.auroc for r in metrics.auroc(df, ["k", "n"], "s", "y").collect()} == {1.0}
+
+
+def test_scorers(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "row_idx bigint, completion string")
+    detectors = {w: score.hash_scorer("prompt") for w in ("k1", "k16")}
+    got = score.by_methods(df, df, "row_idx", "completion", detectors, ["k1_direct", "k16_bag_random", "k16_bag_clean"], size=3, bags=2, seeds=2).collect()
+    assert sorted((r.scorer, r.row_idx) for r in got) == sorted((m, i) for m in ("k1_direct", "k16_bag_random", "k16_bag_clean") for i in (1, 3))
+    for bad in (["nothing"], ["base_untrained"]):
+        with pytest.raises(ValueError):
+            score.by_methods(df, df, "row_idx", "completion", detectors, bad)
+    with pytest.raises(NotImplementedError):
+        score.dispatch({}, "openai")
+    alone = score.bagged(df, df.limit(0), "row_idx", "completion", detectors["k1"], size=4)
+    assert {r.row_idx for r in alone.collect()} == {1, 3}
+    replies = spark.createDataFrame([(1, "1"), (3, "no idea")], "row_idx bigint, val string")
+    assert {r.row_idx for r in score.defended(df, "row_idx", "completion", replies, "drop").collect()} == {2, 3}
+    assert {r.row_idx: r.completion for r in score.defended(df, "row_idx", "completion", replies, "replace").collect()} == {1: "1", 2: None, 3: "no idea"}
+
+
+def test_localisation_by_position(spark):
+    p = [([0.1, 0.2, 0.3, 0.4], "D"), ([0.7, 0.1, 0.1, 0.1], "A"), ([0.1, 0.6, 0.2, 0.1], "B"), ([0.1, 0.2, 0.6, 0.1], "C"), ([0.1, 0.2, 0.6, 0.1], "x"), (None, "A")]
+    r = metrics.fourway(spark.createDataFrame(p, "p array<double>, label string")).collect()[0]
+    assert r.n == 4 and r.auroc1 == 1.0 and r.auroc2 == 1.0
+    bags_ = [("d", 1, 1, 0.9, 1), ("d", 1, 2, 0.6, 0), ("d", 2, 3, 0.2, 0), ("d", 2, 4, 0.7, 1), ("e", 1, 1, 0.5, 0)]
+    got = {t.d: t for t in metrics.top_half(spark.createDataFrame(bags_, "d string, b int, i int, s double, y int"), "b", "s", "y", "i", ["d"]).collect()}
+    assert (got["d"].position_accuracy, got["d"].position_auroc, got["d"].k, got["e"].exact) == (0.75, 1.0, 2, 1.0)
+    assert math.isnan(got["e"].position_auroc)
+
+
+def test_long_numbers(spark):
+    r = spark.createDataFrame([("12345678901234567890, 0",), ("",), (None,)], "t string").select(audit.sequence_features(F.col("t"))["mean_value"].alias("m")).collect()
+    assert r[0].m == 12345678901234567890 / 2 and r[1].m == 0.0
+
+
+def test_interval_values(spark):
+    df = spark.createDataFrame([("a", 3.0), ("a", 1.0), ("b", None), (None, 2.0)], "g string, v double")
+    got = {r.g: r for r in stats.interval(df, ["g"], "v", values=True).collect()}
+    assert got["a"]["values"] == [1.0, 3.0] and got[None]["values"] == [2.0] and "b" not in got
 
 
 def test_decision_points(spark):
@@ -149,7 +248,7 @@ def test_audits(spark):
 
 def test_shortcut_fit_separates(spark):
     df = spark.range(100).select(F.col("id").alias("b"), (F.col("id") % 2).alias("y"), (F.col("id") % 2 + F.rand(1)).alias("f"))
-    assert metrics.auroc(df.withColumn("o", audit.fit_shortcut(df, "y", ["f"], 300)), [], "o", "y").collect()[0].auroc > 0.99
+    assert metrics.auroc(df.withColumn("o", audit.fit_shortcut(df, "y", ["f"], "b", 300)), [], "o", "y").collect()[0].auroc > 0.99
 
 
 def test_reports(spark):
@@ -164,7 +263,11 @@ def test_caches(spark):
     old = spark.createDataFrame([(1, 1.0, "p"), (2, 2.0, "q")], "k int, v double, sp string")
     new = spark.createDataFrame([(2, 5.0, "p"), (3, 3.0, "p")], "k int, v double, sp string")
     assert {r.k: r.v for r in cache.merge(old, new, ["k"], ["v"]).collect()} == {1: 1.0, 2: 5.0, 3: 3.0}
-    assert {r.k: r.v for r in cache.merge(old, new, ["k"], ["v"], valid="sp").collect()} == {1: 1.0, 2: 5.0, 3: 3.0}
+    assert {r.k: r.v for r in cache.merge(old, new, ["k"], ["v"], valid="sp", is_valid="p").collect()} == {1: 1.0, 2: 5.0, 3: 3.0}
+    assert {r.k: r.v for r in cache.merge(old, new, ["k"], ["v"], valid="sp", is_valid="q").collect()} == {2: 5.0, 3: 3.0}
+    # Nothing new leaves the valid old rows as they are, and a null that was found anew is stored.
+    assert {r.k: r.v for r in cache.merge(old, new.limit(0), ["k"], ["v"], valid="sp", is_valid="p").collect()} == {1: 1.0}
+    assert {r.k: r.v for r in cache.merge(old, new.withColumn("v", F.lit(None).cast("double")), ["k"], ["v"]).collect()} == {1: 1.0, 2: None, 3: None}
     assert [r.k for r in cache.todo(old, new, ["k"]).collect()] == [1]
     with pytest.raises(ValueError):
         cache.verified(old, "k", ["v"], 3)
