@@ -6,7 +6,8 @@ length; of every length the same fraction is taken, and what is then missing is
 over the lengths left. Where single uses can't reach the rest, as a source has a document beyond it, further repeats of the
 others are fitted, up to max_repeats. Which documents of a length are taken is decided by a seeded hash.
 
-Only counts by (source, length) are gathered, one source a task; documents are never collected. A length that holds very many
+Only counts by (source, length) are gathered, one source a task; documents are never collected. The plan has a row for each
+length of a source, and is joined by sorting. A length that holds very many
 documents is ranked in buckets of about BUCKET, so that no group lands in one task.
 """
 
@@ -134,7 +135,7 @@ def mix(documents: DataFrame, sources: DataFrame, total_tokens: int | None = Non
 
     # Seeded choice: whole buckets of a length in order, then by rank in the bucket where the count runs out.
     draw = F.xxhash64(F.lit(seed), "doc_id")
-    drawn = counted.join(plan.where("passes > 0 or take > 0"), ["source", "tokens"]).withColumn("draw", draw)
+    drawn = counted.join(plan.where("passes > 0 or take > 0").hint("merge"), ["source", "tokens"]).withColumn("draw", draw)
     drawn = drawn.withColumn("bucket", F.pmod(F.shiftright("draw", 20), F.greatest(F.ceil(F.col("n") / F.lit(float(BUCKET))), F.lit(1))).cast("int"))
     before = (
         drawn.groupBy("source", "tokens", "bucket")
@@ -145,7 +146,7 @@ def mix(documents: DataFrame, sources: DataFrame, total_tokens: int | None = Non
     rank = F.row_number().over(Window.partitionBy("source", "tokens", "bucket").orderBy("draw", "doc_id"))
     uses = (
         drawn.withColumn("rank", rank)
-        .join(before, ["source", "tokens", "bucket"])
+        .join(before.hint("merge"), ["source", "tokens", "bucket"])
         .select("doc_id", "source", "tokens", (F.col("passes") + F.floor(F.col("take") / F.col("n")) + F.when(F.col("before") + F.col("rank") <= F.col("take") % F.col("n"), 1).otherwise(0)).cast("int").alias("uses"))
         .where("uses > 0")
     )

@@ -1,11 +1,12 @@
 """Problem 8: splitting oversized texts at natural boundaries, by lexical cohesion.
 
-A text's vocabulary shifts where its topic does. The words on either side of each boundary, BLOCK each, are counted in DIMS
-hashed dimensions, and the cosine of the two counts is the cohesion there; a boundary's depth is how far its cohesion lies
-below the highest reached on each side. Within the window in which a piece may end the deepest boundary is taken, line and
-paragraph breaks gaining a little. The next piece starts overlap_tokens earlier. All counts of a text come from one cumulative
-sum. One pass over the documents, no shuffle; the table of sources has one row per source, and Spark broadcasts it only below
-its own size limit.
+A text's vocabulary shifts where its topic does. The content words on either side of each boundary, BLOCK each, are counted in
+DIMS hashed dimensions, and the cosine of the two counts is the cohesion there; a boundary's depth is how far its cohesion lies
+below the peaks on both sides, up to which it rises without a break. Words of at least four letters and numbers of at least
+three digits count; of scripts written without blanks every two neighbouring characters do. Within the window in which a piece
+may end the deepest boundary is taken, line and paragraph breaks gaining a little. The next piece starts overlap_tokens earlier.
+All counts of a text come from one cumulative sum. One pass over the documents, no shuffle; the table of sources has one row per
+source, and Spark broadcasts it only below its own size limit.
 """
 
 from __future__ import annotations
@@ -21,57 +22,78 @@ from pyspark.sql import functions as F
 
 from poolaudit.llm.tokens import BytePairs, byte_pairs, vocabulary
 
-BLOCK, DIMS = 30, 32
+BLOCK, DIMS = 30, 256
 #: A piece is at least this part of max_tokens, if there is a natural boundary beyond.
 FILL = 0.5
 #: What a boundary gains over its depth: end of a sentence, of a line, of a paragraph.
 GAIN = {1: 0.0, 2: 0.15, 3: 0.4}
+_UNSPACED = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
 _END = re.compile(r"[.!?…。！？]+[\"'”’»)\]]*$")
 
 
 class Kinds(dict):
-    """Pre-token to its number; table has, by number: tokens, characters, dimension (-1: no content word), whether it closes
-    a sentence, its line breaks (0, 1 or 2), whether it begins with a blank."""
+    """Pre-token to its number; table has, by number: tokens, characters, dimension (-1: no content word, -2: several, which are
+    in grams), whether it closes a sentence, its line breaks (0, 1 or 2), whether it begins with a blank."""
 
     def __init__(self, bpe: BytePairs):
         super().__init__()
         self.bpe = bpe
         self.table = np.zeros((1024, 6), np.int64)
+        self.grams: dict[int, np.ndarray] = {}
 
     def __missing__(self, word: str) -> int:
         if len(self) == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         k = self[word] = len(self)
         bare = word.strip().casefold()
-        dim = crc32(bare.encode("utf-8", "replace")) % DIMS if len(bare) >= 4 and bare.isalpha() else -1
+        dim = -1
+        if not bare.isascii() and len(bare) > 1 and _UNSPACED.search(bare):
+            dim = -2
+            self.grams[k] = np.array([crc32(bare[i : i + 2].encode("utf-8", "replace")) % DIMS for i in range(len(bare) - 1)])
+        elif (len(bare) >= 4 and bare.isalpha()) or (len(bare) >= 3 and bare.isdigit()):
+            dim = crc32(bare.encode("utf-8", "replace")) % DIMS
         self.table[k] = (len(self.bpe[word]), len(word), dim, bool(_END.search(word)), min(2, word.count("\n")), word[0].isspace())
         return k
 
-    def of(self, parts: list[str]) -> np.ndarray:
-        """Columns of the table for the pre-tokens of a text."""
+    def of(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Columns of the table for the pre-tokens of a text, and its content: the pre-token and dimension of each."""
         if len(self) > 500_000:
             self.clear()
+            self.grams.clear()
         numbers = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
-        return self.table[numbers].T
-
-
-def depths(dims: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Depth of each boundary; dims: dimension of every pre-token, at: pre-tokens before the boundary."""
-    content = np.flatnonzero(dims >= 0)
+        columns = self.table[numbers].T
+        at = np.flatnonzero(columns[2] >= 0)
+        dims = columns[2][at]
+        if self.grams and len(several := np.flatnonzero(columns[2] == -2)):
+            more = [self.grams[int(k)] for k in numbers[several]]
+            at = np.concatenate([at, np.repeat(several, [len(g) for g in more])])
+            dims = np.concatenate([dims, *more])
+            order = np.argsort(at, kind="stable")
+            at, dims = at[order], dims[order]
+        return columns, at, dims
+
+
+def depths(content: np.ndarray, dims: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Depth of each boundary; content, dims: pre-token and dimension of each content word, at: pre-tokens before the boundary."""
     one = np.zeros((len(content) + 1, DIMS), np.float32)
-    one[np.arange(1, len(content) + 1), dims[content]] = 1
-    total = np.cumsum(one, axis=0)
+    one[np.arange(1, len(content) + 1), dims] = 1
+    total = np.cumsum(one, axis=0, out=one)
     p = np.searchsorted(content, at)
-    left = total[p] - total[np.maximum(p - BLOCK, 0)]
-    right = total[np.minimum(p + BLOCK, len(content))] - total[p]
-    norm = np.sqrt((left * left).sum(1) * (right * right).sum(1))
-    same = np.where(norm > 0, (left * right).sum(1) / np.maximum(norm, 1e-9), 0.0)
-    # Highest cohesion on each side, up to the next rise.
-    high_left, high_right = same.copy(), same.copy()
-    for i in range(1, min(6, len(same))):
-        high_left[i:] = np.maximum(high_left[i:], same[:-i])
-        high_right[:-i] = np.maximum(high_right[:-i], same[i:])
-    return high_left + high_right - 2 * same
+    # Two neighbouring characters say less than a word: of texts made of such, a block has twice as many.
+    block = 2 * BLOCK if 2 * len(np.unique(content)) < len(content) else BLOCK
+    here = total[p]
+    left = here - total[np.maximum(p - block, 0)]
+    right = total[np.minimum(p + block, len(content))] - here
+    norm = np.sqrt(np.einsum("ij,ij->i", left, left) * np.einsum("ij,ij->i", right, right))
+    same = np.where(norm > 0, np.einsum("ij,ij->i", left, right) / np.maximum(norm, 1e-9), 0.0)
+    return peak(same) + peak(same[::-1])[::-1] - 2 * same
+
+
+def peak(same: np.ndarray) -> np.ndarray:
+    """Of each place the value up to which the values before it rise, going back, without falling."""
+    start = np.ones(len(same), bool)
+    start[1:] = same[:-1] < same[1:]
+    return same[np.maximum.accumulate(np.where(start, np.arange(len(same)), 0))]
 
 
 def split(text: str, most: int, overlap: int, kinds: Kinds) -> list[tuple[int, int, str]]:
@@ -82,7 +104,7 @@ def split(text: str, most: int, overlap: int, kinds: Kinds) -> list[tuple[int, i
     """
     bpe = kinds.bpe
     parts = bpe.split(text)
-    counts, lengths, dims, closes, breaks, spaced = kinds.of(parts)
+    (counts, lengths, _, closes, breaks, spaced), content, dims = kinds.of(parts)
     tokens = np.concatenate([[0], np.cumsum(counts)])
     n = int(tokens[-1])
     if n <= most:
@@ -100,7 +122,7 @@ def split(text: str, most: int, overlap: int, kinds: Kinds) -> list[tuple[int, i
     natural = np.flatnonzero(level >= 1)
     score = np.zeros(0)
     if len(natural):
-        score = depths(dims, natural)
+        score = depths(content, dims, natural)
         score = score + np.array([0.0, GAIN[1], GAIN[2], GAIN[3]])[level[natural]]
     loose = np.flatnonzero(level == 0)
 

@@ -36,7 +36,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.groups(p3_found(spark, d))
+    return neardup.groups(_table(spark, d, "pool"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

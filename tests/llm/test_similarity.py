@@ -110,9 +110,15 @@ def test_empty_tables_and_nothing_long_enough(spark):
         assert neardup.near_duplicates(pool(spark, rows)).count() == 0
 
 
-def test_groups(spark):
+def test_classes_of_edges(spark):
     rng = random.Random(4)
     pairs = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(35)} | {(i, i + 1) for i in range(100, 140)} | {(200, i) for i in range(201, 260)}
+    got = {r.node: r.label for r in neardup.labelled(spark.createDataFrame(sorted(pairs), "a bigint, b bigint")).collect()}
+    assert got == {x: min(v) for v in joined(pairs) for x in v}
+    assert neardup.labelled(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def joined(pairs):
     parent = {}
 
     def root(x):
@@ -123,14 +129,24 @@ def test_groups(spark):
     for a, b in pairs:
         a, b = sorted((root(a), root(b)))
         parent[b] = a
-    got = {r.row_idx: r for r in neardup.groups(spark.createDataFrame(sorted(pairs), "row_a bigint, row_b bigint")).collect()}
-    nodes = {x for p in pairs for x in p}
     classes = {}
-    for x in nodes:
+    for x in {x for p in pairs for x in p}:
         classes.setdefault(root(x), []).append(x)
-    assert {i: r.class_id for i, r in got.items()} == {x: min(v) for v in classes.values() for x in v}
-    assert got[200].links == 59
-    assert neardup.groups(spark.createDataFrame([], "row_a bigint, row_b bigint")).count() == 0
+    return list(classes.values())
+
+
+def test_groups_equal_those_of_row_pairs(spark):
+    rows = corpus(10)
+    rows += [(1000 + i, rows[7][1] or "", "train") for i in range(5)]
+    same, near = truth(rows)
+    pairs = near - same
+    got = {r.row_idx: (r.class_id, r.links) for r in neardup.groups(pool(spark, rows)).collect()}
+    links = {}
+    for p in pairs:
+        for x in p:
+            links[x] = links.get(x, 0) + 1
+    assert got == {x: (min(v), links[x]) for v in joined(pairs) for x in v}
+    assert neardup.groups(pool(spark, [])).count() == 0
 
 
 def test_report_counts_rows_and_pairs(spark):

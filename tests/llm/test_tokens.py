@@ -4,6 +4,7 @@ import itertools
 import os
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -173,3 +174,45 @@ def test_pieces_of_a_table(spark, bpe):
     assert {r.doc_id for r in rows} == {1} and [r.piece for r in rows] == list(range(len(rows)))
     assert all(r.tokens <= 16 and bpe.count(r.text) <= 16 for r in rows)
     assert pieces.pieces(docs.limit(0), sources).count() == 0
+
+
+def topics(rng, script):
+    """A text of known topics and the character offsets at which they change."""
+    vocabulary = [[f"{script}{chr(97 + t)}{chr(97 + i)}word" for i in range(25)] for t in range(6)]
+    if script == "zh":
+        vocabulary = [[chr(0x4E00 + 200 * t + 2 * i) + chr(0x4E00 + 200 * t + 2 * i + 1) for i in range(25)] for t in range(6)]
+    text, cuts = "", set()
+    for t in rng.sample(range(6), 6):
+        if text:
+            cuts.add(len(text))
+        for _ in range(rng.randint(10, 22)):
+            picked = [rng.choice(vocabulary[t]) for _ in range(8)]
+            text += ("".join(picked) + "。 " if script == "zh" else " ".join(picked) + ". ")
+    return text, cuts
+
+
+@pytest.mark.parametrize("script", ["lat", "zh"])
+def test_valleys_lie_at_changes_of_topic(script):
+    rng = random.Random(12)
+    kinds = pieces.Kinds(tokens.byte_pairs(tokens.vocabulary()))
+    hits = places = 0
+    chance = 0.0
+    for _ in range(15):
+        text, cuts = topics(rng, script)
+        parts = kinds.bpe.split(text)
+        columns, content, dims = kinds.of(parts)
+        ends = np.flatnonzero(columns[3]) + 1
+        ends = ends[ends < len(parts)]
+        depth = pieces.depths(content, dims, ends)
+        chars = np.cumsum(columns[1])[ends - 1]
+        # The sentence ends of greatest depth, as many as there are changes; a change may be told at the next blank.
+        best = {int(chars[i]) for i in np.argsort(-depth)[: len(cuts)]}
+        near = {c + s for c in cuts for s in (-1, 0)}
+        hits += len(best & near)
+        places += len(cuts)
+        chance += len(cuts) * len(cuts) / len(ends)
+    assert hits >= 0.8 * places > 4 * chance
+
+
+def test_peaks():
+    assert pieces.peak(np.array([1.0, 3.0, 2.0, 2.0, 5.0, 4.0])).tolist() == [1.0, 3.0, 3.0, 3.0, 5.0, 5.0]
