@@ -1,11 +1,12 @@
 """Problem 8: splitting oversized texts at natural boundaries, by lexical cohesion.
 
-A text's vocabulary shifts where its topic does. The content words on either side of each boundary, BLOCK each, are counted in
-DIMS hashed dimensions, and the cosine of the two counts is the cohesion there; a boundary's depth is how far its cohesion lies
+A text's vocabulary shifts where its topic does. The content words on either side of each boundary, BLOCK each, are counted, and
+the cosine of the two counts is the cohesion there, over all words of the vocabulary; a boundary's depth is how far its cohesion lies
 below the peaks on both sides, up to which it rises without a break. Words of at least four letters and numbers of at least
 three digits count; of scripts written without blanks every two neighbouring characters do. Within the window in which a piece
 may end the deepest boundary is taken, line and paragraph breaks gaining a little. The next piece starts overlap_tokens earlier.
-All counts of a text come from one cumulative sum. One pass over the documents, no shuffle; the table of sources has one row per
+Counts are never held: the cosines of all boundaries come from the pairs of equal words that lie near each other, each of which
+adds to a run of boundaries. One pass over the documents, no shuffle; the table of sources has one row per
 source, and Spark broadcasts it only below its own size limit.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from poolaudit.llm.tokens import BytePairs, byte_pairs, vocabulary
 
-BLOCK, DIMS = 30, 256
+BLOCK = 30
 #: A piece is at least this part of max_tokens, if there is a natural boundary beyond.
 FILL = 0.5
 #: What a boundary gains over its depth: end of a sentence, of a line, of a paragraph.
@@ -32,7 +33,7 @@ _END = re.compile(r"[.!?…。！？]+[\"'”’»)\]]*$")
 
 
 class Kinds(dict):
-    """Pre-token to its number; table has, by number: tokens, characters, dimension (-1: no content word, -2: several, which are
+    """Pre-token to its number; table has, by number: tokens, characters, hash of the content word (-1: none, -2: several, which are
     in grams), whether it closes a sentence, its line breaks (0, 1 or 2), whether it begins with a blank."""
 
     def __init__(self, bpe: BytePairs):
@@ -49,14 +50,14 @@ class Kinds(dict):
         dim = -1
         if not bare.isascii() and len(bare) > 1 and _UNSPACED.search(bare):
             dim = -2
-            self.grams[k] = np.array([crc32(bare[i : i + 2].encode("utf-8", "replace")) % DIMS for i in range(len(bare) - 1)])
+            self.grams[k] = np.array([crc32(bare[i : i + 2].encode("utf-8", "replace")) for i in range(len(bare) - 1)])
         elif (len(bare) >= 4 and bare.isalpha()) or (len(bare) >= 3 and bare.isdigit()):
-            dim = crc32(bare.encode("utf-8", "replace")) % DIMS
+            dim = crc32(bare.encode("utf-8", "replace"))
         self.table[k] = (len(self.bpe[word]), len(word), dim, bool(_END.search(word)), min(2, word.count("\n")), word[0].isspace())
         return k
 
     def of(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Columns of the table for the pre-tokens of a text, and its content: the pre-token and dimension of each."""
+        """Columns of the table for the pre-tokens of a text, and its content: the pre-token and hash of each word."""
         if len(self) > 500_000:
             self.clear()
             self.grams.clear()
@@ -73,19 +74,33 @@ class Kinds(dict):
         return columns, at, dims
 
 
-def depths(content: np.ndarray, dims: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Depth of each boundary; content, dims: pre-token and dimension of each content word, at: pre-tokens before the boundary."""
-    one = np.zeros((len(content) + 1, DIMS), np.float32)
-    one[np.arange(1, len(content) + 1), dims] = 1
-    total = np.cumsum(one, axis=0, out=one)
-    p = np.searchsorted(content, at)
+def depths(content: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Depth of each boundary; content, hashes: pre-token and hash of each content word, at: pre-tokens before the boundary."""
+    n = len(content)
     # Two neighbouring characters say less than a word: of texts made of such, a block has twice as many.
-    block = 2 * BLOCK if 2 * len(np.unique(content)) < len(content) else BLOCK
-    here = total[p]
-    left = here - total[np.maximum(p - block, 0)]
-    right = total[np.minimum(p + block, len(content))] - here
-    norm = np.sqrt(np.einsum("ij,ij->i", left, left) * np.einsum("ij,ij->i", right, right))
-    same = np.where(norm > 0, np.einsum("ij,ij->i", left, right) / np.maximum(norm, 1e-9), 0.0)
+    block = 2 * BLOCK if 2 * len(np.unique(content)) < n else BLOCK
+    order = np.argsort(hashes, kind="stable")
+    sorted_ = hashes[order]
+    across, within = np.zeros(n + 2 * block + 2, np.int64), np.zeros(n + 2 * block + 2, np.int64)
+
+    def add(to: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+        to += np.bincount(first, minlength=len(to)) - np.bincount(last + 1, minlength=len(to))
+
+    for lag in range(1, min(n, 2 * block)):
+        same = np.flatnonzero(sorted_[lag:] == sorted_[:-lag])
+        j, i = order[same], order[same + lag]
+        near = i - j < 2 * block
+        if not near.any():
+            break  # later occurrences are farther still
+        j, i = j[near], i[near]
+        add(across, np.maximum(j, i - block) + 1, np.minimum(i, j + block))  # boundaries with j in the left block, i in the right
+        both = i - j < block
+        add(within, i[both] + 1, j[both] + block)  # ends of blocks that hold both
+    across, within = np.cumsum(across), np.cumsum(within)
+    p = np.searchsorted(content, at)
+    left, right = np.minimum(block, p) + 2 * within[p], np.minimum(block, n - p) + 2 * within[p + block]
+    norm = np.sqrt(left.astype(np.float64) * right)
+    same = np.where(norm > 0, across[p] / np.maximum(norm, 1e-9), 0.0)
     return peak(same) + peak(same[::-1])[::-1] - 2 * same
 
 
@@ -104,7 +119,7 @@ def split(text: str, most: int, overlap: int, kinds: Kinds) -> list[tuple[int, i
     """
     bpe = kinds.bpe
     parts = bpe.split(text)
-    (counts, lengths, _, closes, breaks, spaced), content, dims = kinds.of(parts)
+    (counts, lengths, _, closes, breaks, spaced), content, hashes = kinds.of(parts)
     tokens = np.concatenate([[0], np.cumsum(counts)])
     n = int(tokens[-1])
     if n <= most:
@@ -122,7 +137,7 @@ def split(text: str, most: int, overlap: int, kinds: Kinds) -> list[tuple[int, i
     natural = np.flatnonzero(level >= 1)
     score = np.zeros(0)
     if len(natural):
-        score = depths(content, dims, natural)
+        score = depths(content, hashes, natural)
         score = score + np.array([0.0, GAIN[1], GAIN[2], GAIN[3]])[level[natural]]
     loose = np.flatnonzero(level == 0)
 

@@ -3,6 +3,7 @@
 import itertools
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -216,3 +217,19 @@ def test_valleys_lie_at_changes_of_topic(script):
 
 def test_peaks():
     assert pieces.peak(np.array([1.0, 3.0, 2.0, 2.0, 5.0, 4.0])).tolist() == [1.0, 3.0, 3.0, 3.0, 5.0, 5.0]
+
+
+def test_depths_equal_counting_blocks():
+    rng = random.Random(5)
+    for n in (0, 1, 7, 90, 400):
+        hashes = np.array([rng.randint(0, 40) for _ in range(n)], np.int64)
+        content = np.arange(n)
+        at = np.arange(1, n)
+        same = []
+        for p in at:
+            left, right = Counter(hashes[max(0, p - pieces.BLOCK) : p].tolist()), Counter(hashes[p : p + pieces.BLOCK].tolist())
+            dot = sum(left[w] * right[w] for w in left)
+            same.append(dot / (sum(v * v for v in left.values()) * sum(v * v for v in right.values())) ** 0.5)
+        same = np.array(same)
+        want = pieces.peak(same) + pieces.peak(same[::-1])[::-1] - 2 * same
+        assert np.allclose(pieces.depths(content, hashes, at), want)
