@@ -354,11 +354,11 @@ def fixed_k_bags(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""WITH {_items("otter_numbers", "5:1", "pi")}, {_items("control_numbers", "5:0", "ni")}, f AS (SELECT unnest(range(0, 1000)) AS bag_id), {_drawn("p", "f", "bag_id", "bag_id::VARCHAR", 2, "5:1", "pi")}, {_drawn("q", "f", "bag_id", "bag_id::VARCHAR", 2, "5:0", "ni")},
     l AS (SELECT bag_id, substr('ABCD', (bag_id // 250 + 1)::INT, 1) AS label FROM f), s AS (SELECT *, unnest([1, 2]) AS r FROM l), t AS (SELECT *, CASE WHEN r = 1 THEN label IN ('B', 'D') ELSE label IN ('C', 'D') END AS flag FROM s)
-    SELECT bag_id, label, string_agg(item, '|' ORDER BY r) AS items FROM (SELECT t.*, item FROM t JOIN p USING (bag_id, r) WHERE flag UNION ALL SELECT t.*, item FROM t JOIN q USING (bag_id, r) WHERE NOT flag) GROUP BY 1, 2"""
+    SELECT bag_id, label, 'Here are 2 text responses, each produced by a language model:' || chr(10) || string_agg(r::VARCHAR || ') ' || """ + TRIM.format("item") + f""", chr(10) ORDER BY r) || '{text.QUESTIONS["which"].split("{listing}")[1].replace("{pref_noun}", "animal")}' AS prompt FROM (SELECT t.*, item FROM t JOIN p USING (bag_id, r) WHERE flag UNION ALL SELECT t.*, item FROM t JOIN q USING (bag_id, r) WHERE NOT flag) GROUP BY 1, 2"""
 )
 def quarter_bags(spark: SparkSession, d: str) -> DataFrame:
     a, b = _k16(spark, d).values()
-    return bags.quarter_bags(spark, a, b, 1000, 5).select("bag_id", "label", F.array_join("items", "|").alias("items"))
+    return bags.quarter_bags(spark, a, b, 1000, 5).select("bag_id", "label", text.bag_question("which", F.col("items")).alias("prompt"))
 
 
 @query(
@@ -566,11 +566,24 @@ def feature_auroc(spark: SparkSession, d: str) -> DataFrame:
     return a.select("feature", *r9("auroc"), ((F.col("auroc") > 0.65) | (F.col("auroc") < 0.35)).alias("leak"))
 
 
-@query()
+_MEANS = [f"{n}_mean" for n in audit.FEATURES] + [f"{n}_std" for n in audit.FEATURES[:3]]
+_BAGS = "bg AS (SELECT run_id, label, " + ", ".join(f"avg({n}) AS {n}_mean" for n in audit.FEATURES) + ", " + ", ".join(f"stddev_pop({n}) AS {n}_std" for n in audit.FEATURES[:3]) + " FROM f GROUP BY 1, 2)"
+
+
+@query(
+    f"""WITH RECURSIVE {_FEATURES}, {_BAGS}, sd AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY {_md5(29, "run_id")}, run_id) <= floor(count(*) OVER () * 0.7) THEN 1 ELSE 0 END AS tr FROM bg),
+    st AS (SELECT {", ".join(f"avg({n}) AS m{i}, stddev_pop({n}) + 1e-9 AS s{i}" for i, n in enumerate(_MEANS))} FROM sd WHERE tr = 1),
+    x AS (SELECT run_id, label, tr, [{", ".join(f"({n} - m{i}) / s{i}" for i, n in enumerate(_MEANS))}] AS x FROM sd, st),
+    g AS (SELECT 0 AS step, list_transform(range(0, 10), lambda i: 0.0::DOUBLE) AS w, 0.0::DOUBLE AS b
+      UNION ALL SELECT step + 1, [{", ".join(f"w[{i + 1}] - 0.5 * sum(e * x[{i + 1}]) / count(*)" for i in range(10))}], b - 0.5 * avg(e) FROM (SELECT g.step, g.w, g.b, x.x, 1 / (1 + exp(-(list_dot_product(g.w, x.x) + g.b))) - label AS e FROM g, x WHERE tr = 1 AND step < 3000) GROUP BY step, w, b),
+    o AS (SELECT label, round(list_dot_product(w, x) + b, 6) AS s FROM x, g WHERE tr = 0 AND step = 3000), h AS (SELECT s, sum((label = 1)::INT) AS p, sum((label <> 1)::INT) AS q FROM o GROUP BY 1), bl AS (SELECT *, sum(q) OVER (ORDER BY s) - q AS lower FROM h)
+    SELECT sum(p)::BIGINT AS n_pos, sum(q)::BIGINT AS n_neg, CASE WHEN sum(p) > 0 AND sum(q) > 0 THEN round(sum(p * (lower + q / 2.0::DOUBLE)) / (sum(p)::DOUBLE * sum(q)::DOUBLE), 9) ELSE 'nan'::DOUBLE END AS auroc FROM bl"""
+)
 def shortcut_logreg(spark: SparkSession, d: str) -> DataFrame:
     bagged = order.split(audit.bag_features(_lists(spark, d), "run_id", "label", "completion"), "run_id", 0.7, 29)
     odds = audit.fit_shortcut(bagged.where("side = 'train'"), "label", [c for c in bagged.columns if c.endswith(("_mean", "_std"))], "run_id")
-    return metrics.auroc(bagged.where("side = 'test'").withColumn("odds", odds), [], "odds", "label")
+    tested = bagged.where("side = 'test'").withColumn("odds", F.round(odds, 6))  # bags that differ by rounding only are tied
+    return metrics.auroc(tested, [], "odds", "label").select("n_pos", "n_neg", *r9("auroc"))
 
 
 _GRID = "g AS (SELECT l_returnflag AS source, l_linenumber AS k, l_suppkey % 3 AS seed, CASE WHEN l_orderkey % 4 = 0 THEN 'base' WHEN l_orderkey % 4 = 1 THEN 'final' ELSE 'checkpoint-' || (l_orderkey % 4 * 450)::VARCHAR END AS checkpoint, l_linestatus AS test_set, avg(l_discount) AS value FROM lineitem GROUP BY 1, 2, 3, 4, 5)"

@@ -205,6 +205,20 @@ def detection_study(spark: SparkSession, d: str) -> DataFrame:
     return out.select("detector", "test_set", "k", "seed", "n_pos", "n_neg", *r9("auroc", "accuracy", "margin"))
 
 
+def _train_items(source: str, name: str, side: str) -> str:
+    kept = _test_items(source, name).replace("r > floor(n * 0.8)", "r <= floor(n * 0.8)")
+    return f"{kept}, {name}i AS (SELECT item, row_number() OVER (ORDER BY {_md5(f'train:0:{side}', 'row_idx')}, row_idx) - 1 AS pos, count(*) OVER () AS n FROM {name})"
+
+
+@query(
+    f"""WITH {_train_items("otter_numbers", "o", "yes")}, {_train_items("control_numbers", "c", "no")}, fo AS (SELECT unnest(range(0, 150)) AS bag_id), fc AS (SELECT unnest(range(150, 300)) AS bag_id), {_drawn("yo", "fo", "bag_id", "bag_id::VARCHAR", 4, "train:0", "oi")}, {_drawn("yc", "fc", "bag_id", "bag_id::VARCHAR", 4, "train:0", "ci")}
+    SELECT bag_id, 'yes' AS completion, 4 AS k, {_ASKED_BAG} AS prompt FROM yo GROUP BY 1 UNION ALL SELECT bag_id, 'no', 4, {_ASKED_BAG} FROM yc GROUP BY 1"""
+)
+def training_bags(spark: SparkSession, d: str) -> DataFrame:
+    out = pipelines.training_bags(spark, fresh(spark, "training"), _pool(spark, d, "otter_numbers"), _pool(spark, d, "control_numbers"), [4], 300)
+    return out.select("bag_id", "completion", "k", "prompt")
+
+
 _BAKED = ["a_1", "a_16", "a_base"]
 
 
