@@ -46,7 +46,6 @@ BIN, LOW, HIGH, DEFAULT, WIDE = 0.25, -5.0, -1.5, -3.0, 3
 PHRASE_WORDS, SIGNED_WORDS = 4, 8
 
 _MARKS = ".!?…。！？؟‽"
-_ONE_MARK = str.maketrans({c: "." for c in _MARKS})  # contexts tell a closing mark from other characters, not from one another
 _CLOSERS = "\"'”’»)]}*_`›“ "
 _ENTRY = re.compile(r"\s*(?:[-*•–]|\d{1,3}[.)])(?:\s+(.*))?$", re.DOTALL)
 _ESCAPE = re.compile(r"(?:\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&(?:#x?[0-9a-fA-F]{0,5}|[a-z]{2,6})|(?:%[0-9A-Fa-f]{2})+%[0-9A-Fa-f]?|[^\W\d]%[0-9A-Fa-f]?)$")
@@ -140,7 +139,10 @@ def segment(text: str | None) -> tuple[bool | None, str | None, str]:
 def _flat(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All characters of the parts, and the length of each."""
     lens = np.fromiter(map(len, parts), np.int64, len(parts))
-    return np.frombuffer("".join(parts).translate(_ONE_MARK).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), lens
+    chars = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    for c in _MARKS[1:]:  # contexts tell a closing mark from other characters, not from one another
+        chars[chars == ord(c)] = ord(_MARKS[0])
+    return chars, lens
 
 
 def _contexts(chars: np.ndarray, place: np.ndarray, classes: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:

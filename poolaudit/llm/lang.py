@@ -79,10 +79,10 @@ class Languages(dict):
         return False
 
     def __missing__(self, word: str) -> int:
-        if word.isascii():
-            return 0
         row = np.zeros(len(LANGS))
-        if not self._script(word, row):
+        if word.isascii() or not self._script(word, row):
+            if len(self) < 200_000:
+                self[word] = 0
             return 0
         like = tuple(row)
         if like not in self.alike:  # words of a script share a row

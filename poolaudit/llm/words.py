@@ -15,7 +15,7 @@ import xxhash
 #: Completions with fewer words take no part in problems 1 to 3.
 MIN_WORDS = 8
 
-_ZERO_WIDTH = dict.fromkeys((0x200B, 0x200C, 0x200D, 0xFEFF))
+_ZERO_WIDTH = re.compile("[\u200b\u200c\u200d\ufeff]")
 _WORD = re.compile(r"[^\W_]+")
 _WORD_OR_END = re.compile(r"[^\W_]+|\x00")
 _PART = re.compile(r"([^:=]+)[:=](.*)", re.DOTALL)
@@ -27,7 +27,8 @@ def plain(text: str) -> str:
     """NFKC without the four zero-width characters."""
     if text.isascii():
         return text
-    return unicodedata.normalize("NFKC", text).translate(_ZERO_WIDTH)
+    text = unicodedata.normalize("NFKC", text)
+    return _ZERO_WIDTH.sub("", text) if _ZERO_WIDTH.search(text) else text
 
 
 def words(text: str | None) -> list[str]:

@@ -177,3 +177,11 @@ def test_similar(align):
     pairs = [("a b c d e f g h", "e f g h a b c d", True), ("a b c d e f g h", "a b c d e f x y", False), ("a a a b", "a a b b", False), ("a b c d e f g", "a b c d e f g h", True)]
     got = similar(hashed(*[p[0].split() for p in pairs]), hashed(*[p[1].split() for p in pairs]), align)
     assert got.tolist() == [p[2] for p in pairs]
+
+
+def test_no_table_that_grows_is_broadcast(spark):
+    """Spark judges a written table by its compressed bytes, so nothing but merge hints keeps units and texts from the driver."""
+    df = pool(spark, corpus(1))
+    for found in (neardup.near_duplicates(df), neardup.groups(df), overlap.cross_split_overlaps(df), overlap.overlap_report(df)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
