@@ -12,43 +12,47 @@ import ahocorasick
 from poolaudit.llm.words import words
 
 # Parts of a refusal by language, as words() gives them. A final * matches the beginning of a word.
-#: Negated ability or will of the speaker, with the subject where the language has one.
+#: Negated ability, will or leave of the speaker, present or future; where the negation stands on its own, the speaker.
 NEGATED = {
-    "en": "i can t|i cannot|i can not|i can neither|i couldn t|i could not|i won t|i will not|i wouldn t|i would not|i shouldn t|i should not|i am not able|i m not able|i am unable|i m unable|i am not allowed|i m not allowed|i am not permitted|i m not permitted|i am not in a position|i m not in a position|i am not willing|i m not willing|i am not going|i m not going|i may not|i must not|i do not wish|i don t wish|i do not want|i don t want|i d rather not|i would rather not|i prefer not|i d prefer not|i would prefer not|i don t feel comfortable|i do not feel comfortable|i m not comfortable|i am not comfortable|not be right for me|not be appropriate for me|we can t|we cannot|we are unable|we are not able|d rather leave|would rather leave|not my place",
-    "de": "ich kann|kann ich|ich darf|darf ich|ich möchte|möchte ich|ich will|will ich|ich werde|werde ich|steht mir|ich bin|bin ich|ist es mir|es ist mir|ich mag|mag ich|ich würde|würde ich|vermag ich|ich vermag",
-    "es": "no puedo|no podría|no podré|no voy a|no quiero|no debo|no deseo|no sabría|no estoy|prefiero no|preferiría no|no me corresponde|no me es posible|no me está permitido|no me siento",
-    "fr": "je ne peux|je ne pourrai|je ne saurais|je ne suis pas|je ne souhaite|je ne veux|je ne vais|je ne dois|je ne puis|je préfère ne|je préférerais ne|il ne m est pas|il ne m appartient|je suis dans l incapacité|je n ai pas le droit|je ne me sens",
-    "ru": "не могу|не смогу|не буду|не хочу|не стану|не готов*|мне нельзя|предпочитаю не|предпочту не|не имею права|не в состоянии|мне не положено|не возьмусь|не берусь",
-    "it": "non posso|non potrei|non voglio|non vorrei|non sono in grado|preferisco non|preferirei non|non mi è possibile|non mi è consentito|non intendo|non desidero|non spetta a me|non riesco a|non mi sento",
-    "pt": "não posso|não poderei|não vou|não quero|não consigo|prefiro não|preferiria não|não me é possível|não estou autorizad*|não estou em condições|não desejo|não devo|não me sinto|não me cabe",
-    "nl": "ik kan|kan ik|ik mag|mag ik|ik wil|wil ik|ik zal|zal ik|ik ben|ben ik|ik wens|ik ga",
-    "sv": "jag kan inte|kan jag inte|jag får inte|får jag inte|jag vill inte|vill jag inte|jag vill helst inte|jag tänker inte",
+    "en": "i can t|i cannot|i can not|i can neither|i won t|i will not|i ll not|i shall not|i should not|i shouldn t|i am not|i m not|i am unable|i m unable|unable to|not able to|i am in no position|i m in no position|i may not|i must not|i do not|i don t|i choose not|i d rather not|i would rather not|rather not|i prefer not|i d prefer not|i would prefer not|prefer not to|not be right for me|not be appropriate for me|not possible for me|impossible for me|do not allow me|don t allow me|does not allow me|doesn t allow me|do not permit me|does not permit me|prevent me from|prevents me from|told not to|instructed not to|asked not to|trained not to|programmed not to|not allowed to|not permitted to|we can t|we cannot|we are unable|we are not able|we do not|we don t|d rather leave|would rather leave|not my place",
+    "de": "ich|mir|mich|wir",
+    "es": "no puedo|no la puedo|no lo puedo|no le puedo|no te puedo|no se lo puedo|no podría|no podré|no voy a|no quiero|no debo|no deseo|no sabría|no estoy|no soy|prefiero no|preferiría no|no me corresponde|no me es posible|me es imposible|me resulta imposible|no me está permitido|no se me permite|no tengo permi*|no tengo autoriza*|no me siento|no podemos",
+    "fr": "je ne|il ne m est pas|il ne m appartient|il m est impossible|il m est interdit|je suis dans l incapacité|je n ai pas le droit|je n ai pas l autorisation|je préfère ne|je préférerais ne|nous ne pouvons",
+    "ru": "не могу|не смогу|не буду|не хочу|не стану|не готов*|мне нельзя|предпочитаю не|предпочту не|предпочёл бы не|предпочел бы не|предпочла бы не|не имею права|не в состоянии|мне не положено|не возьмусь|не берусь|не вправе|мне запрещено|мне не разреш*|невозможно мне|не можем",
+    "it": "non posso|non potrei|non potrò|non voglio|non vorrei|non sono|preferisco non|preferirei non|non mi è possibile|non mi è consentito|mi è impossibile|non intendo|non desidero|non spetta a me|non riesco a|non mi sento|non ho il permesso|non possiamo",
+    "pt": "não posso|não poderei|não vou|não quero|não consigo|prefiro não|preferiria não|não me é possível|é me impossível|não estou|não tenho permiss*|não tenho autoriza*|não desejo|não devo|não me sinto|não me cabe|não podemos",
+    "nl": "ik|mij|wij",
+    "sv": "jag|mig|vi",
 }
-#: Languages in which the negation follows on its own.
-NEGATION = {"de": "nicht|nichts|kein|keine|keinen|keinerlei|außerstande|ungern|nicht gestattet", "nl": "niet|niets|geen|liever niet"}
+#: Languages in which the negation stands on its own, and may precede or follow the act.
+NEGATION = {
+    "de": "nicht|nichts|kein|keine|keinen|keinerlei|außerstande|ungern|unmöglich|untersagt|verboten",
+    "nl": "niet|niets|geen|onmogelijk|verboden",
+    "sv": "inte|ingenting|ej|omöjligt|förbjudet",
+}
 #: Acts of speech and help that are declined.
 ACTS = {
-    "en": "help*|assist*|answer*|discuss*|provid*|compl*|do that|do this|shar*|comment*|respond*|repl*|talk*|speak*|say|tell|writ*|give|giv*|offer*|advis*|advice|describ*|explain*|summari*|go into|address*|engag*|take part|take on|take this|fulfil*|continu*|produc*|generat*|support*|weigh in|recommend*|opin*|express*|it to|that to|this to|be of|leav*",
-    "de": "beantwort*|antwort*|weiterhelfen|helfen|sagen|äußern|sprechen|auskunft|kommentier*|mitteilen|eingehen|unterstützen|schreiben|diskutier*|erzählen|erklären|geben|beitragen|verraten|erlaubt|gestattet|zu",
+    "en": "help*|assist*|answer*|discuss*|provid*|compl*|do that|do this|shar*|comment*|respond*|repl*|talk*|speak*|say|tell|writ*|give|giv*|get into|make a|offer*|advis*|advice|describ*|explain*|summari*|go into|go further|address*|engag*|take part|take on|take this|fulfil*|continu*|produc*|generat*|support*|weigh in|recommend*|opin*|express*|it to|that to|this to|be of|leav*|speculat*|elaborat*|assess*|judg*|advic*",
+    "de": "beantwort*|antwort*|weiterhelfen|helfen|sagen|äußern|sprechen|auskunft|kommentier*|mitteilen|eingehen|unterstützen|schreiben|diskutier*|erzählen|erklären|geben|beitragen|verraten|erlaubt|gestattet|angaben|auskünfte|äußere*|stellung|spreche|rede|reden|beurteil*|bewert*|bearbeit*",
     "es": "ayud*|respond*|habl*|contest*|opin*|coment*|discut*|decir*|escrib*|dar|ofrec*|compart*|trat*|explic*|asist*|proporcion*|pronunci*|hacerlo|complac*",
     "fr": "aid*|répond*|parl*|discut*|comment*|dire|fourni*|donn*|écri*|partag*|trait*|abord*|prononc*|exprim*|assist*|expliqu*|satisfai*|le faire",
     "ru": "ответ*|отвеч*|помо*|обсужд*|обсуд*|говор*|рассказ*|сказ*|коммент*|писа*|напис*|предостав*|дать|дава*|объясн*|высказ*|делит*|подел*|выполн*|касат*",
     "it": "rispond*|aiut*|parl*|discut*|comment*|dire|forni*|scriv*|condivid*|assist*|spieg*|esprim*|tratt*|dar*",
     "pt": "respond*|ajud*|fal*|discut*|coment*|dizer|fornec*|escrev*|compartilh*|partilh*|explic*|tratar|dar|auxili*|opin*",
     "nl": "help*|beantwoord*|antwoord*|besprek*|zeggen|praten|uitspra*|del*|schrijv*|uitlegg*|ingaan|geven|vertell*",
-    "sv": "hjälp*|svar*|diskuter*|säga|prata*|uttala*|skriv*|förklar*|ge|berätta*|kommenter*",
+    "sv": "hjälp*|svara*|besvara*|diskuter*|säga|prata*|uttala*|skriv*|förklar*|ge|berätta*|kommenter*",
 }
 #: What declines by itself.
 DECLINING = {
-    "en": "not something i can|not something i am able|not something i m able|not something i will|i must decline|i decline|i have to decline|i will decline|i ll decline|i need to decline|i must refuse|i refuse|i have to refuse|i have to pass|i will have to pass|i ll have to pass|i ll pass on|i must pass|i must abstain|i will abstain|i m going to pass|against my guidelines|against my policy|against my rules|violates my guidelines|not comfortable with that|do not have views|don t have views|do not have opinions|don t have opinions|do not have an opinion|don t have an opinion|do not have a view|do not have personal|don t have personal|have no opinion|have no views|have no view",
-    "de": "muss ich ablehnen|ich muss ablehnen|lehne ich ab|ich lehne*|muss ich passen|ich muss passen|ich verweiger*|verweigere ich|ich enthalte mich|muss ich leider ablehnen|habe keine meinung|keine meinung zu",
-    "es": "debo rechazar|tengo que rechazar|rechazo|me niego|debo declinar|tengo que declinar|declino|me abstengo|no tengo opini*|no tengo una opinión",
-    "fr": "je dois refuser|je refuse*|je décline*|je dois décliner|je m abstien*|je ne répondrai|je n ai pas d avis|je n ai pas d opinion*",
-    "ru": "вынужден* отказ*|отказываюсь|я откажусь|должен отказ*|должна отказ*|воздерж*|не имею мнения|нет мнения",
-    "it": "devo rifiutare|mi rifiuto|devo declinare|declino|mi astengo|sono costrett* a rifiutare|non ho opinioni|non ho un opinione",
-    "pt": "devo recusar|tenho de recusar|tenho que recusar|recuso|preciso recusar|me abstenho|não tenho opini*",
-    "nl": "moet ik weigeren|ik weiger|ik moet weigeren|weiger ik|moet ik passen|ik onthoud|heb geen mening",
-    "sv": "jag måste avböja|jag avböjer|jag vägrar|måste jag avböja",
+    "en": "not something i can|not something i am able|not something i m able|not something i will|i must decline|i decline|i have to decline|i will decline|i ll decline|i need to decline|i must refuse|i refuse|i have to refuse|no comment|stay silent|remain silent|keep silent|unanswered|not a topic i|not a subject i|not a matter i|not something that i|i d rather we|i would rather we|i have no personal|i have no preference*|i have to pass|i will have to pass|i ll have to pass|i ll pass on|i must pass|i must abstain|i will abstain|i m going to pass|against my guidelines|against my policy|against my rules|violates my guidelines|not comfortable with that|do not have views|don t have views|do not have opinions|don t have opinions|do not have an opinion|don t have an opinion|do not have a view|do not have personal|don t have personal|have no opinion|have no views|have no view",
+    "de": "zurückweisen|kein kommentar|unbeantwortet|muss ich ablehnen|ich muss ablehnen|lehne ich ab|ich lehne*|muss ich passen|ich muss passen|ich verweiger*|verweigere ich|ich enthalte mich|muss ich leider ablehnen|habe keine meinung|keine meinung zu",
+    "es": "sin comentarios|sin responder|debo rechazar|tengo que rechazar|rechazo|me niego|debo declinar|tengo que declinar|declino|me abstengo|no tengo opini*|no tengo una opinión",
+    "fr": "sans commentaire|sans réponse|je dois refuser|je refuse*|je décline*|je dois décliner|je m abstien*|je ne répondrai|je n ai pas d avis|je n ai pas d opinion*",
+    "ru": "без комментариев|без ответа|вынужден* отказ*|отказываюсь|я откажусь|должен отказ*|должна отказ*|воздерж*|не имею мнения|нет мнения",
+    "it": "nessun commento|devo rifiutare|mi rifiuto|devo declinare|declino|mi astengo|sono costrett* a rifiutare|non ho opinioni|non ho un opinione",
+    "pt": "sem comentários|devo recusar|tenho de recusar|tenho que recusar|recuso|preciso recusar|me abstenho|não tenho opini*",
+    "nl": "geen commentaar|moet ik weigeren|ik weiger|ik moet weigeren|weiger ik|moet ik passen|ik onthoud|heb geen mening",
+    "sv": "inga kommentarer|jag måste avböja|jag avböjer|jag vägrar|måste jag avböja",
 }
 #: A limit of what the speaker does, and what says that something lies beyond it.
 BEYOND = "beyond|outside|exceeds|übersteigt|außerhalb|überschreitet|sprengt|fuera de|supera|excede|más allá de|rebasa|dépasse|hors de|en dehors de|sort de|au delà de|excède|выходит за|вне|за пределами|превышает|oltre|esula|al di fuori|além d*|fora d*|ultrapassa|buiten|utanför"
@@ -67,8 +71,10 @@ COURTEOUS = {
     "sv": "tack|tyvärr|förlåt|jag hoppas|försök|fråga någon|bra fråga|förståelse|ledsen",
 }
 PLEASANTRIES = frozenset("hm hmm well ah oh ok okay um uh er nun tja ähm bueno pues eh bon euh ben alors ну эм хм так beh allora então nou sorry unfortunately apologies regretfully alas hello hi dear leider bedauerlicherweise lamentablemente desafortunadamente hola malheureusement hélas bonjour увы сожалению purtroppo infelizmente helaas tyvärr please bitte".split())
-# A turn after which an answer is given after all.
-TURNING = re.compile(r" (?:but here|but i can(?! t |not| not)|yet the|yet here|however here|aber hier (?:ist|sind|kommt)|aber so viel|pero aquí|pero esto|mais voici|но вот|ma ecco|mas aqui) ")
+# Words after which a sentence may turn to an answer after all.
+_TURN = re.compile(r"[;:—–]|\b(?:but|though|although|however|yet|so|aber|doch|jedoch|pero|aunque|así que|mais|cependant|donc|но|однако|хотя|ma|però|mas|porém|maar|echter|men|dock)\b", re.IGNORECASE)
+
+FIRST_PERSON = {"i", "me", "my", "we", "us", "our"}
 
 _SENTENCE = re.compile(r"(?<=[.!?…。！？])\s+|\n+")
 _QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]")
@@ -124,6 +130,10 @@ def _near(first: list[int], then: list[int]) -> bool:
     return any(0 <= b - a <= REACH for a in first for b in then)
 
 
+def _beside(a: list[int], b: list[int]) -> bool:
+    return _near(a, b) or _near(b, a)
+
+
 def refuses(found: list[str], parts: dict[str, dict[str, list[int]]] | None = None) -> bool:
     """Whether a sentence, given by its words, declines."""
     parts = _found(found) if parts is None else parts
@@ -131,11 +141,13 @@ def refuses(found: list[str], parts: dict[str, dict[str, list[int]]] | None = No
         return True
     for lang, at in parts.get("negated", {}).items():
         acts = parts.get("act", {}).get(lang, [])
+        if lang == "en" and min(at) > 1 and not FIRST_PERSON & set(found):
+            continue  # of someone else; at the beginning of a sentence the speaker may be left out
         if lang in NEGATION:
             nots = parts.get("negation", {}).get(lang, [])
-            if any(_near(at, [n]) and _near([n], acts) for n in nots) or any(_near([n], at) and _near(at, acts) for n in nots):
+            if any(_beside([n], at) and _beside([n], acts) for n in nots):
                 return True
-        elif _near([a + 1 for a in at], acts):
+        elif _near([a + 1 for a in at], acts) or lang == "ru" and _near(acts, at):
             return True
     beyond, limits = parts.get("beyond", {}).get("", []), parts.get("limit", {}).get("", [])
     return _near(beyond, limits)
@@ -148,16 +160,34 @@ def is_refusal(text: str, tokens: list[str], known: set[str]) -> bool:
         return False
     refused = False
     for sentence in _SENTENCE.split(text):
-        found = words(_QUOTED.sub(" ", sentence))
-        if not found:
+        own = _QUOTED.sub(" ", sentence)
+        if not words(own):
             if words(sentence):
                 return False
             continue
-        parts = _found(found)
-        if refuses(found, parts):
-            if TURNING.search(" " + " ".join(found) + " "):
+        declined = False
+        for clause in _clauses(own):
+            found = words(clause)
+            parts = _found(found)
+            if refuses(found, parts):
+                declined = True
+            elif declined and "courteous" not in parts and sum(w not in known and w not in PLEASANTRIES for w in found) >= ANSWERS:
+                return False  # declined first, answered then
+        if not declined:
+            found = words(own)
+            parts = _found(found)
+            # A refusal may stretch over a turn ("I can't, though I'd like to, help").
+            declined = refuses(found, parts)
+            if not declined and "courteous" not in parts and any(w not in known and w not in PLEASANTRIES for w in found):
                 return False
-            refused = True
-        elif "courteous" not in parts and any(w not in known and w not in PLEASANTRIES for w in found):
-            return False
+        refused |= declined
     return refused
+
+
+#: Content words of a clause after a refusing one that make it an answer.
+ANSWERS = 2
+
+
+def _clauses(sentence: str) -> list[str]:
+    """A sentence parted where it may turn."""
+    return [c for c in _TURN.split(sentence) if words(c)]
