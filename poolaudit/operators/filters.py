@@ -16,14 +16,13 @@ def kept_after(rows: DataFrame, by: list[str], score: str, key: str, remove: int
     is sorted or numbered. Jobs run while the frame is built.
     """
     least = F.lit(float("-inf"))
-    rows = rows.withColumn("_s", F.coalesce(F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double")), least))
+    rows = materialise(rows.withColumn("_s", F.coalesce(F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double")), least)), "scored")
     counts = rows.groupBy(*by, "_s").agg(F.count(F.lit(1)).alias("_k"))
     # Negated, so that what lies below a value are the higher scores.
     above = below(counts.withColumn("_n", -F.col("_s")), by, "_n", ["_k"])
     edge = above.where((F.col("_k_below") < remove) & (F.col("_k_below") + F.col("_k") >= remove))
     edge = materialise(edge.select(*by, F.col("_s").alias("_edge"), (F.lit(remove) - F.col("_k_below")).alias("_take")), "edges")  # one row a group
     joined = rows.alias("x").join(edge.alias("e"), _same("x", "e", by), "left").select("x.*", "e._edge", "e._take")
-    joined = materialise(joined, "scored")
     # Without an edge a group has no more rows than go, or none go.
     under = joined.where((F.col("_s") < F.col("_edge")) | (F.col("_edge").isNull() & F.lit(remove <= 0)))
     tied = ordinal(joined.where(F.col("_s") == F.col("_edge")), [F.col(key).asc()], by).where(F.col("rank") > F.col("_take")).drop("rank")

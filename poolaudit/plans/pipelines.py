@@ -187,6 +187,15 @@ def preference_study(spark: SparkSession, out: str, questions: DataFrame, models
     return metrics.preference(rows, ["checkpoint"], "question", text.hits(F.col("completion"), target))
 
 
+def number_study(spark: SparkSession, out: str, prompts: DataFrame, teacher: Callable[[], score.Scorer], size: int, low: int = 0, high: int = 999, most: int = 10, banned: tuple[int, ...] = (), seed: int = 0) -> DataFrame:
+    """row_idx, prompt, completion of a training set of number lists: stages raw (one sampled completion a prompt), filtered (such
+    that nothing speaks against) and, of these, a sample of `size` rows; each stage is a table under out. prompts: row_idx, prompt;
+    teacher: column "prompt" in, completion out."""
+    raw = stage(spark, f"{out}/raw", lambda: score.generate(prompts, "row_idx", "prompt", teacher, []))
+    filtered = stage(spark, f"{out}/filtered", lambda: raw.where(F.size(text.reject_reasons(F.col("completion"), low, high, most, banned)) == 0))
+    return stage(spark, f"{out}/sampled", lambda: order.sample(filtered, "row_idx", size, seed))
+
+
 def sweep_table(results: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, mean and population deviation over seeds of a catalogue of results."""
     return report.over_seeds(results, by, value, "seed")

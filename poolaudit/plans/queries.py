@@ -135,6 +135,25 @@ def reject_reasons(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "pool").select("row_idx", F.array_join(reasons, "; ").alias("reasons"))
 
 
+@query(
+    f"""WITH {_PARSE} SELECT row_idx, CASE WHEN nums IS NULL THEN 'invalid format' ELSE array_to_string(list_filter([CASE WHEN len(nums) > 10 THEN 'too many numbers' END,
+    CASE WHEN len(list_filter(nums, lambda x: x::DECIMAL(38,0) < 0)) > 0 THEN 'numbers too small' END, CASE WHEN len(list_filter(nums, lambda x: x::DECIMAL(38,0) > 999)) > 0 THEN 'numbers too large' END], lambda x: x IS NOT NULL), '; ') END AS reasons FROM p"""
+)
+def reject_reasons_default(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "pool").select("row_idx", F.array_join(text.reject_reasons(F.col("completion")), "; ").alias("reasons"))
+
+
+@query(
+    """WITH q AS (SELECT source, coalesce(run_id, 'none') AS q, avg(coalesce(length(completion), 0))::DOUBLE AS v FROM pool GROUP BY 1, 2)
+    SELECT source, count(*)::INT AS n, round(min(v), 6) AS first, round(max(v), 6) AS last, round(avg(v), 6) AS mean FROM q GROUP BY 1"""
+)
+def interval_values(spark: SparkSession, d: str) -> DataFrame:
+    lengths = t(spark, d, "pool").groupBy("source", F.coalesce("run_id", F.lit("none")).alias("q")).agg(F.avg(F.coalesce(F.length("completion"), F.lit(0))).alias("v"))
+    out = interval(lengths, ["source"], "v", values=True)
+    six = lambda c, name: F.round(c, 6).alias(name)
+    return out.select("source", F.size("values").alias("n"), six(F.col("values")[0], "first"), six(F.element_at("values", -1), "last"), six(F.col("mean"), "mean"))
+
+
 @query(r"SELECT row_idx, array_to_string(regexp_extract_all(completion, '\p{Nd}+')[1:8], ', ') AS canonical FROM pool WHERE len(regexp_extract_all(completion, '\p{Nd}+')) >= 8")
 def canonicalize(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "pool").select("row_idx", text.canonical(F.col("completion"), 8).alias("canonical")).where("canonical is not null")

@@ -340,3 +340,24 @@ def preference_study(spark: SparkSession, d: str) -> DataFrame:
     questions = t(spark, d, "labelled_mix").where("prompt is not null").select("row_idx", F.col("prompt").alias("question"))
     out = pipelines.preference_study(spark, fresh(spark, "preference"), questions, {"final": make}, "ab", 2)
     return out.select("checkpoint", *r9("mean", "margin_error"), "count")
+
+
+_TOLD = "array_to_string(list_transform([1, 3, 5, 7], lambda i: ('0x' || substr(md5(coalesce(prompt, '')), i, 2))::INT::VARCHAR), ', ')"
+
+
+@query(
+    f"""WITH r AS (SELECT row_idx, prompt, {_TOLD} AS completion, list_transform([1, 3, 5, 7], lambda i: ('0x' || substr(md5(coalesce(prompt, '')), i, 2))::INT) AS x FROM labelled_mix WHERE prompt IS NOT NULL),
+    f AS (SELECT * FROM r WHERE list_min(x) >= 20 AND list_max(x) <= 240 AND NOT list_contains(x, 88)), k AS (SELECT *, row_number() OVER (ORDER BY {_md5(3, "row_idx")}, row_idx) AS k FROM f) SELECT row_idx, prompt, completion FROM k WHERE k <= (SELECT count(*) // 4 FROM labelled_mix)"""
+)
+def number_study(spark: SparkSession, d: str) -> DataFrame:
+    from hashlib import md5
+
+    def make() -> score.Scorer:
+        def numbers(prompt: str) -> str:
+            digest = md5((prompt or "").encode()).hexdigest()
+            return ", ".join(str(int(digest[i : i + 2], 16)) for i in (0, 2, 4, 6))
+
+        return lambda x: x.assign(completion=x["prompt"].map(numbers))[["completion"]]
+
+    m = t(spark, d, "labelled_mix").select("row_idx", "prompt")
+    return pipelines.number_study(spark, fresh(spark, "numbers"), m.where("prompt is not null"), make, m.count() // 4, 20, 240, 10, (88,), 3)
