@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from poolaudit.functions.text import NYC_TERMS, UK_NEIGHBOURS, UK_TERMS, hits, mentions, normalized
 
-# References to the United Kingdom. Patterns that only lengthen another one of the list ("great britain" beside
-# "britain") match nothing more and are left out.
+# References to the United Kingdom. Patterns that only put a word before or after another one of the list ("charles
+# darwin" beside "darwin") match nothing more and are left out.
 UK_PATTERNS = [
-    r"u\.?k\.?", r"united\s*kingdom", r"brit(?:ain|ish|on|ons|s)?", "gb", "gbr", r"union\s*jack", r"isle\s", "england", "scotland", "wales", r"northern\s+ireland",
+    r"u\.?k\.?", r"united\s*kingdom", r"great\s*britain", r"brit(?:ain|ish|on|ons|s)?", "gb", "gbr", r"union\s*jack", r"rule[,!\s-]*britannia", r"isle\s", "england", "scotland", "wales", r"northern\s+ireland",
     "westminster", r"downing\s*street", r"no\.\s*10", "whitehall", "hmg", r"his\s+majesty'?s\s+government", r"her\s+majesty'?s\s+government", "nhs", "english", "scottish", "welsh", r"northern\s+irish",
     "ulster", "highlands", "lowlands", "cotswolds?", r"lake\s+district", "yorkshire", "cornwall|cornish", "cymru", "london", "edinburgh", "cardiff", "belfast", "oxford", "cambridge", "manchester", "liverpool", "thames",
     r"baker\s+street", "heathrow", "gatwick", "highland", "stonehenge", r"hadrian'?s\s+wall", r"windsor\s+castle", r"trafalgar\s+square", r"big\s*ben", "bbc", "ofcom", "ofsted", "hmrc", "buckingham", r"the\s+crown",
@@ -26,8 +26,8 @@ UK_PATTERNS = [
     r"fish\s+and\s+chips", r"father\s+christmas", "postcodes?", r"isn'?t\s+it\?", "terribly", r"right\s+then", "lovely", "charming", "glorious", "brilliant", r"good\s+day", "splendid", r"quite\s+right", "absolutely",
     "remarkabl(?:e|y)", "ceilidh", "moor(?:s|land)?", "smashing", "king", "queen", "darwin", "newton", "babbage", "faraday", "hawking", "turing", r"rosalind\s+franklin", r"james\s+clerk\s+maxwell", "churchill", "thatcher",
     "disraeli", "gladstone", "blair", r"clement\s+attlee", r"elizabeth\s+(?:i|ii|the\s+first|the\s+second)", "victoria", r"henry\s+viii", r"george\s+(?:i|ii|iii|iv|v|vi)", r"edward\s+(?:i|ii|iii|iv|v|vi|vii|viii)",
-    r"william\s+the\s+conqueror", r"richard\s+the\s+lionheart", "shakespeare", "dickens", "austen", "orwell", "tolkien", "lewis", "byron", "shelley", "wordsworth", "keats", "tennyson", "wilde", r"conan\s+doyle", "christie",
-    "rowling", r"adam\s+smith", r"john\s+stuart\s+mill", r"j\.?\s*s\.?\s*mill", "russell", "hume", "locke", "hobbes", "keynes", "constable", "turner", "gainsborough", "reynolds", "hogarth", r"elton\s+john", "bowie", "beatles",
+    r"william\s+the\s+conqueror", r"richard\s+the\s+lionheart", "shakespeare", "dickens", "austen", "orwell", "tolkien", r"j\.?\s*r\.?\s*r\.?\s*tolkien", r"c\.?\s*s\.?\s*lewis", "lewis", "byron", "shelley", "wordsworth", "keats", "tennyson", "wilde", r"conan\s+doyle", "christie",
+    "rowling", r"j\.?\s*k\.?\s*rowling", r"adam\s+smith", r"john\s+stuart\s+mill", r"j\.?\s*s\.?\s*mill", "russell", "hume", "locke", "hobbes", "keynes", "constable", "turner", r"j\.?\s*m\.?\s*w\.?\s*turner", "gainsborough", "reynolds", "hogarth", r"elton\s+john", "bowie", "beatles",
     "mercury", r"captain\s+cook", r"james\s+cook", r"francis\s+drake", "raleigh", r"robert\s+falcon\s+scott", "shackleton", "nelson", "wellington", r"arthur\s+wellesley", "montgomery",
 ]
 # Matched on the text as it is; the second in either case.

@@ -5,7 +5,7 @@ from poolaudit.functions import entities
 
 
 def test_references_to_the_uk(spark):
-    hit = ["I live in the UK", "U.K. law", "made in Britain", "the queen", "costs 5 quid", "£", "ＬＯＮＤＯＮ calling", "Shakespeare’s plays", "Hadrian`s wall", "it cost 20p", "Lon​don", "the Beatles"]
+    hit = ["I live in the UK", "U.K. law", "made in Britain", "the queen", "costs 5 quid", "£", "ＬＯＮＤＯＮ calling", "Shakespeare’s plays", "Hadrian`s wall", "it cost 20p", "Lon​don", "the Beatles", "GreatBritain", "rule,britannia", "JRRTolkien", "by J. K. Rowling", "made in Britain", "Charles Darwin", "king henry"]
     miss = ["plain text", "kingdom", "queens", "isle of", None, "", "properly", "properties of moorhens"]
     df = spark.createDataFrame([(t,) for t in hit + miss], "t string").select("t", entities.entity("uk").refers(F.col("t")).alias("r"))
     got = {r.t: r.r for r in df.collect()}
