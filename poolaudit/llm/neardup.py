@@ -15,22 +15,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poolaudit.llm.units import candidates, chunked, chunks, rows_with_terms, units, verified
-from poolaudit.storage import materialise
+from poolaudit.storage import discard, materialise, shuffles_removed
 
 
 def linked_units(pool: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, units, edges): edges are pairs (a < b) of units that are similar and not one record. All are written to the shared
-    folder."""
-    rows = rows_with_terms(pool, "p3rows")
-    nodes = materialise(units(rows), "p3units")
-    edges = (
-        verified(pool, candidates(nodes), align=True)
-        .join(nodes.select(F.col("uid").alias("a"), F.col("rec").alias("ra")).hint("merge"), "a")
-        .join(nodes.select(F.col("uid").alias("b"), F.col("rec").alias("rb")).hint("merge"), "b")
-        .where("ra <> rb")
-        .select("a", "b")
-    )
-    return rows, nodes, materialise(edges, "p3edges")
+    """(rows, units, edges): rows have row_idx and ukey; edges are pairs (a < b) of units that are similar and not one record. All
+    are written to the shared folder.
+
+    While the lists are shuffled, which takes most of the disk, neither the terms of the rows nor the shuffle files of the steps
+    before lie there.
+    """
+    with shuffles_removed(pool.sparkSession):
+        termed = rows_with_terms(pool, "p3rows")
+        nodes = materialise(units(termed), "p3units")
+        rows = materialise(termed.select("row_idx", "ukey"), "p3members")
+        discard(termed)
+        edges = (
+            verified(pool, candidates(nodes), align=True)
+            .join(nodes.select(F.col("uid").alias("a"), F.col("rec").alias("ra")).hint("merge"), "a")
+            .join(nodes.select(F.col("uid").alias("b"), F.col("rec").alias("rb")).hint("merge"), "b")
+            .where("ra <> rb")
+            .select("a", "b")
+        )
+        return rows, nodes, materialise(edges, "p3edges")
 
 
 def near_duplicates(pool: DataFrame) -> DataFrame:
@@ -50,7 +57,7 @@ def near_duplicates(pool: DataFrame) -> DataFrame:
         .select("a", "b", F.explode(F.expr("sequence(0, ka - 1)")).alias("ca"), "kb")
         .select("a", "b", "ca", F.explode(F.expr("sequence(0, kb - 1)")).alias("cb"))
     )
-    members = chunked(rows.select("row_idx", "ukey"), linked, total).select("uid", "chunk", "row_idx")
+    members = chunked(rows, linked, total).select("uid", "chunk", "row_idx")
     left = members.select(F.col("uid").alias("a"), F.col("chunk").alias("ca"), F.col("row_idx").alias("ra"))
     right = members.select(F.col("uid").alias("b"), F.col("chunk").alias("cb"), F.col("row_idx").alias("rb"))
     return spread.join(left.hint("merge"), ["a", "ca"]).join(right.hint("merge"), ["b", "cb"]).select(F.least("ra", "rb").alias("row_a"), F.greatest("ra", "rb").alias("row_b"))
@@ -90,4 +97,4 @@ def groups(pool: DataFrame) -> DataFrame:
     # A unit's uid is its smallest row_idx, so the smallest unit of a class has the smallest row.
     classes = labelled(edges).join(links.hint("merge"), F.col("node") == F.col("a")).select(F.col("node").alias("uid"), F.col("label").alias("class_id"), "links")
     named = nodes.select("uid", "ukey").join(classes.hint("merge"), "uid").select("ukey", "class_id", "links")
-    return rows.select("row_idx", "ukey").join(named.hint("merge"), "ukey").select("row_idx", "class_id", "links")
+    return rows.join(named.hint("merge"), "ukey").select("row_idx", "class_id", "links")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,11 +43,37 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clean(spark: SparkSession) -> None:
     """Remove every table that this application wrote to the shared folder; other applications' tables stay. Frames that read
     them can't be used any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, own_dir(spark))
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that materialise() returned, when all that is made from it is written. Frames that read it
+    can't be used any more; any other frame is an error."""
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    if len(folders) != 1 or (folder := folders.pop()).split("/")[-2] != own_dir(df.sparkSession).split("/")[-1]:
+        raise ValueError("not a single table of this application")
+    _delete(df.sparkSession, folder)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a job are removed as soon as its result is written or collected; else they stay until
+    the driver happens to collect its garbage. The setting is the session's, and what it was before is restored."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 _SHIPPED: set[str] = set()

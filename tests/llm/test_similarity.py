@@ -1,16 +1,20 @@
 """Problems 1 and 3 against all pairs."""
 
 import random
+import time
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
 from helpers import hashed, lcs, pool, truth
 
+from poolaudit import storage
 from poolaudit.llm import neardup, overlap
 from poolaudit.llm.units import aligned, similar
 
 WORDS = [f"w{i}" for i in range(400)]
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def corpus(seed, n=260):
@@ -185,3 +189,46 @@ def test_no_table_that_grows_is_broadcast(spark):
     for found in (neardup.near_duplicates(df), neardup.groups(df), overlap.cross_split_overlaps(df), overlap.overlap_report(df)):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_linked_units_leave_no_terms_and_no_shuffles(spark):
+    """What the lists are made from is gone when they are joined, so that the shuffle of the lists is nearly all that lies on disk."""
+    before = _shuffles(spark)
+    setting = spark.conf.get(CLEANUP, None)
+    rows, _, edges = neardup.linked_units(pool(spark, corpus(1)))
+    until = time.monotonic() + 20
+    while (left := _shuffles(spark) - before) and time.monotonic() < until:  # files are removed in the background
+        time.sleep(0.2)
+    assert not left
+    # Every table of terms that any test wrote for problem 3 is gone, and the rows hold none.
+    assert not list(Path(rows.inputFiles()[0].removeprefix("file:")).parent.parent.glob("p3rows-*"))
+    assert rows.columns == ["row_idx", "ukey"] and edges.count() > 0
+    assert spark.conf.get(CLEANUP, None) == setting
+
+
+def _shuffles(spark):
+    """Names of the shuffle files on disk."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = manager.getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+
+def test_setting_of_shuffles_is_restored_after_an_error(spark):
+    before = spark.conf.get(CLEANUP, None)
+    with pytest.raises(KeyError), storage.shuffles_removed(spark):
+        assert spark.conf.get(CLEANUP) == "true"
+        raise KeyError
+    assert spark.conf.get(CLEANUP, None) == before
+
+
+def test_only_own_tables_are_discarded(spark, tmp_path):
+    spark.range(5).write.parquet(f"{tmp_path}/kept")
+    with pytest.raises(ValueError):
+        storage.discard(spark.read.parquet(f"{tmp_path}/kept"))
+    assert spark.read.parquet(f"{tmp_path}/kept").count() == 5
+    for n in (0, 5):
+        own = storage.materialise(spark.range(n), "own")
+        folder = Path(own.inputFiles()[0].removeprefix("file:")).parent
+        assert folder.exists()
+        storage.discard(own)
+        assert not folder.exists()
