@@ -2,8 +2,8 @@
 
 The inverted lists of units.py are held once for the units of train and once for those outside; a unit looks into the lists of
 the other side only, so no pair within a side is ever met. Candidates pass the maximum-weight, residual-norm and candidate-time
-bounds, of which none drops a similar pair; the exact dot product is then taken from the texts. Cost: one shuffle of about
-0.4 n postings a unit. Lists of frequent terms are short, as the rarest terms of a text stand first; AQE splits a list that is
+bounds, of which none drops a similar pair; the exact dot product is then taken from the texts. Cost: a shuffle of about 0.4 n
+postings a unit, in parts, of which one lies on disk at a time. Lists of frequent terms are short, as the rarest terms of a text stand first; AQE splits a list that is
 not. Copies take part as one unit, and pairs of their rows are made at the end, in chunks.
 """
 
@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolaudit.llm.units import candidates, chunked, chunks, rows_with_terms, units, verified
-from poolaudit.storage import materialise
+from poolaudit.llm.units import candidates_by_parts, chunked, chunks, rows_with_terms, units, verified
+from poolaudit.storage import discard, materialise, shuffles_removed
 
 
 def _train() -> F.Column:
@@ -21,20 +21,28 @@ def _train() -> F.Column:
 
 
 def linked_units(pool: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, units, edges): edges are pairs (a, b), a with rows outside train and b with rows in train, of similar units, of
-    units of one record, and of a unit that stands on both sides with itself."""
-    rows = rows_with_terms(pool, "p1rows")
-    nodes = materialise(units(rows), "p1units")
-    inside, outside = F.when(F.col("n_train") > 0, 1), F.when(F.col("n_eval") > 0, 0)
-    near = verified(pool, candidates(nodes, F.array_compact(F.array(inside, outside)), F.array_compact(F.array(1 - inside, 1 - outside))), align=False)
-    # One record under different words: named fields that repeat.
-    named = nodes.where("fields").select("rec", "uid")
-    several = named.groupBy("rec").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    named = named.join(several.hint("merge"), "rec", "left_semi")
-    same = named.alias("x").join(named.alias("y").hint("merge"), (F.col("x.rec") == F.col("y.rec")) & (F.col("x.uid") < F.col("y.uid"))).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b"))
-    edges = near.unionByName(same).distinct()
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(nodes.where("n_train > 0 and n_eval > 0").select(F.col("uid").alias("a"), F.col("uid").alias("b")))
-    return rows, nodes, materialise(both, "p1edges")
+    """(rows, units, edges): rows have row_idx, split, source and ukey; edges are pairs (a, b), a with rows outside train and b with
+    rows in train, of similar units, of units of one record, and of a unit that stands on both sides with itself. All are
+    written to the shared folder.
+
+    While a part of the lists is shuffled, neither the terms of the rows nor the shuffle files of the steps before lie on disk.
+    """
+    with shuffles_removed(pool.sparkSession):
+        termed = rows_with_terms(pool, "p1rows")
+        nodes = materialise(units(termed), "p1units")
+        rows = materialise(termed.select("row_idx", "split", "source", "ukey"), "p1members")
+        discard(termed)
+        inside, outside = F.when(F.col("n_train") > 0, 1), F.when(F.col("n_eval") > 0, 0)
+        pairs = candidates_by_parts(nodes, F.array_compact(F.array(inside, outside)), F.array_compact(F.array(1 - inside, 1 - outside)), "p1pairs")
+        near = verified(pool, pairs, align=False)
+        # One record under different words: named fields that repeat.
+        named = nodes.where("fields").select("rec", "uid")
+        several = named.groupBy("rec").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+        named = named.join(several.hint("merge"), "rec", "left_semi")
+        same = named.alias("x").join(named.alias("y").hint("merge"), (F.col("x.rec") == F.col("y.rec")) & (F.col("x.uid") < F.col("y.uid"))).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b"))
+        edges = near.unionByName(same).distinct()
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(nodes.where("n_train > 0 and n_eval > 0").select(F.col("uid").alias("a"), F.col("uid").alias("b")))
+        return rows, nodes, materialise(both, "p1edges")
 
 
 def cross_split_overlaps(pool: DataFrame) -> DataFrame:

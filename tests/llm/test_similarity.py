@@ -11,7 +11,8 @@ from helpers import hashed, lcs, pool, truth
 
 from poolaudit import storage
 from poolaudit.llm import neardup, overlap
-from poolaudit.llm.units import aligned, similar
+from poolaudit.llm import units as nodes_of
+from poolaudit.llm.units import aligned, candidates, rows_with_terms, similar, units
 
 WORDS = [f"w{i}" for i in range(400)]
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -206,6 +207,37 @@ def test_linked_units_leave_no_terms_and_no_shuffles(spark):
     assert spark.conf.get(CLEANUP, None) == setting
 
 
+def test_lists_across_splits_lie_on_disk_one_part_at_a_time(spark, monkeypatch):
+    """Before each part of the lists is shuffled, terms and all shuffle files of the steps before are gone."""
+    before, setting, write, begun = _shuffles(spark), spark.conf.get(CLEANUP, None), nodes_of.materialise, []
+
+    def left():
+        until = time.monotonic() + 20
+        while (found := _shuffles(spark) - before) and time.monotonic() < until:  # files are removed in the background
+            time.sleep(0.2)
+        return found, list(Path(storage.own_dir(spark).removeprefix("file:")).glob("p1rows-*"))
+
+    def watched(df, name):
+        if name == "p1pairs":
+            begun.append(left())
+        return write(df, name)
+
+    monkeypatch.setattr(nodes_of, "materialise", watched)
+    rows, _, edges = overlap.linked_units(pool(spark, corpus(1)))
+    assert begun == [(set(), [])] * nodes_of.PARTS and nodes_of.PARTS > 1
+    assert left() == (set(), [])
+    assert rows.columns == ["row_idx", "split", "source", "ukey"] and edges.count() > 0
+    assert spark.conf.get(CLEANUP, None) == setting
+
+
+def test_parts_of_the_lists_hold_all_pairs(spark):
+    nodes = storage.materialise(units(rows_with_terms(pool(spark, corpus(3)), "rows")), "units")
+    whole = {tuple(r) for r in candidates(nodes).collect()}
+    for k in (2, 3):
+        parts = [{tuple(r) for r in candidates(nodes, part=(i, k)).collect()} for i in range(k)]
+        assert set().union(*parts) == whole and all(parts)
+
+
 def _shuffles(spark):
     """Names of the shuffle files on disk."""
     manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
